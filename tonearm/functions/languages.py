@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 # Language name, its tag code, and the codes the re-rank accepts
 # for it. The order is the order of names in a preferred-language string.
 LANGUAGES = {
-    "Chinese": {"tag": 3, "accepted": (3, 10)},
+    "Chinese": {"tag": 3, "accepted": (3, 24)},
     "English": {"tag": 52, "accepted": (52,)},
     "Japanese": {"tag": 17, "accepted": (17,)},
     "Korean": {"tag": 31, "accepted": (31,)},
@@ -32,9 +32,10 @@ def tag_code(name: Column) -> Column:
 def accepted_codes(languages: Column) -> Column:
     pairs = []
     for n, v in LANGUAGES.items():
-        pairs += [F.lit(n), F.array(*[F.lit(str(c)) for c in v["accepted"]])]
+        pairs += [F.lit(n), F.array(*[F.lit(c) for c in v["accepted"]])]
     table = F.create_map(*pairs)
-    found = F.transform(names(languages), lambda x: F.coalesce(F.try_element_at(table, x), F.array().cast("array<string>")))
+    none = F.array().cast("array<int>")
+    found = F.transform(names(languages), lambda x: F.coalesce(F.try_element_at(table, x), none))
     return F.flatten(found)
 
 
