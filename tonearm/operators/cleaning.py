@@ -152,18 +152,14 @@ def missing_indicators(songs: DataFrame) -> DataFrame:
 
 def impute_songs(songs: DataFrame) -> DataFrame:
     """Median length, most frequent language (smallest on ties), fixed text for the rest."""
-    fill = songs.agg(
-        F.median("song_length").alias("fill_length"), F.mode("language", True).alias("fill_language")
-    )
-    filled = songs.join(F.broadcast(fill)).withColumns(
+    filled = songs.withColumns(
         {
-            "song_length": F.coalesce("song_length", "fill_length"),
-            "language": F.coalesce("language", "fill_language"),
+            "song_length": F.coalesce("song_length", songs.agg(F.median("song_length")).scalar()),
+            "language": F.coalesce("language", songs.agg(F.mode("language", True)).scalar()),
         }
     )
     return (
-        filled.drop("fill_length", "fill_language")
-        .fillna(text.UNKNOWN, ["genre_ids", "artist_name", "composer", "lyricist", "name"])
+        filled.fillna(text.UNKNOWN, ["genre_ids", "artist_name", "composer", "lyricist", "name"])
         .fillna("NONE", ["isrc"])
         .fillna(-1, ["song_id_new"])
     )

@@ -177,16 +177,16 @@ def genre_vocabulary(songs: DataFrame) -> DataFrame:
 def genre_features(songs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Genre list, count, and a 0/1 vector over the vocabulary.
 
-    The vocabulary is one row of genre codes (its size is the number of codes,
-    not of songs), attached to every song.
+    The vocabulary is read once as one array (as long as the number of genre
+    codes, not of songs).
     """
     listed = songs.withColumn("genre_list", text.genres(F.col("genre_ids")))
-    row = vocabulary.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "genre"))), lambda s: s["genre"]).alias("_vocab")
-    )
+    codes = vocabulary.agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "genre"))), lambda s: s["genre"])
+    ).scalar()
     flag = lambda g: F.array_contains("genre_list", g).cast("int")
     return (
-        listed.join(F.broadcast(row))
+        listed.withColumn("_vocab", codes)
         .withColumn("genre_count", F.size("genre_list"))
         .withColumn("genre_vector", F.transform("_vocab", flag))
         .drop("_vocab")
@@ -213,27 +213,23 @@ def song_features(songs: DataFrame, current_year: int) -> DataFrame:
 def length_edges(songs: DataFrame, buckets_n: int = 5) -> DataFrame:
     """One row: the exact quantile edges of the length, missing lengths taken as the median."""
     shares = ", ".join(str(i / buckets_n) for i in range(buckets_n + 1))
-    middle = songs.agg(F.median("song_length").alias("median_length"))
-    filled = songs.select("song_length").join(F.broadcast(middle)).select(
-        F.coalesce("song_length", "median_length").alias("len"), "median_length"
-    )
-    return filled.agg(
-        F.expr(f"percentile(len, array({shares}))").alias("edges"), F.max("median_length").alias("median_length")
-    )
+    middle = songs.agg(F.median("song_length")).scalar()
+    filled = songs.select(F.coalesce("song_length", middle).alias("len"))
+    return filled.agg(F.expr(f"percentile(len, array({shares}))").alias("edges"))
 
 
 def length_bucket(songs: DataFrame, buckets_n: int = 5) -> DataFrame:
     """Right-closed quantile bucket of the length; one bucket for all when edges repeat."""
-    edges = length_edges(songs, buckets_n)
-    value = F.coalesce("song_length", "median_length")
+    value, edges = F.col("_length"), F.col("_edges")
     label = F.lit(None).cast("string")
     for i in range(buckets_n, 0, -1):
-        label = F.when(value <= F.get("edges", i), f"len_{i - 1}").otherwise(label)
-    distinct = F.size(F.array_distinct("edges")) == F.size("edges")
+        label = F.when(value <= F.get(edges, F.lit(i)), f"len_{i - 1}").otherwise(label)
+    distinct = F.size(F.array_distinct(edges)) == F.size(edges)
     return (
-        songs.join(F.broadcast(edges))
+        songs.withColumn("_length", F.coalesce("song_length", songs.agg(F.median("song_length")).scalar()))
+        .withColumn("_edges", length_edges(songs, buckets_n).scalar())
         .withColumn("length_tag", F.when(distinct, label).otherwise("len_0"))
-        .drop("edges", "median_length")
+        .drop("_length", "_edges")
     )
 
 
