@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import numeric
 from .blocks import overlap_square, topk_products
 from .ids import dense_ids
 
@@ -153,20 +154,22 @@ def recommend(
     if mode.startswith("pop_"):
         # Divided once per neighbour row, not once per use.
         adds = adds.join(popularity.select(F.col("item_id").alias("neighbor_id"), "pop"), "neighbor_id")
-    adds = adds.select("item_id", "neighbor_id", _mode(mode, alpha, pop_min).alias("add"))
+    adds = adds.select("item_id", "neighbor_id", numeric.billionths(_mode(mode, alpha, pop_min)).alias("add"))
     scored = (
         seeds.select("user_id", "item_id")
         .join(adds, "item_id")
         .groupBy("user_id", F.col("neighbor_id").alias("cand"))
-        .agg(F.sum("add").alias("score"))
+        .agg(F.sum("add").alias("total"))
         .withColumnRenamed("cand", "item_id")
     )
     hidden = seeds if seen is None else seen
     fresh = scored.join(hidden.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     if mode == "normalize_seed":
         n_seeds = seeds.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seeds"))
-        fresh = fresh.join(n_seeds, "user_id").withColumn("score", F.col("score") / F.col("n_seeds")).drop("n_seeds")
-    return rank_users(fresh.withColumn("score", F.round("score", 6)), top_n)
+        fresh = fresh.join(n_seeds, "user_id").withColumn("score", numeric.score(F.col("total"), F.col("n_seeds")))
+    else:
+        fresh = fresh.withColumn("score", numeric.score(F.col("total")))
+    return rank_users(fresh.filter("total > 0").select("user_id", "item_id", "score"), top_n)
 
 
 def rank_users(scored: DataFrame, top_n: int) -> DataFrame:

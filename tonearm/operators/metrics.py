@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import hashing, vectors
+from ..functions import hashing, numeric, vectors
 from .ids import dense_ids
 
 KS = (10, 20)
@@ -148,14 +148,17 @@ def knn_grid(
     sums = []
     for i, (k, t) in enumerate(cells):
         used = (F.col("rank") <= k) & (F.col("sim") > t)
-        sums.append(F.sum(F.when(used, F.col("sim"))).alias(f"s{i}"))
-        sums.append(F.sum(F.when(used, F.col("sim") * F.col("sim"))).alias(f"q{i}"))
+        sums.append(F.sum(F.when(used, F.col("add"))).alias(f"s{i}"))
+        sums.append(F.sum(F.when(used, F.col("add2"))).alias(f"q{i}"))
+    adds = neighbors.withColumns(
+        {"add": numeric.billionths(F.col("sim")), "add2": numeric.billionths(F.col("sim") * F.col("sim"))}
+    )
     known = seeds.select("item_id").distinct()
     tested = test.join(known, "item_id", "left_semi")
     cands = (
         seeds.select("user_id", "item_id")
         .join(tested.select("user_id"), "user_id", "left_semi")
-        .join(neighbors, "item_id")
+        .join(adds, "item_id")
         .groupBy("user_id", F.col("neighbor_id").alias("cand"))
         .agg(*sums)
         .withColumnRenamed("cand", "item_id")
@@ -165,14 +168,14 @@ def knn_grid(
     )
     pop = F.greatest(F.col("pop"), F.lit(1)).cast("double")
     made = {
-        "baseline": lambda i: F.col(f"s{i}"),
-        "sim2": lambda i: F.col(f"q{i}"),
-        "normalize_seed": lambda i: F.col(f"s{i}") / F.col("n_seeds"),
-        "pop_pow": lambda i: F.col(f"s{i}") / F.pow(pop, F.lit(alpha)),
-        "pop_log": lambda i: F.col(f"s{i}") / F.pow(F.log1p(pop), F.lit(alpha)),
+        "baseline": lambda i: numeric.score(F.col(f"s{i}")),
+        "sim2": lambda i: numeric.score(F.col(f"q{i}")),
+        "normalize_seed": lambda i: numeric.score(F.col(f"s{i}"), F.col("n_seeds")),
+        "pop_pow": lambda i: numeric.score(F.col(f"s{i}"), F.pow(pop, F.lit(alpha))),
+        "pop_log": lambda i: numeric.score(F.col(f"s{i}"), F.pow(F.log1p(pop), F.lit(alpha))),
     }
     configs = [(m, k, t, i) for m in modes for i, (k, t) in enumerate(cells)]
-    scores = [F.round(made[m](i), 6).alias(f"c{j}") for j, (m, _, _, i) in enumerate(configs)]
+    scores = [made[m](i).alias(f"c{j}") for j, (m, _, _, i) in enumerate(configs)]
     scored = cands.select("user_id", "item_id", *scores)
 
     names = [f"c{j}" for j in range(len(configs))]

@@ -171,10 +171,10 @@ def knn(pos: str, k: int, prefix: str = "") -> dict[str, str]:
     }
 
 
-def knn_recs(name: str, seeds: str, nb: str, add: str, n: int, threshold: float = 0.0, divide: str = "") -> dict[str, str]:
+def knn_recs(name: str, seeds: str, nb: str, add: str, n: int, threshold: float = 0.0, divisor: str = "1") -> dict[str, str]:
     """Ranked recommendations of ``seeds`` from ``nb``; ``add`` is the share of one neighbour row."""
     return {
-        f"{name}_s": f"""SELECT s.user_id, neighbor_id AS item_id, round(sum({add}){divide}, 6) AS score
+        f"{name}_s": f"""SELECT s.user_id, neighbor_id AS item_id, floor(sum(floor(({add}) * 1e9 + 0.5)::BIGINT)::DOUBLE / (1000.0::DOUBLE * any_value({divisor})) + 0.5) / 1e6 AS score
             FROM {seeds} s JOIN {nb} nb ON nb.item_id = s.item_id
             LEFT JOIN {seeds} seen ON seen.user_id = s.user_id AND seen.item_id = neighbor_id
             WHERE sim > {threshold} AND seen.user_id IS NULL GROUP BY 1, 2""",

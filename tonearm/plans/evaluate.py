@@ -1 +1,468 @@
-"""placeholder"""
+"""Splits, ranking metrics and their reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import embeddings, features, itemknn, metrics, splits
+from ..schemas import METRICS
+from ..session import run_dir
+from ..sources import tables
+from ..sources.fixtures import Tables
+from .catalogue import AS_OF
+from .ctes import knn, knn_recs
+from .recommend import DIMS, TAGS, pairs, tag_table, _sql, _topk_sql
+from .registry import query
+
+ITEM_K, HELD_OUT = 20, 200
+
+
+# --- splits -----------------------------------------------------------------------
+
+
+def loo(t: Tables):
+    """(train pairs, test rows) of the leave-one-out protocol."""
+    pos = pairs(t)
+    test = splits.leave_one_out(pos)
+    return splits.without(pos, test), test
+
+
+def seed_split(t: Tables, n: int):
+    return splits.seed_n(t.interactions, n)
+
+
+def seed_sql(n: int) -> dict[str, str]:
+    order = "row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || item_id || '-42'), item_id)"
+    return {
+        f"el{n}": f"SELECT user_id FROM labelled WHERE target = 1 GROUP BY 1 HAVING count(*) > {n}",
+        f"or{n}": f"SELECT user_id, item_id, {order} AS rn FROM labelled SEMI JOIN el{n} USING (user_id) WHERE target = 1",
+        f"sd{n}": f"SELECT user_id, item_id FROM or{n} WHERE rn <= {n}",
+        f"te{n}": f"SELECT user_id, item_id FROM or{n} WHERE rn > {n}",
+    }
+
+
+HELD_SQL = {
+    "hu": f"SELECT user_id FROM (SELECT DISTINCT user_id FROM pos) ORDER BY md5(user_id || '-42'), user_id LIMIT {HELD_OUT}",
+    "htr": "SELECT user_id, item_id, target FROM labelled ANTI JOIN hu USING (user_id)",
+    "hte": "SELECT user_id, item_id FROM labelled SEMI JOIN hu USING (user_id) WHERE target = 1 AND item_id IN (SELECT item_id FROM htr)",
+}
+
+
+@query("split_loo", "SELECT user_id, item_id AS test_item_id FROM loo_test")
+def _(t):
+    return loo(t)[1].withColumnRenamed("item_id", "test_item_id")
+
+
+@query(
+    "split_loo_full",
+    """SELECT l.user_id, l.item_id, CASE WHEN x.user_id IS NULL THEN l.target ELSE 2 END AS part
+       FROM labelled l SEMI JOIN (SELECT user_id AS u FROM loo_test) t ON l.user_id = u LEFT JOIN loo_test x USING (user_id, item_id)""",
+)
+def _(t):
+    train, test = splits.leave_one_out_rows(t.interactions)
+    return train.withColumnRenamed("target", "part").unionByName(test.withColumn("part", F.lit(2)))
+
+
+@query(
+    "split_seed_n",
+    f"""WITH {_sql(seed_sql(3))} SELECT user_id, item_id, 'seed' AS part FROM sd3 UNION ALL SELECT user_id, item_id, 'test' FROM te3
+        UNION ALL SELECT user_id, item_id, 'negative' FROM labelled SEMI JOIN el3 USING (user_id) WHERE target = 0""",
+)
+def _(t):
+    train, test = seed_split(t, 3)
+    part = F.when(F.col("target") == 1, "seed").otherwise("negative")
+    return train.select("user_id", "item_id", part.alias("part")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query(
+    "split_heldout_users",
+    f"""WITH {_sql(HELD_SQL)} SELECT user_id, item_id, 'train' AS part FROM htr UNION ALL SELECT user_id, item_id, 'test' FROM hte""",
+)
+def _(t):
+    train, test = splits.held_out_users(t.interactions, HELD_OUT)
+    return train.select("user_id", "item_id", F.lit("train").alias("part")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query(
+    "split_hash_10",
+    """SELECT user_id, item_id, (('0x' || substr(md5(user_id || '-' || item_id || '-42'), 1, 8))::BIGINT < 429496729)::BIGINT AS is_validation FROM labelled""",
+)
+def _(t):
+    labelled = t.interactions.select("user_id", "item_id").distinct()
+    return splits.train_validation(labelled, 0.1, 42, "user_id", "item_id")
+
+
+# --- leave-one-out metrics -----------------------------------------------------------
+
+
+def _loo_sql(recs: str, known: str, model: str, test: str = "loo_test") -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{model}' AS model, {k} AS k, round(count(*) FILTER (WHERE rank <= {k}) / count(*), 5) AS recall,
+        round(count(*) FILTER (WHERE rank <= {k}) / (count(*) * {k}), 5) AS precision,
+        round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= {k}), 0) / count(*), 5) AS ndcg, count(*) AS users_evaluated
+        FROM {test} t LEFT JOIN {recs} r USING (user_id, item_id) WHERE t.item_id IN (SELECT item_id FROM {known})"""
+        for k in metrics.KS
+    )
+
+
+@query(
+    "itemknn_loo_metrics",
+    f"""WITH {_sql(knn_recs("r", "loo_train", "loo_nb", "sim", 20))} {_loo_sql("r", "loo_train", "ItemKNN")}""",
+)
+def _(t):
+    train, test = loo(t)
+    recs = itemknn.recommend(train, itemknn.neighbors(train, ITEM_K), 20)
+    return metrics.loo_metrics(test, recs, train)
+
+
+EMB_LOO = f"""
+tvv AS (SELECT user_id, dim, avg(x) AS v FROM (SELECT user_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM loo_train JOIN items_v USING (item_id)) GROUP BY 1, 2),
+{_topk_sql("tvv", 20, "SELECT user_id, item_id FROM loo_train")}"""
+
+
+@query("embedding_loo_metrics", f"WITH {EMB_LOO} {_loo_sql('rk', 'items_v', 'Embedding')}")
+def _(t):
+    train, test = loo(t)
+    recs = embeddings.score_topk(embeddings.warm_vectors(train, None, t.item_vectors, DIMS), t.item_vectors, 20, train)
+    return metrics.loo_metrics(test, recs, t.item_vectors, model="Embedding")
+
+
+NEGATIVES = 99
+
+
+@query(
+    "sampled_negative_metrics",
+    f"""WITH tvv AS (SELECT user_id, dim, avg(x) AS v FROM (SELECT user_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM loo_train JOIN items_v USING (item_id)) GROUP BY 1, 2),
+        uv AS (SELECT user_id, list(v ORDER BY dim) AS u FROM tvv GROUP BY 1),
+        sl AS (SELECT item_id, embedding, row_number() OVER (ORDER BY md5(item_id || '-42') || '-' || item_id) - 1 AS slot, count(*) OVER () AS m FROM items_v),
+        ps AS (SELECT user_id, round(list_dot_product(u, embedding), 6) AS p FROM loo_test JOIN items_v USING (item_id) JOIN uv USING (user_id)),
+        dr AS (SELECT user_id, (('0x' || substr(md5(user_id || '-42'), 1, 8))::BIGINT + i) % (SELECT count(*) FROM items_v) AS slot FROM loo_test SEMI JOIN items_v USING (item_id), (SELECT unnest(range({NEGATIVES})) AS i)),
+        ng AS (SELECT user_id, round(list_dot_product(u, embedding), 6) AS s FROM dr JOIN sl USING (slot) JOIN uv USING (user_id) ANTI JOIN pos USING (user_id, item_id)),
+        rn AS (SELECT user_id, 1 + count(*) FILTER (WHERE s > p) AS rank FROM ps LEFT JOIN ng USING (user_id) GROUP BY 1, p)
+        """ + " UNION ALL ".join(
+        f"""SELECT 'sampled_negatives' AS model, {k} AS k, round(count(*) FILTER (WHERE rank <= {k}) / count(*), 5) AS recall, round(count(*) FILTER (WHERE rank <= {k}) / (count(*) * {k}), 5) AS precision,
+        round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= {k}), 0) / count(*), 5) AS ndcg, count(*) AS users_evaluated FROM rn""" for k in metrics.KS),
+)
+def _(t):
+    train, test = loo(t)
+    usable = test.join(t.item_vectors.select("item_id"), "item_id", "left_semi")
+    users = embeddings.warm_vectors(train, None, t.item_vectors, DIMS)
+    return metrics.sampled_negative_metrics(usable, pairs(t), t.item_vectors, users, NEGATIVES, 42)
+
+
+POP_LOO = "pl_top AS (SELECT item_id, count(*) AS n FROM loo_train GROUP BY 1 ORDER BY n DESC, item_id LIMIT 20)"
+
+
+@query(
+    "popularity_loo",
+    f"""WITH {POP_LOO} SELECT count(*) AS n_test, count(p.item_id) AS n_hit, round(count(p.item_id) / count(*), 5) AS recall FROM loo_test LEFT JOIN pl_top p USING (item_id)""",
+)
+def _(t):
+    train, test = loo(t)
+    return metrics.hit_rate(test, metrics.popular(train, 20))
+
+
+# --- several relevant items ------------------------------------------------------------
+
+
+def _multi_sql(recs: str, truth: str, users: str, model: str, notes: str) -> str:
+    """Multi-truth metrics; ``recs`` may be a per-user or (user_id missing) shared list."""
+    ideal = lambda k: f"list_sum(list_transform(range(1, least(n_truth, {k}) + 1), lambda r: 1 / log2(r + 1)))"
+    return " UNION ALL ".join(
+        f"""SELECT '{model}' AS model, {k} AS k, round(coalesce(avg(h{k} / n_truth), 0), 5) AS recall, round(coalesce(avg(h{k} / {k}), 0), 5) AS precision,
+        round(coalesce(avg(g{k} / {ideal(k)}), 0), 5) AS ndcg, count(*) AS users_evaluated, '{notes}' AS notes FROM
+        (SELECT t.user_id, count(*) AS n_truth, count(*) FILTER (WHERE r.rank <= {k}) AS h{k}, coalesce(sum(1 / log2(r.rank + 1)) FILTER (WHERE r.rank <= {k}), 0) AS g{k}
+         FROM (SELECT DISTINCT user_id, item_id FROM {truth}) t SEMI JOIN (SELECT user_id AS pu FROM {users}) ON t.user_id = pu LEFT JOIN {recs} r ON r.item_id = t.item_id {'AND r.user_id = t.user_id' if recs[0] != 'p' else ''} GROUP BY 1)"""
+        for k in metrics.KS
+    )
+
+
+@query(
+    "topk_metrics_multi",
+    f"""WITH {_sql(seed_sql(5))}, {_sql(knn_recs("r", "sd5", "nb", "sim", 20))} {_multi_sql("r", "te5", "r", "ItemKNN", "split=A_N5")}""",
+)
+def _(t):
+    train, test = seed_split(t, 5)
+    seeds = train.filter("target = 1")
+    recs = itemknn.recommend(seeds, itemknn.neighbors(pairs(t), ITEM_K), 20)
+    return metrics.multi_truth_metrics(recs, test, model="ItemKNN", notes="split=A_N5")
+
+
+def cold_itemknn(t: Tables, n: int, item_k: int):
+    """ItemKNN on the seeds alone; users without recommendations count as zero."""
+    train, test = seed_split(t, n)
+    seeds = train.filter("target = 1").select("user_id", "item_id")
+    recs = itemknn.recommend(seeds, itemknn.neighbors(seeds, item_k), 20)
+    return metrics.multi_truth_metrics(recs, test, model="ItemKNN", notes=f"split=A_N{n}, item_k={item_k}", users=test)
+
+
+def _cold_knn_sql(n: int, item_k: int) -> tuple[dict[str, str], str]:
+    p = f"k{n}_{item_k}_"
+    parts = seed_sql(n) | knn(f"sd{n}", item_k, p) | knn_recs(f"{p}r", f"sd{n}", f"{p}nb", "sim", 20)
+    return parts, _multi_sql(f"{p}r", f"te{n}", f"te{n}", "ItemKNN", f"split=A_N{n}, item_k={item_k}")
+
+
+def _union_sql(parts: list[tuple[dict[str, str], str]]) -> tuple[dict[str, str], str]:
+    shared: dict[str, str] = {}
+    for tables_, _ in parts:
+        shared |= tables_
+    return shared, " UNION ALL ".join(body for _, body in parts)
+
+
+KNN_RUNS = ((3, 20), (5, 20))
+_knn_tables, _knn_body = _union_sql([_cold_knn_sql(n, k) for n, k in KNN_RUNS])
+
+
+@query("coldstart_itemknn_metrics", f"WITH {_sql(_knn_tables)} {_knn_body}")
+def _(t):
+    return metrics.combine(*[cold_itemknn(t, n, k) for n, k in KNN_RUNS])
+
+
+def cold_popularity(t: Tables):
+    """Popularity on the three seed splits and the held-out users."""
+    runs = [(f"A_N{n}", *seed_split(t, n)) for n in (1, 3, 5)] + [("C", *splits.held_out_users(t.interactions, HELD_OUT))]
+    out = []
+    for name, train, test in runs:
+        users = test.select("user_id").distinct()
+        recs = metrics.popularity_recs(users, train.filter("target = 1"), 20)
+        out.append(metrics.multi_truth_metrics(recs, test, model="Popularity", notes=f"split={name}"))
+    return metrics.combine(*out)
+
+
+def _pop_sql(name: str, train: str, truth: str) -> tuple[dict[str, str], str]:
+    top = f"SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS rank FROM {train} GROUP BY 1 QUALIFY rank <= 20"
+    return {f"p{name}": top}, _multi_sql(f"p{name}", truth, truth, "Popularity", f"split={name}")
+
+
+_pop_parts = [(seed_sql(n) | _pop_sql(f"A_N{n}", f"sd{n}", f"te{n}")[0], _pop_sql(f"A_N{n}", f"sd{n}", f"te{n}")[1]) for n in (1, 3, 5)]
+_pop_c = _pop_sql("C", "(SELECT * FROM htr WHERE target = 1)", "hte")
+_pop_tables, _pop_body = _union_sql(_pop_parts + [(HELD_SQL | _pop_c[0], _pop_c[1])])
+
+
+@query("coldstart_popularity_metrics", f"WITH {_sql(_pop_tables)} {_pop_body}")
+def _(t):
+    return cold_popularity(t)
+
+
+@query(
+    "coldstart_cold_metrics",
+    f"""WITH {TAGS}, {_sql(HELD_SQL)}, hv AS (SELECT user_id, dim, f AS v FROM fv SEMI JOIN hu USING (user_id)),
+        {_topk_sql("hv", 20, "SELECT 0 AS user_id, 0 AS item_id WHERE FALSE")} {_multi_sql("rk", "hte", "rk", "Hybrid", "split=C")}""",
+)
+def _(t):
+    _, test = splits.held_out_users(t.interactions, HELD_OUT)
+    tagged = features.profile_tags(t.users, AS_OF).join(test.select("user_id").distinct(), "user_id", "left_semi")
+    users = embeddings.tag_vectors(tagged, tag_table(t), DIMS)
+    recs = embeddings.score_topk(users, t.item_vectors, 20)
+    return metrics.multi_truth_metrics(recs, test, model="Hybrid", notes="split=C")
+
+
+# --- grid -----------------------------------------------------------------------------
+
+
+def grid(t: Tables, **options):
+    train, test = loo(t)
+    neighbors = itemknn.neighbors(train, max(options.get("item_ks", metrics.GRID_K)))
+    return metrics.knn_grid(test, train, neighbors, itemknn.item_popularity(train), **options)
+
+
+def grid_sql(item_ks, thresholds, modes) -> dict[str, str]:
+    cells = [(k, t) for k in item_ks for t in thresholds]
+    sums = ", ".join(
+        f"sum(a1) FILTER (WHERE rank <= {k} AND sim > {t})::DOUBLE AS s{i}, sum(a2) FILTER (WHERE rank <= {k} AND sim > {t})::DOUBLE AS q{i}"
+        for i, (k, t) in enumerate(cells)
+    )
+    value = {
+        "baseline": "floor(s{i} / 1000.0::DOUBLE + 0.5)",
+        "sim2": "floor(q{i} / 1000.0::DOUBLE + 0.5)",
+        "normalize_seed": "floor(s{i} / (1000.0::DOUBLE * n_seeds) + 0.5)",
+        "pop_pow": "floor(s{i} / (1000.0::DOUBLE * pow(n::DOUBLE, 0.5)) + 0.5)",
+        "pop_log": "floor(s{i} / (1000.0::DOUBLE * pow(ln(1 + n::DOUBLE), 0.5)) + 0.5)",
+    }
+    configs = [(m, k, t, i) for m in modes for i, (k, t) in enumerate(cells)]
+    scores = ", ".join(f"{value[m].format(i=i)} AS c{j}" for j, (m, _, _, i) in enumerate(configs))
+    ahead = ", ".join(
+        f"count(*) FILTER (WHERE s.c{j} > t.c{j} OR (s.c{j} = t.c{j} AND s.item_id < t.item_id)) + 1 AS r{j}, any_value(t.c{j} IS NOT NULL) AS f{j}"
+        for j in range(len(configs))
+    )
+    rows = " UNION ALL ".join(
+        f"""SELECT '{m}' AS agg, {k} AS item_k, {t}::DOUBLE AS sim_threshold, """ + ", ".join(
+            f"count(*) FILTER (WHERE f{j} AND r{j} <= {q}) AS h{q}, coalesce(sum(1 / log2(r{j} + 1)) FILTER (WHERE f{j} AND r{j} <= {q}), 0) AS g{q}" for q in metrics.KS
+        ) + " FROM gr"
+        for j, (m, k, t, _) in enumerate(configs)
+    )
+    out = ", ".join(
+        f"round(h{q} / users, 5) AS recall_{q}, round(h{q} / (users * {q}), 5) AS precision_{q}, round(g{q} / users, 5) AS ndcg_{q}" for q in metrics.KS
+    )
+    return knn("loo_train", max(item_ks), "grid_") | {
+        "gt": "SELECT * FROM loo_test WHERE item_id IN (SELECT item_id FROM loo_train)",
+        "ga": f"""SELECT s.user_id, neighbor_id AS item_id, {sums} FROM loo_train s SEMI JOIN (SELECT user_id AS gu FROM gt) ON s.user_id = gu
+            JOIN (SELECT *, floor(sim * 1e9 + 0.5)::BIGINT AS a1, floor(sim * sim * 1e9 + 0.5)::BIGINT AS a2 FROM grid_nb) b ON b.item_id = s.item_id GROUP BY 1, 2""",
+        "gs": f"""SELECT ga.user_id, ga.item_id, {scores} FROM ga ANTI JOIN loo_train x USING (user_id, item_id) JOIN grid_cnt USING (item_id)
+            JOIN (SELECT user_id, count(*) AS n_seeds FROM loo_train GROUP BY 1) USING (user_id)""",
+        "gr": f"SELECT s.user_id, {ahead} FROM gs s JOIN (SELECT gs.* FROM gs SEMI JOIN gt USING (user_id, item_id)) t ON t.user_id = s.user_id GROUP BY 1",
+        "gm": f"SELECT agg, item_k, sim_threshold, users, {out} FROM ({rows}), (SELECT count(*) AS users FROM gt)",
+    }
+
+
+FULL_GRID = grid_sql(metrics.GRID_K, metrics.GRID_THRESHOLD, metrics.GRID_MODE)
+SMALL = {"item_ks": (5, 20), "thresholds": (0.0, 0.1), "modes": ("baseline", "sim2", "pop_log")}
+SMALL_GRID = grid_sql(*SMALL.values())
+
+
+@query("itemknn_grid", f"WITH {_sql(FULL_GRID)} SELECT * FROM gm")
+def _(t):
+    return grid(t)
+
+
+@query(
+    "grid_best",
+    f"""WITH {_sql(SMALL_GRID)} SELECT agg, item_k, sim_threshold, recall_10, ndcg_10 FROM gm
+        QUALIFY row_number() OVER (PARTITION BY agg ORDER BY recall_10 DESC, ndcg_10 DESC, item_k, sim_threshold) = 1""",
+)
+def _(t):
+    order = [F.desc("recall_10"), F.desc("ndcg_10"), F.col("item_k"), F.col("sim_threshold")]
+    return metrics.best_per(grid(t, **SMALL), "agg", order).select("agg", "item_k", "sim_threshold", "recall_10", "ndcg_10")
+
+
+@query(
+    "grid_matrix",
+    f"""WITH {_sql(SMALL_GRID)} SELECT sim_threshold, round(avg(recall_10) FILTER (WHERE item_k = 5), 5) AS k_5, round(avg(recall_10) FILTER (WHERE item_k = 20), 5) AS k_20 FROM gm GROUP BY 1""",
+)
+def _(t):
+    out = metrics.grid_matrix(grid(t, **SMALL), SMALL["item_ks"])
+    return out.select("sim_threshold", F.col("5").alias("k_5"), F.col("20").alias("k_20"))
+
+
+BEST = "best AS (SELECT * FROM gm ORDER BY ndcg_20 DESC, recall_20 DESC, agg, item_k, sim_threshold LIMIT 1)"
+
+
+def best_config(t: Tables):
+    order = [F.desc("ndcg_20"), F.desc("recall_20"), "agg", "item_k", "sim_threshold"]
+    return grid(t, **SMALL).orderBy(*order).limit(1)
+
+
+MELT = " UNION ALL ".join(f"SELECT agg, {k} AS k, recall_{k} AS recall, precision_{k} AS precision, ndcg_{k} AS ndcg FROM gm" for k in metrics.KS)
+
+
+@query("metrics_melt", f"WITH {_sql(SMALL_GRID)}, m AS ({MELT}) SELECT agg, k, recall, precision, ndcg FROM m")
+def _(t):
+    return metrics.melt(grid(t, **SMALL), ["agg"])
+
+
+@query(
+    "model_comparison",
+    f"""WITH {_sql(SMALL_GRID)}, {BEST}, {EMB_LOO}, {POP_LOO}
+        {" UNION ALL ".join(f"SELECT 'ItemKNN(' || agg || ')' AS model, {k} AS k, recall_{k} AS recall, precision_{k} AS precision, ndcg_{k} AS ndcg FROM best" for k in metrics.KS)}
+        UNION ALL SELECT model, k, recall, precision, ndcg FROM ({_loo_sql("rk", "items_v", "Embedding")})
+        UNION ALL SELECT 'Popularity', 20, round(count(p.item_id) / count(*), 5), NULL, NULL FROM loo_test LEFT JOIN pl_top p USING (item_id)""",
+)
+def _(t):
+    train, test = loo(t)
+    knn_rows = metrics.melt(best_config(t), ["agg"]).withColumn("model", F.concat(F.lit("ItemKNN("), F.col("agg"), F.lit(")"))).drop("agg")
+    recs = embeddings.score_topk(embeddings.warm_vectors(train, None, t.item_vectors, DIMS), t.item_vectors, 20, train)
+    emb_rows = metrics.loo_metrics(test, recs, t.item_vectors, model="Embedding").drop("users_evaluated")
+    pop_rows = metrics.hit_rate(test, metrics.popular(train, 20)).select(
+        F.lit("Popularity").alias("model"), F.lit(20).alias("k"), "recall"
+    )
+    both = metrics.combine(knn_rows, emb_rows, pop_rows)
+    return both.orderBy("k", F.desc_nulls_last("ndcg"), F.desc_nulls_last("recall")).select("model", "k", "recall", "precision", "ndcg")
+
+
+# --- metric log -----------------------------------------------------------------------
+
+
+def metric_log(t: Tables):
+    """The cold-start runs as a log; ItemKNN was run twice."""
+    runs = [
+        cold_popularity(t).withColumn("date", F.lit("2025-01-01")),
+        metrics.combine(*[cold_itemknn(t, n, 20) for n in (3, 5)]).withColumn("date", F.lit("2025-01-02")),
+        metrics.combine(*[cold_itemknn(t, n, 10) for n in (3, 5)]).withColumn("date", F.lit("2025-01-03")),
+    ]
+    return metrics.with_split(metrics.combine(*runs))
+
+
+_log_parts = []
+for _date, _runs in (("2025-01-02", ((3, 20), (5, 20))), ("2025-01-03", ((3, 10), (5, 10)))):
+    for _n, _k in _runs:
+        _tables, _body = _cold_knn_sql(_n, _k)
+        _log_parts.append((_tables, f"SELECT *, '{_date}' AS date FROM ({_body})"))
+_log_parts.append((_pop_tables, f"SELECT *, '2025-01-01' AS date FROM ({_pop_body})"))
+_log_tables, _log_body = _union_sql(_log_parts)
+LATEST = f"""{_sql(_log_tables)}, lg AS (SELECT *, regexp_extract(notes, 'split=([A-Za-z0-9_]+)', 1) AS split FROM ({_log_body})),
+lt AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY model, k, split ORDER BY date DESC) = 1)"""
+
+
+def latest_metrics(t: Tables):
+    return metrics.latest(metric_log(t), ["model", "k", "split"], ["date"])
+
+
+@query("metrics_latest", f"WITH {LATEST} SELECT model, k, split, recall, precision, ndcg, users_evaluated, notes, date FROM lt")
+def _(t):
+    return latest_metrics(t)
+
+
+@query("coldstart_comparison", f"WITH {LATEST} SELECT split, model, k, recall, precision, ndcg, users_evaluated FROM lt")
+def _(t):
+    return latest_metrics(t).orderBy("split", "k", F.desc("ndcg"), F.desc("recall")).select(
+        "split", "model", "k", "recall", "precision", "ndcg", "users_evaluated"
+    )
+
+
+@query(
+    "metrics_pivot",
+    f"""WITH {LATEST} SELECT split, max(ndcg) FILTER (WHERE model = 'ItemKNN') AS itemknn, max(ndcg) FILTER (WHERE model = 'Popularity') AS popularity FROM lt WHERE k = 20 GROUP BY 1""",
+)
+def _(t):
+    wide = latest_metrics(t).filter("k = 20").groupBy("split").pivot("model", ["ItemKNN", "Popularity"]).agg(F.first("ndcg"))
+    return wide.select("split", F.col("ItemKNN").alias("itemknn"), F.col("Popularity").alias("popularity"))
+
+
+@query(
+    "ablation_gap",
+    f"""WITH {LATEST} SELECT a.split, round(a.ndcg - b.ndcg, 5) AS ndcg_gap, round(a.recall - b.recall, 5) AS recall_gap FROM lt a JOIN lt b USING (split, k)
+        WHERE a.model = 'Popularity' AND b.model = 'ItemKNN' AND k = 20""",
+)
+def _(t):
+    rows = latest_metrics(t).filter("k = 20")
+    value = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c)))
+    gap = lambda c: F.round(value(c, "Popularity") - value(c, "ItemKNN"), 5).alias(f"{c}_gap")
+    out = rows.groupBy("split").agg(gap("ndcg"), gap("recall"))
+    return out.filter("ndcg_gap is not null")
+
+
+@query(
+    "metrics_log_append",
+    f"""WITH {_sql(_pop_tables)}, m AS ({_pop_body}) SELECT date, model, k, recall, precision, ndcg, users_evaluated, notes
+        FROM m, (SELECT unnest(['2025-01-01', '2025-01-02']) AS date)""",
+)
+def _(t):
+    path = run_dir(t.spark, "metrics-log")
+    rows = cold_popularity(t)
+    for date in ("2025-01-01", "2025-01-02"):
+        tables.append_metrics(rows.withColumn("date", F.lit(date)), path, METRICS)
+    return t.spark.read.schema(METRICS).parquet(path)
+
+
+# --- classifier report ---------------------------------------------------------------
+
+
+@query(
+    "confusion_report",
+    """WITH u AS (SELECT user_id, sum(target) / count(*) AS us FROM labelled GROUP BY 1), i AS (SELECT item_id, sum(target) / count(*) AS its FROM labelled GROUP BY 1),
+       p AS (SELECT target AS label, ((us + its) / 2.0::DOUBLE >= 0.67)::INT AS pred FROM labelled JOIN u USING (user_id) JOIN i USING (item_id)),
+       c AS (SELECT l AS label, count(*) FILTER (WHERE label = l) AS support, count(*) FILTER (WHERE pred = l) AS predicted, count(*) FILTER (WHERE label = l AND pred = l) AS tp
+             FROM p, (SELECT unnest([0, 1]) AS l) GROUP BY 1)
+       SELECT label, support, round(coalesce(tp / nullif(predicted, 0), 0), 5) AS precision, round(coalesce(tp / nullif(support, 0), 0), 5) AS recall,
+       round(coalesce(2.0::DOUBLE * tp / nullif(support + predicted, 0), 0), 5) AS f1 FROM c""",
+)
+def _(t):
+    labelled = t.interactions.groupBy("user_id", "item_id").agg(F.max("target").alias("target"))
+    share = F.sum("target") / F.count(F.lit(1))
+    users = labelled.groupBy("user_id").agg(share.alias("us"))
+    items = labelled.groupBy("item_id").agg(share.alias("its"))
+    scored = labelled.join(users, "user_id").join(items, "item_id")
+    score = (F.col("us") + F.col("its")) / F.lit(2.0)
+    return metrics.confusion(scored.select(F.col("target").alias("label"), score.alias("score")), 0.67)
+
+

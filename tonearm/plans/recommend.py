@@ -62,10 +62,8 @@ for _name, (_mode, _add) in MODES.items():
 
 @query(
     "itemknn_norm",
-    f"""WITH n AS (SELECT user_id, count(*) AS n_seeds FROM pos GROUP BY 1),
-        {_sql({"rs": knn_recs("r", "pos", "nb", "sim", N)["r_s"].replace("round(sum(sim), 6) AS score", "sum(sim) AS s")})}
-        SELECT user_id, item_id, round(s / n_seeds, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(s / n_seeds, 6) DESC, item_id) AS rank
-        FROM rs JOIN n USING (user_id) QUALIFY rank <= {N}""",
+    f"""WITH sn AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_seeds FROM pos),
+        {_sql(knn_recs("r", "sn", "nb", "sim", N, divisor="s.n_seeds"))} SELECT user_id, item_id, score, rank FROM r""",
 )
 def _(t):
     return _recommend(t, "normalize_seed")
@@ -135,7 +133,7 @@ DIMS = 64
 
 def _long(df, key: str):
     return df.select(key, F.posexplode("embedding").alias("dim", "v")).select(
-        key, F.col("dim").alias("dim"), F.round(F.col("v").cast("double"), 5).alias("value")
+        key, F.col("dim").alias("dim"), (F.round(F.col("v").cast("double"), 5) + F.lit(0.0)).alias("value")
     )
 
 
@@ -145,7 +143,7 @@ wx AS (SELECT user_id, greatest(aff + 0.5, 0.0)::DOUBLE AS wt, unnest(embedding)
 wd AS (SELECT user_id, dim, CASE WHEN sum(wt) > 0 THEN sum(wt * x) / sum(wt) ELSE avg(x) END AS v FROM wx GROUP BY 1, 2)"""
 
 
-@query("warm_user_vectors", f"WITH {WARM} SELECT user_id, dim, round(v, 5) AS value FROM wd")
+@query("warm_user_vectors", f"WITH {WARM} SELECT user_id, dim, round(v, 5) + 0.0 AS value FROM wd")
 def _(t):
     return _long(embeddings.warm_vectors(t.history, affinities(t), t.item_vectors, DIMS), "user_id")
 
@@ -209,7 +207,7 @@ cd AS (SELECT coalesce(fv.user_id, tt.user_id) AS user_id, coalesce(fv.dim, tt.d
        FROM fv FULL JOIN tt ON fv.user_id = tt.user_id AND fv.dim = tt.dim)"""
 
 
-@query("cold_user_vectors", f"WITH {TAGS} SELECT user_id, dim, round(v, 5) AS value FROM cd")
+@query("cold_user_vectors", f"WITH {TAGS} SELECT user_id, dim, round(v, 5) + 0.0 AS value FROM cd")
 def _(t):
     tagged = features.profile_tags(t.users, AS_OF)
     return _long(embeddings.cold_vectors(tagged, tag_table(t), picks(t), t.item_vectors, dims=DIMS), "user_id")
@@ -235,7 +233,7 @@ def _(t):
     f"""WITH it AS (SELECT item_id, unnest(['lang_pref_' || language, 'bd_' || (item_id % 7)]) AS tag FROM catalogue), {TAGS},
         s AS (SELECT item_id, dim, sum(v) AS s FROM it JOIN tv USING (tag) GROUP BY 1, 2),
         o AS (SELECT item_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM items_v)
-        SELECT item_id, dim, round(x + coalesce(s, 0), 5) AS value FROM o LEFT JOIN s USING (item_id, dim)""",
+        SELECT item_id, dim, round(x + coalesce(s, 0), 5) + 0.0 AS value FROM o LEFT JOIN s USING (item_id, dim)""",
 )
 def _(t):
     tags = F.array(
