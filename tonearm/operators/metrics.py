@@ -139,83 +139,92 @@ def knn_grid(
 ) -> DataFrame:
     """One row per (mode, item_k, threshold) with leave-one-out metrics.
 
-    One pass for all configurations: a candidate's scores under every (item_k,
-    threshold) are conditional sums of one aggregate, and a configuration's
-    rank of the held-out item is the number of candidates that beat it. No
-    list is built or sorted per configuration.
+    One pass for all configurations. A candidate's scores under every (item_k,
+    threshold) cell are conditional sums of one aggregate; a configuration's
+    rank of the held-out item is one plus the number of candidates that beat
+    it. No list is built or sorted per configuration, and candidates of users
+    whose held-out item a cell never proposes are dropped at the join.
     """
     cells = [(k, t) for k in item_ks for t in thresholds]
+    known = seeds.select("item_id").distinct()
+    tested = test.join(known, "item_id", "left_semi").select("user_id", F.col("item_id").alias("t_item"))
+    adds = neighbors.join(popularity.select(F.col("item_id").alias("neighbor_id"), "pop"), "neighbor_id").withColumns(
+        {"add": numeric.billionths(F.col("sim")), "add2": numeric.billionths(F.col("sim") * F.col("sim"))}
+    )
     sums = []
     for i, (k, t) in enumerate(cells):
         used = (F.col("rank") <= k) & (F.col("sim") > t)
-        sums.append(F.sum(F.when(used, F.col("add"))).alias(f"s{i}"))
-        sums.append(F.sum(F.when(used, F.col("add2"))).alias(f"q{i}"))
-    adds = neighbors.withColumns(
-        {"add": numeric.billionths(F.col("sim")), "add2": numeric.billionths(F.col("sim") * F.col("sim"))}
+        sums += [F.sum(F.when(used, F.col("add"))).alias(f"s{i}"), F.sum(F.when(used, F.col("add2"))).alias(f"q{i}")]
+
+    def by_cell(wide: DataFrame, keep: list[str]) -> DataFrame:
+        """One row per cell that proposes the candidate."""
+        each = F.array(*[F.struct(F.lit(i).alias("cell"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q")) for i in range(len(cells))])
+        return wide.select(*keep, "pop", F.explode(each).alias("c")).select(*keep, "pop", "c.*").filter("s is not null")
+
+    pop = F.greatest(F.col("pop"), F.lit(1)).cast("double")
+    score = {
+        "baseline": numeric.score(F.col("s")),
+        "sim2": numeric.score(F.col("q")),
+        "normalize_seed": numeric.score(F.col("s"), F.col("n_seeds")),
+        "pop_pow": numeric.score(F.col("s"), F.pow(pop, F.lit(alpha))),
+        "pop_log": numeric.score(F.col("s"), F.pow(F.log1p(pop), F.lit(alpha))),
+    }
+    n_seeds = seeds.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    own = (
+        seeds.select("user_id", "item_id")
+        .join(tested, "user_id")
+        .join(adds.withColumnRenamed("neighbor_id", "t_item"), ["item_id", "t_item"])
+        .groupBy("user_id", "t_item", "pop")
+        .agg(*sums)
+        .join(n_seeds, "user_id")
+    )
+    target = by_cell(own, ["user_id", "t_item", "n_seeds"]).select(
+        "user_id", "cell", "t_item", "n_seeds", *[score[m].alias(f"t_{m}") for m in modes]
     )
-    known = seeds.select("item_id").distinct()
-    tested = test.join(known, "item_id", "left_semi")
     cands = (
         seeds.select("user_id", "item_id")
-        .join(tested.select("user_id"), "user_id", "left_semi")
+        .join(own.select("user_id"), "user_id", "left_semi")
         .join(adds, "item_id")
-        .groupBy("user_id", F.col("neighbor_id").alias("cand"))
+        .groupBy("user_id", F.col("neighbor_id").alias("cand"), "pop")
         .agg(*sums)
         .withColumnRenamed("cand", "item_id")
         .join(seeds.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-        .join(popularity.select("item_id", "pop"), "item_id")
-        .join(seeds.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seeds")), "user_id")
-    )
-    pop = F.greatest(F.col("pop"), F.lit(1)).cast("double")
-    made = {
-        "baseline": lambda i: numeric.score(F.col(f"s{i}")),
-        "sim2": lambda i: numeric.score(F.col(f"q{i}")),
-        "normalize_seed": lambda i: numeric.score(F.col(f"s{i}"), F.col("n_seeds")),
-        "pop_pow": lambda i: numeric.score(F.col(f"s{i}"), F.pow(pop, F.lit(alpha))),
-        "pop_log": lambda i: numeric.score(F.col(f"s{i}"), F.pow(F.log1p(pop), F.lit(alpha))),
-    }
-    configs = [(m, k, t, i) for m in modes for i, (k, t) in enumerate(cells)]
-    scores = [made[m](i).alias(f"c{j}") for j, (m, _, _, i) in enumerate(configs)]
-    scored = cands.select("user_id", "item_id", *scores)
-
-    names = [f"c{j}" for j in range(len(configs))]
-    target = scored.join(tested, ["user_id", "item_id"], "left_semi").select(
-        "user_id", F.col("item_id").alias("t_item"), *[F.col(c).alias(f"t_{c}") for c in names]
     )
+    met = by_cell(cands, ["user_id", "item_id"]).join(target, ["user_id", "cell"])
     ahead = [
         F.count_if(
-            (F.col(c) > F.col(f"t_{c}")) | ((F.col(c) == F.col(f"t_{c}")) & (F.col("item_id") < F.col("t_item")))
-        ).alias(c)
-        for c in names
+            (score[m] > F.col(f"t_{m}")) | ((score[m] == F.col(f"t_{m}")) & (F.col("item_id") < F.col("t_item")))
+        ).alias(m)
+        for m in modes
     ]
-    # A null score means the configuration never proposes the item.
-    found = [F.max(F.col(f"t_{c}").isNotNull().cast("int")).alias(f"f_{c}") for c in names]
-    ranks = scored.join(target, "user_id").groupBy("user_id").agg(*ahead, *found)
+    ranks = met.groupBy("user_id", "cell").agg(*ahead)
+    ranked = ranks.select("cell", F.explode(F.array(*[F.struct(F.lit(m).alias("agg"), (F.col(m) + 1).alias("rank")) for m in modes])).alias("m")).select(
+        "cell", "m.*"
+    )
     totals = []
-    for c in names:
-        rank = F.when(F.col(f"f_{c}") == 1, F.col(c) + 1)
-        for k in ks:
-            inside = rank <= min(k, reco_n)
-            totals.append(F.count_if(inside).alias(f"h{k}_{c}"))
-            totals.append(F.coalesce(F.sum(F.when(inside, _gain(rank.cast("double")))), F.lit(0.0)).alias(f"g{k}_{c}"))
-    row = ranks.agg(*totals)
-    structs = [
-        F.struct(
-            F.lit(m).alias("agg"), F.lit(k).alias("item_k"), F.lit(t).alias("sim_threshold"),
-            *[F.col(f"{p}{q}_{names[j]}").alias(f"{p}{q}") for q in ks for p in ("h", "g")],
-        )
-        for j, (m, k, t, _) in enumerate(configs)
+    for q in ks:
+        inside = F.col("rank") <= min(q, reco_n)
+        totals += [
+            F.count_if(inside).alias(f"h{q}"),
+            F.sum(F.when(inside, _gain(F.col("rank").cast("double"))).otherwise(0.0)).alias(f"g{q}"),
+        ]
+    found = ranked.groupBy("cell", "agg").agg(*totals)
+    configs = [
+        F.struct(F.lit(i).alias("cell"), F.lit(m).alias("agg"), F.lit(k).alias("item_k"), F.lit(t).alias("sim_threshold"))
+        for m in modes
+        for i, (k, t) in enumerate(cells)
     ]
-    n_users = tested.agg(F.count(F.lit(1))).scalar()
-    long = row.select(F.explode(F.array(*structs)).alias("m"), n_users.alias("users")).select("m.*", "users")
+    users = tested.agg(F.count(F.lit(1)).alias("users"))
+    table = users.select("users", F.explode(F.array(*configs)).alias("c")).select("users", "c.*")
     out = []
     for q in ks:
+        hits, gain = F.coalesce(f"h{q}", F.lit(0)), F.coalesce(f"g{q}", F.lit(0.0))
         out += [
-            F.round(F.col(f"h{q}") / F.col("users"), 5).alias(f"recall_{q}"),
-            F.round(F.col(f"h{q}") / (F.col("users") * q), 5).alias(f"precision_{q}"),
-            F.round(F.col(f"g{q}") / F.col("users"), 5).alias(f"ndcg_{q}"),
+            F.round(hits / F.col("users"), 5).alias(f"recall_{q}"),
+            F.round(hits / (F.col("users") * q), 5).alias(f"precision_{q}"),
+            F.round(gain / F.col("users"), 5).alias(f"ndcg_{q}"),
         ]
-    return long.select("agg", "item_k", "sim_threshold", "users", *out)
+    return table.join(found, ["cell", "agg"], "left").select("agg", "item_k", "sim_threshold", "users", *out)
 
 
 def best_per(df: DataFrame, group: str, order: list[Column]) -> DataFrame:

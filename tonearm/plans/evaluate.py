@@ -268,40 +268,35 @@ def grid(t: Tables, **options):
 
 def grid_sql(item_ks, thresholds, modes) -> dict[str, str]:
     cells = [(k, t) for k in item_ks for t in thresholds]
-    sums = ", ".join(
-        f"sum(a1) FILTER (WHERE rank <= {k} AND sim > {t})::DOUBLE AS s{i}, sum(a2) FILTER (WHERE rank <= {k} AND sim > {t})::DOUBLE AS q{i}"
-        for i, (k, t) in enumerate(cells)
-    )
     value = {
-        "baseline": "floor(s{i} / 1000.0::DOUBLE + 0.5)",
-        "sim2": "floor(q{i} / 1000.0::DOUBLE + 0.5)",
-        "normalize_seed": "floor(s{i} / (1000.0::DOUBLE * n_seeds) + 0.5)",
-        "pop_pow": "floor(s{i} / (1000.0::DOUBLE * pow(n::DOUBLE, 0.5)) + 0.5)",
-        "pop_log": "floor(s{i} / (1000.0::DOUBLE * pow(ln(1 + n::DOUBLE), 0.5)) + 0.5)",
+        "baseline": "floor(s / 1000.0::DOUBLE + 0.5)",
+        "sim2": "floor(q / 1000.0::DOUBLE + 0.5)",
+        "normalize_seed": "floor(s / (1000.0::DOUBLE * n_seeds) + 0.5)",
+        "pop_pow": "floor(s / (1000.0::DOUBLE * pow(n::DOUBLE, 0.5)) + 0.5)",
+        "pop_log": "floor(s / (1000.0::DOUBLE * pow(ln(1 + n::DOUBLE), 0.5)) + 0.5)",
     }
-    configs = [(m, k, t, i) for m in modes for i, (k, t) in enumerate(cells)]
-    scores = ", ".join(f"{value[m].format(i=i)} AS c{j}" for j, (m, _, _, i) in enumerate(configs))
-    ahead = ", ".join(
-        f"count(*) FILTER (WHERE s.c{j} > t.c{j} OR (s.c{j} = t.c{j} AND s.item_id < t.item_id)) + 1 AS r{j}, any_value(t.c{j} IS NOT NULL) AS f{j}"
-        for j in range(len(configs))
-    )
-    rows = " UNION ALL ".join(
-        f"""SELECT '{m}' AS agg, {k} AS item_k, {t}::DOUBLE AS sim_threshold, """ + ", ".join(
-            f"count(*) FILTER (WHERE f{j} AND r{j} <= {q}) AS h{q}, coalesce(sum(1 / log2(r{j} + 1)) FILTER (WHERE f{j} AND r{j} <= {q}), 0) AS g{q}" for q in metrics.KS
-        ) + " FROM gr"
-        for j, (m, k, t, _) in enumerate(configs)
+    scores = ", ".join(f"{value[m]} AS {m}" for m in modes)
+    ahead = ", ".join(f"1 + count(*) FILTER (WHERE s.{m} > t.{m} OR (s.{m} = t.{m} AND s.item_id < t.item_id)) AS {m}" for m in modes)
+    sums = ", ".join(
+        f"coalesce(count(*) FILTER (WHERE rank <= {q}), 0) AS h{q}, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= {q}), 0) AS g{q}" for q in metrics.KS
     )
     out = ", ".join(
-        f"round(h{q} / users, 5) AS recall_{q}, round(h{q} / (users * {q}), 5) AS precision_{q}, round(g{q} / users, 5) AS ndcg_{q}" for q in metrics.KS
+        f"round(coalesce(h{q}, 0) / users, 5) AS recall_{q}, round(coalesce(h{q}, 0) / (users * {q}), 5) AS precision_{q}, round(coalesce(g{q}, 0) / users, 5) AS ndcg_{q}"
+        for q in metrics.KS
     )
+    cell_rows = ", ".join(f"({i}, {k}, {t}::DOUBLE)" for i, (k, t) in enumerate(cells))
     return knn("loo_train", max(item_ks), "grid_") | {
+        "ce": f"SELECT * FROM (VALUES {cell_rows}) v(cell, item_k, sim_threshold)",
         "gt": "SELECT * FROM loo_test WHERE item_id IN (SELECT item_id FROM loo_train)",
-        "ga": f"""SELECT s.user_id, neighbor_id AS item_id, {sums} FROM loo_train s SEMI JOIN (SELECT user_id AS gu FROM gt) ON s.user_id = gu
-            JOIN (SELECT *, floor(sim * 1e9 + 0.5)::BIGINT AS a1, floor(sim * sim * 1e9 + 0.5)::BIGINT AS a2 FROM grid_nb) b ON b.item_id = s.item_id GROUP BY 1, 2""",
-        "gs": f"""SELECT ga.user_id, ga.item_id, {scores} FROM ga ANTI JOIN loo_train x USING (user_id, item_id) JOIN grid_cnt USING (item_id)
+        "ga": """SELECT s.user_id, neighbor_id AS item_id, cell, sum(floor(sim * 1e9 + 0.5)::BIGINT)::DOUBLE AS s, sum(floor(sim * sim * 1e9 + 0.5)::BIGINT)::DOUBLE AS q
+            FROM loo_train s JOIN grid_nb b ON b.item_id = s.item_id JOIN ce ON rank <= item_k AND sim > sim_threshold GROUP BY 1, 2, 3""",
+        "gs": f"""SELECT ga.user_id, ga.item_id, cell, {scores} FROM ga ANTI JOIN loo_train x USING (user_id, item_id) JOIN grid_cnt USING (item_id)
             JOIN (SELECT user_id, count(*) AS n_seeds FROM loo_train GROUP BY 1) USING (user_id)""",
-        "gr": f"SELECT s.user_id, {ahead} FROM gs s JOIN (SELECT gs.* FROM gs SEMI JOIN gt USING (user_id, item_id)) t ON t.user_id = s.user_id GROUP BY 1",
-        "gm": f"SELECT agg, item_k, sim_threshold, users, {out} FROM ({rows}), (SELECT count(*) AS users FROM gt)",
+        "gr": f"SELECT s.user_id, cell, {ahead} FROM gs s JOIN (SELECT gs.* FROM gs SEMI JOIN gt USING (user_id, item_id)) t USING (user_id, cell) GROUP BY 1, 2",
+        "gl": " UNION ALL ".join(f"SELECT cell, '{m}' AS agg, {m} AS rank FROM gr" for m in modes),
+        "gf": f"SELECT cell, agg, {sums} FROM gl GROUP BY 1, 2",
+        "gm": f"""SELECT agg, item_k, sim_threshold, users, {out} FROM (SELECT ce.*, agg, users FROM ce, (SELECT unnest({list(modes)}) AS agg) m, (SELECT count(*) AS users FROM gt) u) c
+            LEFT JOIN gf USING (cell, agg)""",
     }
 
 
