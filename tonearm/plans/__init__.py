@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from . import activity, catalogue, evaluate, recommend  # noqa: F401  (they register their queries)
+from . import activity, catalogue, evaluate, recommend, streams  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

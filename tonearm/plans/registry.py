@@ -20,7 +20,7 @@ def query(name: str, sql: str | None = None):
         assert name not in PLANS, name
         PLANS[name] = build
         if sql is not None:
-            SQL[name] = with_ctes(sql)
+            SQL[name] = sql if sql in SQL.values() else with_ctes(sql)
         return build
 
     return add
