@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric
+from ..session import materialize
 from .blocks import overlap_square, topk_products
 from .ids import dense_ids
 
 # Users with more items than this do not enter the pair join.
 WIDE_USER_ITEMS = 2000
+# Pairs one task of the join should produce.
+PAIRS_PER_TASK = 4_000_000
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -29,11 +34,16 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _pair_counts(counted: DataFrame) -> DataFrame:
-    """Co-occurrence of unordered pairs; item counts travel with the pair, so no later join."""
-    a = counted.select("user_id", F.col("item_id").alias("a"), F.col("n").alias("n_a"))
-    b = counted.select("user_id", F.col("item_id").alias("b"), F.col("n").alias("n_b"))
-    return a.join(b, "user_id").filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("co"))
+def _pair_counts(counted: DataFrame, parts: int) -> DataFrame:
+    """Co-occurrence of unordered pairs; item counts travel with the pair, so no later join.
+
+    The number of tasks follows the pairs to be produced, which the size of
+    the input does not show.
+    """
+    a = counted.select("user_id", F.col("item_id").alias("a"), F.col("n").alias("n_a")).repartition(parts, "user_id")
+    b = counted.select("user_id", F.col("item_id").alias("b"), F.col("n").alias("n_b")).repartition(parts, "user_id")
+    joined = a.hint("shuffle_hash").join(b, "user_id").filter("a < b")
+    return joined.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("co"))
 
 
 def _mirrored(half: DataFrame) -> DataFrame:
@@ -55,14 +65,21 @@ def neighbors(pos: DataFrame, k: int, wide_user_items: int = WIDE_USER_ITEMS) ->
     are handled by item signatures instead (which of them hold the item), and
     the result stays exact.
     """
-    counted = pos.join(pos.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id")
-    wide = pos.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items")).filter(F.col("n_items") > wide_user_items)
-    if wide.isEmpty():
-        return _ranked(_mirrored(_pair_counts(counted)), k)
-    return _with_wide_users(counted, wide.select("user_id"), k)
+    # The pairs are read by both sides of the join and by the width check: written once.
+    counted = materialize(
+        pos.select("user_id", "item_id").join(pos.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id"), "pairs"
+    )
+    widths = counted.groupBy("user_id").agg(F.count(F.lit(1)).alias("w"))
+    narrow = F.col("w") <= wide_user_items
+    facts = widths.agg(F.sum(F.when(narrow, F.col("w") * F.col("w") / 2)).alias("pairs"), F.max("w").alias("widest")).first()
+    cores = pos.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, math.ceil((facts["pairs"] or 0) / PAIRS_PER_TASK))
+    if (facts["widest"] or 0) <= wide_user_items:
+        return _ranked(_mirrored(_pair_counts(counted, parts)), k)
+    return _with_wide_users(counted, widths.filter(~narrow).select("user_id"), k, parts)
 
 
-def _with_wide_users(counted: DataFrame, wide: DataFrame, k: int) -> DataFrame:
+def _with_wide_users(counted: DataFrame, wide: DataFrame, k: int, parts: int) -> DataFrame:
     """Exact neighbours when some users are too wide for the pair join.
 
     Let c be the overlap of two items' signatures. A pair of items without a
@@ -102,7 +119,7 @@ def _with_wide_users(counted: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     )
 
     narrow = counted.join(wide, "user_id", "left_anti")
-    half = _pair_counts(narrow)
+    half = _pair_counts(narrow, parts)
     sig_a = held.select(F.col("item_id").alias("a"), F.col("held").alias("held_a"))
     sig_b = held.select(F.col("item_id").alias("b"), F.col("held").alias("held_b"))
     shared = F.coalesce(F.size(F.array_intersect("held_a", "held_b")), F.lit(0))

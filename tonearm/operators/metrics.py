@@ -17,10 +17,9 @@ def _gain(rank: Column) -> Column:
     return F.lit(1.0) / F.log2(rank + 1)
 
 
-def ideal_gain(n: Column, k: int) -> Column:
+def ideal_gain(n: str, k: int) -> Column:
     """Best possible gain of ``n`` relevant items within ``k`` places."""
-    parts = [F.when(n >= r, _gain(F.lit(float(r)))).otherwise(0.0) for r in range(1, k + 1)]
-    return reduce(lambda a, b: a + b, parts)
+    return F.expr(f"aggregate(sequence(1, least({n}, {k})), 0D, (acc, r) -> acc + 1.0D / log2(r + 1))")
 
 
 def loo_metrics(test: DataFrame, recs: DataFrame, known: DataFrame, ks: Sequence[int] = KS, model: str = "ItemKNN") -> DataFrame:
@@ -83,7 +82,7 @@ def multi_truth_metrics(
         totals += [
             F.avg(F.col(f"hits_{k}") / F.col("n_truth")).alias(f"recall_{k}"),
             F.avg(F.col(f"hits_{k}") / F.lit(k)).alias(f"precision_{k}"),
-            F.avg(F.col(f"gain_{k}") / ideal_gain(F.col("n_truth"), k)).alias(f"ndcg_{k}"),
+            F.avg(F.col(f"gain_{k}") / ideal_gain("n_truth", k)).alias(f"ndcg_{k}"),
         ]
     wide = per_user.agg(*totals)
     row = lambda k: F.struct(

@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import hashing
-from .cleaning import positive_pairs
+
+
+def labelled(interactions: DataFrame) -> DataFrame:
+    """(user_id, item_id, target): one row per pair, positive when any of its rows is."""
+    return interactions.groupBy("user_id", "item_id").agg(F.max("target").alias("target"))
 
 
 def _with_hash(df: DataFrame, seed: int) -> DataFrame:
@@ -29,23 +33,21 @@ def without(rows: DataFrame, test: DataFrame) -> DataFrame:
     return rows.join(test.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
-def leave_one_out_rows(interactions: DataFrame, min_pos: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) over labelled pairs: everything but the held-out positive, negatives included, is train."""
-    labelled = interactions.groupBy("user_id", "item_id").agg(F.max("target").alias("target"))
-    test = leave_one_out(labelled.filter("target = 1"), min_pos, seed)
+def leave_one_out_rows(pairs: DataFrame, min_pos: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of labelled pairs: everything but the held-out positive, negatives included, is train."""
+    test = leave_one_out(pairs.filter("target = 1"), min_pos, seed)
     users = test.select("user_id")
-    return without(labelled.join(users, "user_id", "left_semi"), test), test
+    return without(pairs.join(users, "user_id", "left_semi"), test), test
 
 
-def seed_n(interactions: DataFrame, n_seed: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def seed_n(pairs: DataFrame, n_seed: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): ``n_seed`` positives and all negatives against the other positives.
 
     Covers users with more than ``n_seed`` positives.
     """
-    labelled = interactions.groupBy("user_id", "item_id").agg(F.max("target").alias("target"))
-    pos = labelled.filter("target = 1")
+    pos = pairs.filter("target = 1")
     users = pos.groupBy("user_id").count().filter(F.col("count") > n_seed)
-    eligible = labelled.join(users, "user_id", "left_semi")
+    eligible = pairs.join(users, "user_id", "left_semi")
     order = Window.partitionBy("user_id").orderBy("h", "item_id")
     seeds = (
         _with_hash(eligible.filter("target = 1"), seed)
@@ -57,16 +59,15 @@ def seed_n(interactions: DataFrame, n_seed: int, seed: int = 42) -> tuple[DataFr
     return seeds.unionByName(eligible.filter("target = 0")), test
 
 
-def held_out_users(interactions: DataFrame, n_test_users: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def held_out_users(pairs: DataFrame, n_test_users: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): whole users held out; their positives count where the item is in train."""
-    labelled = interactions.groupBy("user_id", "item_id").agg(F.max("target").alias("target"))
-    users = labelled.filter("target = 1").select("user_id").distinct()
+    users = pairs.filter("target = 1").select("user_id").distinct()
     chosen = (
         users.withColumn("h", hashing.order_key(F.col("user_id"), seed)).orderBy("h", "user_id").limit(n_test_users)
     ).select("user_id")
-    train = labelled.join(chosen, "user_id", "left_anti")
+    train = pairs.join(chosen, "user_id", "left_anti")
     test = (
-        labelled.filter("target = 1")
+        pairs.filter("target = 1")
         .join(chosen, "user_id", "left_semi")
         .join(train.select("item_id").distinct(), "item_id", "left_semi")
     )
@@ -88,6 +89,3 @@ def first_seeds(pos: DataFrame, n: int, seed: int = 42) -> DataFrame:
         .select("user_id", "item_id")
     )
 
-
-def positives(rows: DataFrame) -> DataFrame:
-    return positive_pairs(rows)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embeddings, features, itemknn, metrics, splits
 from ..schemas import METRICS
-from ..session import run_dir
+from ..session import materialize, run_dir
 from ..sources import tables
 from ..sources.fixtures import Tables
 from .catalogue import AS_OF
@@ -24,11 +24,11 @@ def loo(t: Tables):
     """(train pairs, test rows) of the leave-one-out protocol."""
     pos = pairs(t)
     test = splits.leave_one_out(pos)
-    return splits.without(pos, test), test
+    return materialize(splits.without(pos, test), "loo-train"), materialize(test, "loo-test")
 
 
 def seed_split(t: Tables, n: int):
-    return splits.seed_n(t.interactions, n)
+    return splits.seed_n(t.labelled_pairs, n)
 
 
 def seed_sql(n: int) -> dict[str, str]:
@@ -59,7 +59,7 @@ def _(t):
        FROM labelled l SEMI JOIN (SELECT user_id AS u FROM loo_test) t ON l.user_id = u LEFT JOIN loo_test x USING (user_id, item_id)""",
 )
 def _(t):
-    train, test = splits.leave_one_out_rows(t.interactions)
+    train, test = splits.leave_one_out_rows(t.labelled_pairs)
     return train.withColumnRenamed("target", "part").unionByName(test.withColumn("part", F.lit(2)))
 
 
@@ -79,7 +79,7 @@ def _(t):
     f"""WITH {_sql(HELD_SQL)} SELECT user_id, item_id, 'train' AS part FROM htr UNION ALL SELECT user_id, item_id, 'test' FROM hte""",
 )
 def _(t):
-    train, test = splits.held_out_users(t.interactions, HELD_OUT)
+    train, test = splits.held_out_users(t.labelled_pairs, HELD_OUT)
     return train.select("user_id", "item_id", F.lit("train").alias("part")).unionByName(test.withColumn("part", F.lit("test")))
 
 
@@ -220,7 +220,7 @@ def _(t):
 
 def cold_popularity(t: Tables):
     """Popularity on the three seed splits and the held-out users."""
-    runs = [(f"A_N{n}", *seed_split(t, n)) for n in (1, 3, 5)] + [("C", *splits.held_out_users(t.interactions, HELD_OUT))]
+    runs = [(f"A_N{n}", *seed_split(t, n)) for n in (1, 3, 5)] + [("C", *splits.held_out_users(t.labelled_pairs, HELD_OUT))]
     out = []
     for name, train, test in runs:
         users = test.select("user_id").distinct()
@@ -250,7 +250,7 @@ def _(t):
         {_topk_sql("hv", 20, "SELECT 0 AS user_id, 0 AS item_id WHERE FALSE")} {_multi_sql("rk", "hte", "rk", "Hybrid", "split=C")}""",
 )
 def _(t):
-    _, test = splits.held_out_users(t.interactions, HELD_OUT)
+    _, test = splits.held_out_users(t.labelled_pairs, HELD_OUT)
     tagged = features.profile_tags(t.users, AS_OF).join(test.select("user_id").distinct(), "user_id", "left_semi")
     users = embeddings.tag_vectors(tagged, tag_table(t), DIMS)
     recs = embeddings.score_topk(users, t.item_vectors, 20)
@@ -452,7 +452,7 @@ def _(t):
        round(coalesce(2.0::DOUBLE * tp / nullif(support + predicted, 0), 0), 5) AS f1 FROM c""",
 )
 def _(t):
-    labelled = t.interactions.groupBy("user_id", "item_id").agg(F.max("target").alias("target"))
+    labelled = t.labelled_pairs
     share = F.sum("target") / F.count(F.lit(1))
     users = labelled.groupBy("user_id").agg(share.alias("us"))
     items = labelled.groupBy("item_id").agg(share.alias("its"))

@@ -8,7 +8,6 @@ from ..functions import vectors
 from ..operators import cleaning, embeddings, features, itemknn, metrics, models, rerank, splits
 from ..sources import artifacts
 from ..sources.fixtures import Tables
-from ..session import materialize
 from .activity import affinities
 from .catalogue import AS_OF, PROFILE_TAGS
 from .ctes import knn, knn_recs
@@ -18,7 +17,7 @@ K, N = 20, 20
 
 
 def pairs(t: Tables):
-    return cleaning.positive_pairs(t.interactions)
+    return t.positive_pairs
 
 
 def picks(t: Tables):
@@ -313,7 +312,7 @@ def _model(t: Tables, pos):
 
 @query("item_embedding_table")
 def _(t):
-    pos = materialize(pairs(t))
+    pos = pairs(t)
     return models.item_factors(_model(t, pos), pos).withColumn("embedding", vectors.text(F.col("embedding")))
 
 
@@ -326,7 +325,7 @@ def _(t):
 
 @query("als_recs")
 def _(t):
-    pos = materialize(pairs(t))
+    pos = pairs(t)
     model = _model(t, pos)
     items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").alias("embedding"), F.lit(0.0).alias("bias"))
     return embeddings.score_topk(models.user_factors(model), items, 10, pos)

@@ -62,14 +62,27 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and go on from the copy.
+_run_tables: list[str] = []
 
-    Used where a plan is read several times and must be the same rows each
-    time (range-partitioned tables), or where a lost executor would otherwise
-    cost a long recomputation.
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Used where a plan is read several times: the rows are then the same each
+    time, a lost executor costs no recomputation, and the planner knows the
+    table's size.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = run_dir(spark, name)
+    df.write.parquet(path)
+    _run_tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_run_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this process; call it when their results are stored."""
+    conf, dropped = spark._jsc.hadoopConfiguration(), 0
+    while _run_tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_run_tables.pop())
+        dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped

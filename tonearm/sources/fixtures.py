@@ -11,7 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import tune
+from ..operators.splits import labelled
+from ..session import materialize, tune
 
 # Play sources by event type, members' gender and languages by segment.
 SOURCES = {
@@ -80,6 +81,17 @@ class Tables:
             "user_id", "item_id", "target", "ts", F.col("o_orderkey").alias("order_id"), "line_no"
         )
 
+    @cached_property
+    def positive_pairs(self) -> DataFrame:
+        """Distinct positive (user_id, item_id), written once: most queries read them several times."""
+        rows = self.interactions.filter("target = 1").select("user_id", "item_id")
+        return materialize(rows.distinct(), "positive-pairs")
+
+    @cached_property
+    def labelled_pairs(self) -> DataFrame:
+        """Distinct (user_id, item_id, target) of all listens, written once."""
+        return materialize(labelled(self.interactions), "labelled-pairs")
+
     @cached_property
     def train_raw(self) -> DataFrame:
         """The interaction log with string keys and source columns."""
