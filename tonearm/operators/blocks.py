@@ -1,9 +1,10 @@
 """Top-k of a product of two vector tables, without row pairs.
 
-Both sides are packed into blocks of a few thousand rows. Blocks of the small
-side are repeated once per block of the other side, a NumPy product runs per
-pair of blocks, and only each left row's best ``k`` leave the task. No row
-pair is ever a Spark row, and no task sees more than two blocks at a time.
+Both sides are packed into blocks of a few thousand rows. Every left block goes
+to one task (or a few), followed in sort order by the right blocks; a NumPy
+product runs per pair of blocks, and only each left row's best ``k`` leave the
+task. No row pair is ever a Spark row, a left block is sent once however many
+right blocks it meets, and no task holds more than two blocks at a time.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LEFT_ROWS = 8192
+LEFT_ROWS = 32768
 RIGHT_ROWS = 4096
 # Rows of the small side sent with one left block before it is split over several tasks.
 RIGHT_BLOCKS_PER_TASK = 64
 MAX_TASKS = 20000
+# Row kinds in their sort order within a right block; a left block sorts before all of them.
+LEFT, SKIP, RIGHT = 0, 1, 2
+SKIP_TYPE = "array<struct<id:bigint,match_id:bigint>>"
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -35,16 +39,20 @@ def overlap_square(product: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.where(product > 0, product * product / weight, -np.inf)
 
 
-def _pack(df: DataFrame, columns: list[str], rows_per_block: int) -> tuple[DataFrame, int]:
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(blocks)).cast("int")
+
+
+def _pack(df: DataFrame, rows_per_block: int) -> tuple[DataFrame, int]:
+    """Rows hashed into blocks of about the given size: (blk, block), and the number of blocks."""
     n = df.count()
     # Small tables still make one block per core.
     cores = df.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(n / rows_per_block), min(cores, n // 256))
-    packed = (
-        df.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        .groupBy("blk")
-        .agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    row = F.struct(
+        F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("weight").cast("double").alias("weight")
     )
+    packed = df.groupBy(_block("id", blocks).alias("blk")).agg(F.collect_list(row).alias("block"))
     return packed, blocks
 
 
@@ -76,54 +84,53 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _kernel(k: int, score: Score, chunk: int = 1024):
+    """Consumes rows in the order: left block, then per right block its skip pairs (if any) and the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, left_ids, left, state = None, None, None, None
+        left_ids = left = state = skip = None
 
-        def flush():
+        def best_so_far():
             scores, ids = state
             users = np.repeat(left_ids, scores.shape[1])
-            flat, items = scores.ravel(), ids.ravel()
-            ok = np.isfinite(flat)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(users[ok]), pa.array(items[ok]), pa.array(flat[ok])], names=["id", "match_id", "score"]
-            )
+            ok = np.isfinite(scores.ravel())
+            columns = [users[ok], ids.ravel()[ok], scores.ravel()[ok]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "match_id", "score"])
 
         for batch in batches:
-            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            kinds, blocks, skips = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "block", "skip"))
             for i in range(batch.num_rows):
-                block = cols["lblk"][i].as_py()
-                if block != current:
+                kind = kinds[i].as_py()
+                if kind == LEFT:
                     if state is not None:
-                        yield flush()
-                    _, left_ids, left = _matrix(cols["lrows"][i].values)
-                    current, state = block, None
-                right_rows = cols["rrows"][i].values
-                order, right_ids, right = _matrix(right_rows)
-                weight = right_rows.field("weight").to_numpy(zero_copy_only=False)[order]
+                        yield best_so_far()
+                    _, left_ids, left = _matrix(blocks[i].values)
+                    state = skip = None
+                    continue
+                if kind == SKIP:
+                    skip = skips[i].values
+                    continue
+                if left is None:
+                    continue
+                order, right_ids, right = _matrix(blocks[i].values)
+                weight = blocks[i].values.field("weight").to_numpy(zero_copy_only=False)[order]
                 skip_l = skip_r = np.empty(0, dtype=np.int64)
-                if cols["skip"][i].is_valid:
-                    skip = cols["skip"][i].values
+                if skip is not None:
                     skip_l = np.searchsorted(left_ids, skip.field("id").to_numpy(zero_copy_only=False))
                     skip_r = np.searchsorted(right_ids, skip.field("match_id").to_numpy(zero_copy_only=False))
+                    skip = None
                 parts = []
                 for a in range(0, len(left_ids), chunk):
                     scores = score(left[a : a + chunk] @ right.T, weight)
                     here = (skip_l >= a) & (skip_l < a + chunk)
                     scores[skip_l[here] - a, skip_r[here]] = -np.inf
+                    found = _best(scores, right_ids, k)
                     if state is not None:
-                        old_s, old_i = state[0][a : a + chunk], state[1][a : a + chunk]
-                        new_s, new_i = _best(scores, right_ids, k)
-                        scores, ids = np.hstack([old_s, new_s]), np.hstack([old_i, new_i])
-                    else:
-                        ids = right_ids
-                    parts.append(_best(scores, ids, k))
-                width = min(p[0].shape[1] for p in parts)
-                state = (
-                    np.vstack([p[0][:, :width] for p in parts]),
-                    np.vstack([p[1][:, :width] for p in parts]),
-                )
+                        both = [np.hstack([old[a : a + chunk], new]) for old, new in zip(state, found)]
+                        found = _best(*both, k)
+                    parts.append(found)
+                state = tuple(np.vstack([p[side] for p in parts]) for side in (0, 1))
         if state is not None:
-            yield flush()
+            yield best_so_far()
 
     return run
 
@@ -142,38 +149,37 @@ def topk_products(
     ``left`` is (id, vec); ``right`` is (id, vec, weight); ``skip`` is
     (id, match_id) pairs that never match, removed before ranking.
     """
-    packed_l, n_left = _pack(left.select("id", "vec"), ["id", "vec"], left_rows)
-    packed_r, n_right = _pack(right.select("id", "vec", "weight"), ["id", "vec", "weight"], right_rows)
+    packed_l, n_left = _pack(left.select("id", "vec", F.lit(0.0).alias("weight")), left_rows)
+    packed_r, n_right = _pack(right.select("id", "vec", "weight"), right_rows)
     # A left block meets the right blocks in groups, so that a catalogue of any
     # size spreads over tasks instead of queueing behind one.
     groups = max(1, math.ceil(n_right / RIGHT_BLOCKS_PER_TASK))
+    no_skip = F.lit(None).cast(SKIP_TYPE).alias("skip")
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
+    every_left = F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lblk")
     group = (F.col("rblk") % groups).alias("grp")
     lefts = packed_l.select(
-        F.col("blk").alias("lblk"), F.col("rows").alias("lrows"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
+        F.col("blk").alias("lblk"), every_group, F.lit(-1).alias("rblk"), F.lit(LEFT).alias("kind"), "block", no_skip
     )
-    rights = packed_r.select(F.col("blk").alias("rblk"), F.col("rows").alias("rrows")).select(
-        "rblk", "rrows", group, F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("lblk")
-    )
-    pairs = lefts.join(rights, ["lblk", "grp"])
-    if skip is None:
-        pairs = pairs.withColumn("skip", F.lit(None).cast("array<struct<id:bigint,match_id:bigint>>"))
-    else:
+    rights = packed_r.withColumnRenamed("blk", "rblk").select(every_left, group, "rblk", F.lit(RIGHT).alias("kind"), "block", no_skip)
+    rows = lefts.unionByName(rights)
+    if skip is not None:
         # Ids absent from either side would be misplaced by a search in the block.
         known = skip.join(left.select("id"), "id", "left_semi").join(
             right.select(F.col("id").alias("match_id")), "match_id", "left_semi"
         )
         cells = known.select(
-            F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int").alias("lblk"),
-            F.pmod(F.xxhash64("match_id"), F.lit(n_right)).cast("int").alias("rblk"),
+            _block("id", n_left).alias("lblk"),
+            _block("match_id", n_right).alias("rblk"),
             F.struct(F.col("id").cast("bigint").alias("id"), F.col("match_id").cast("bigint").alias("match_id")).alias("pair"),
         )
-        cells = cells.groupBy("lblk", "rblk").agg(F.collect_list("pair").alias("skip"))
-        pairs = pairs.join(cells, ["lblk", "rblk"], "left")
+        # At most one block's rows times the other's.
+        listed = cells.groupBy("lblk", "rblk").agg(F.collect_list("pair").cast(SKIP_TYPE).alias("skip"))
+        none = F.lit(None).cast(packed_l.schema["block"].dataType).alias("block")
+        rows = rows.unionByName(listed.select("lblk", group, "rblk", F.lit(SKIP).alias("kind"), none, "skip"))
     # A fixed count: the cost is in the products, which adaptive coalescing by bytes cannot see.
     tasks = min(n_left * groups, MAX_TASKS)
-    pairs = pairs.repartition(tasks, "lblk", "grp").sortWithinPartitions("lblk")
-    found = pairs.select("lblk", "lrows", "rrows", "skip").mapInArrow(
-        _kernel(k, score), "id bigint, match_id bigint, score double"
-    )
+    placed = rows.repartition(tasks, "lblk", "grp").sortWithinPartitions("lblk", "grp", "rblk", "kind")
+    found = placed.select("kind", "block", "skip").mapInArrow(_kernel(k, score), "id bigint, match_id bigint, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "match_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
