@@ -10,14 +10,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def sum_of(vector: Column, dims: int, weight: Column | None = None) -> Column:
-    """Element-wise (weighted) sum over a group.
+def sum_of(vector: str, dims: int, weight: str | None = None) -> Column:
+    """Element-wise (weighted) sum over a group of the named columns.
 
     One plain ``sum`` per dimension: partial aggregation happens before the
     shuffle, so a group of any size costs one buffer per task.
     """
-    factor = F.lit(1.0) if weight is None else weight
-    return F.array(*[F.sum(F.get(vector, d).cast("double") * factor) for d in range(dims)])
+    factor = f" * {weight}" if weight else ""
+    return F.expr("array(" + ", ".join(f"sum(CAST(get({vector}, {d}) AS DOUBLE){factor})" for d in range(dims)) + ")")
 
 
 def scale(vector: Column, factor: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors
+from ..session import materialize
 from . import affinity
 from .blocks import topk_products
 
@@ -27,30 +28,25 @@ def warm_vectors(history: DataFrame, affinities: DataFrame | None, items: DataFr
     """
     dims = dims or dims_of(items)
     rows = history.select("user_id", "item_id").distinct()
+    vectors_of = items.select("item_id", "embedding")
+    plain = [F.count(F.lit(1)).alias("n"), vectors.sum_of("embedding", dims).alias("plain_sum")]
+    plain_mean = vectors.scale(F.col("plain_sum"), F.lit(1.0) / F.col("n"))
     if affinities is None:
-        weighted = rows.withColumn("w", F.lit(1.0))
-    else:
-        known = affinities.select("user_id", "item_id", F.col("score").alias("aff"))
-        aff = F.coalesce("aff", F.lit(affinity.DEFAULT_AFFINITY))
-        weighted = (
-            rows.join(known, ["user_id", "item_id"], "left")
-            .filter(aff >= affinity.FILTER_BELOW)
-            .select("user_id", "item_id", F.greatest(aff + 0.5, F.lit(0.0)).alias("w"))
-        )
+        summed = rows.join(vectors_of, "item_id").groupBy("user_id").agg(*plain)
+        return summed.select("user_id", plain_mean.alias("embedding"))
+    known = affinities.select("user_id", "item_id", F.col("score").alias("aff"))
+    aff = F.coalesce("aff", F.lit(affinity.DEFAULT_AFFINITY))
+    weighted = (
+        rows.join(known, ["user_id", "item_id"], "left")
+        .filter(aff >= affinity.FILTER_BELOW)
+        .select("user_id", "item_id", F.greatest(aff + 0.5, F.lit(0.0)).alias("w"))
+    )
     summed = (
-        weighted.join(items.select("item_id", "embedding"), "item_id")
+        weighted.join(vectors_of, "item_id")
         .groupBy("user_id")
-        .agg(
-            F.sum("w").alias("total"),
-            F.count(F.lit(1)).alias("n"),
-            vectors.sum_of(F.col("embedding"), dims, F.col("w")).alias("weighted_sum"),
-            vectors.sum_of(F.col("embedding"), dims).alias("plain_sum"),
-        )
-    )
-    use = F.col("total") > 0
-    mean = F.when(use, vectors.scale(F.col("weighted_sum"), F.lit(1.0) / F.col("total"))).otherwise(
-        vectors.scale(F.col("plain_sum"), F.lit(1.0) / F.col("n"))
+        .agg(F.sum("w").alias("total"), vectors.sum_of("embedding", dims, "w").alias("weighted_sum"), *plain)
     )
+    mean = F.when(F.col("total") > 0, vectors.scale(F.col("weighted_sum"), F.lit(1.0) / F.col("total"))).otherwise(plain_mean)
     return summed.select("user_id", mean.alias("embedding"))
 
 
@@ -60,7 +56,7 @@ def tag_vectors(tagged: DataFrame, tags: DataFrame, dims: int) -> DataFrame:
     inv = F.lit(1.0) / F.col("n")
     return (
         known.groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("n"), vectors.sum_of(F.col("embedding"), dims).alias("s"), F.sum("bias").alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"), vectors.sum_of("embedding", dims).alias("s"), F.sum("bias").alias("b"))
         .select("user_id", vectors.scale(F.col("s"), inv).alias("embedding"), (F.col("b") * inv).alias("bias"))
     )
 
@@ -82,7 +78,7 @@ def full_item_vectors(items: DataFrame, tagged: DataFrame, tags: DataFrame, dims
     """Item vectors plus the sum of their tags' vectors, biases likewise."""
     dims = dims or dims_of(items)
     known = tagged.select("item_id", F.explode("tags").alias("tag")).join(tags, "tag")
-    sums = known.groupBy("item_id").agg(vectors.sum_of(F.col("embedding"), dims).alias("s"), F.sum("bias").alias("b"))
+    sums = known.groupBy("item_id").agg(vectors.sum_of("embedding", dims).alias("s"), F.sum("bias").alias("b"))
     return items.join(sums, "item_id", "left").select(
         "item_id",
         F.coalesce(vectors.add(F.transform("embedding", lambda x: x.cast("double")), F.col("s")), F.transform("embedding", lambda x: x.cast("double"))).alias("embedding"),
@@ -97,12 +93,16 @@ def tag_weights(tagged: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return known.join(n, "user_id").select("user_id", "tag", (F.lit(1.0) / F.col("n")).alias("weight"))
 
 
-def score_topk(users: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None = None, beta: float = BIAS_BETA) -> DataFrame:
+def score_topk(
+    users: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None = None, beta: float = BIAS_BETA, written: bool = False
+) -> DataFrame:
     """(user_id, item_id, score, rank): best items by inner product plus damped item bias.
 
     Excluded pairs are removed before ranking, so ``k`` items are returned
-    whenever the catalogue has them.
+    whenever the catalogue has them. The user vectors are read several times
+    and therefore written first, unless they are a ``written`` table already.
     """
+    users = users if written else materialize(users, "user-vectors")
     found = topk_products(
         users.select(F.col("user_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")),
         items.select(
@@ -122,8 +122,8 @@ def cold_recs(
     tagged: DataFrame, tags: DataFrame, picks: DataFrame, items: DataFrame, exclude: DataFrame, top_n: int = 9
 ) -> DataFrame:
     """The user's own bias shifts all scores alike, so it is added after ranking."""
-    users = cold_vectors(tagged, tags, picks, items)
-    recs = score_topk(users, items, top_n, exclude)
+    users = materialize(cold_vectors(tagged, tags, picks, items), "user-vectors")
+    recs = score_topk(users, items, top_n, exclude, written=True)
     shift = users.select("user_id", (F.col("bias") * BIAS_BETA).alias("shift"))
     return recs.join(shift, "user_id").withColumn("score", F.col("score") + F.col("shift")).drop("shift")
 

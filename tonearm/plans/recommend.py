@@ -188,7 +188,7 @@ def tag_table(t: Tables):
     return (
         rows.select(F.explode("tags").alias("tag"), "embedding", "bias")
         .groupBy("tag")
-        .agg(F.count(F.lit(1)).alias("n"), vectors.sum_of(F.col("embedding"), DIMS).alias("s"), F.avg("bias").alias("bias"))
+        .agg(F.count(F.lit(1)).alias("n"), vectors.sum_of("embedding", DIMS).alias("s"), F.avg("bias").alias("bias"))
         .filter("tag <> 'gender_unknown'")
         .select("tag", vectors.scale(F.col("s"), inv).alias("embedding"), "bias")
     )
