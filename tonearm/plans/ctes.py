@@ -36,7 +36,7 @@ SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 T
 FROM part"""
 CTES["extra"] = """
 SELECT 'S' || lpad(p.p_partkey::VARCHAR, 9, '0') AS song_id, CASE WHEN p.p_partkey % 11 <> 0 THEN p_name END AS name, isrc
-FROM part p JOIN codes USING (p_partkey) WHERE p.p_partkey % 29 <> 0"""
+FROM part p JOIN codes USING (p_partkey) WHERE p_size <> 50"""
 CTES["extra_ids"] = "SELECT song_id, row_number() OVER (ORDER BY song_id) - 1 AS song_id_new FROM (SELECT DISTINCT song_id FROM extra)"
 CTES["song_joined"] = """
 SELECT s.*, e.name, e.isrc, i.song_id_new FROM songs_raw s LEFT JOIN extra_ids i USING (song_id) LEFT JOIN extra e USING (song_id)"""
@@ -104,7 +104,7 @@ SELECT event_id, ts, user_id, (props->>'k')::BIGINT AS item_id, event_type, floo
 CTES["hist"] = """
 SELECT event_id AS id, user_id, item_id, ts AS played_at, seconds AS watch_seconds,
        CASE event_type WHEN 'view' THEN 'RECOMMENDATION' WHEN 'click' THEN 'SEARCH' WHEN 'purchase' THEN 'PLAYLIST'
-            WHEN 'signup' THEN 'ONBOARDING' WHEN 'error' THEN 'FRIEND' END AS source, event_id % 11 = 0 AS is_hidden
+            WHEN 'signup' THEN 'ONBOARDING' WHEN 'error' THEN 'FRIEND' END AS source, event_type = 'error' AND seconds < 20 AS is_hidden
 FROM ev"""
 CTES["vis"] = "SELECT * FROM hist WHERE NOT is_hidden"
 CTES["like_log"] = """

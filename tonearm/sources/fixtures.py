@@ -147,7 +147,7 @@ class Tables:
     def song_extra(self) -> DataFrame:
         return (
             self.raw("part")
-            .filter(~_every("p_partkey", 29))
+            .filter("p_size <> 50")
             .select(
                 F.concat(F.lit("S"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("song_id"),
                 F.when(~_every("p_partkey", 11), F.col("p_name")).alias("name"),
@@ -237,6 +237,13 @@ class Tables:
             F.get_json_object("props", "$.k").cast("bigint").alias("item_id"),
             "event_type",
             F.floor("value").cast("int").alias("seconds"),
+        ).withColumns(
+            {
+                "is_hidden": (F.col("event_type") == "error") & (F.col("seconds") < 20),
+                "playlist_name": F.when(F.col("item_id") % 4 == 0, ARCHIVE).otherwise(
+                    F.concat(F.lit("list-"), (F.col("item_id") % 4).cast("string"))
+                ),
+            }
         )
 
     @cached_property
@@ -249,7 +256,7 @@ class Tables:
             F.col("ts").alias("played_at"),
             F.col("seconds").alias("watch_seconds"),
             _pick(F.col("event_type"), SOURCES).alias("source"),
-            (F.col("event_id") % 11 == 0).alias("is_hidden"),
+            "is_hidden",
         )
 
     @cached_property
@@ -270,7 +277,7 @@ class Tables:
         return self.events.filter(F.col("event_type") == "signup").select(
             (F.col("user_id") * 10 + slot).alias("playlist_id"),
             "user_id",
-            F.when(slot == 0, ARCHIVE).otherwise(F.concat(F.lit("list-"), slot.cast("string"))).alias("playlist_name"),
+            "playlist_name",
             "item_id",
             F.col("ts").alias("added_at"),
             "event_id",

@@ -142,7 +142,7 @@ def like_state(spark: SparkSession, path: str) -> DataFrame:
 def play_signals(t: Tables, archive: str = "archive") -> DataFrame:
     """Running seconds, skips and favourite flag per pair, in one streaming aggregate. Update mode."""
     skip = F.col("seconds") < affinity.SKIP_SECONDS
-    saved = (F.col("event_type") == "signup") & (F.col("item_id") % 4 == 0)
+    saved = (F.col("event_type") == "signup") & (F.col("playlist_name") == archive)
     return t.events.groupBy("user_id", "item_id").agg(
         F.sum(F.when(skip, 0).otherwise(F.col("seconds"))).alias("total_watch_seconds"),
         F.count_if(skip).alias("skip_count"),
@@ -167,7 +167,7 @@ def challenge_counts(t: Tables, lateness: str = "2 days") -> DataFrame:
     The day window starts at 16:00 UTC, which is midnight at UTC+8; an event
     delivered twice within the watermark counts once.
     """
-    visible_long = (F.col("event_id") % 11 != 0) & (F.col("seconds") >= challenges.LONG_PLAY)
+    visible_long = ~F.col("is_hidden") & (F.col("seconds") >= challenges.LONG_PLAY)
     types = F.array_compact(
         F.array(
             F.when(visible_long, 1),
