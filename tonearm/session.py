@@ -41,6 +41,9 @@ def local_session(cores: str = "8", memory: str = "16g", shuffle_partitions: int
     return tune(spark)
 
 
+_local_dir: list[str] = []
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -52,9 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not _is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="tonearm-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    # One process, one machine: a folder of its own, named once.
+    if not _local_dir:
+        _local_dir.append(tempfile.mkdtemp(prefix="tonearm-"))
+    return _local_dir[0]
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
