@@ -4,7 +4,8 @@ A benchmark item is cut into windows of ``WINDOW`` words, a window into
 shingles of ``SHINGLE`` words.  A document holds a window only if it holds all
 its shingles, so the rarest one is the necessary prefix: only where a document
 has that shingle, and only where the window fits before and after it, is the
-window compared in full.
+window compared in full.  How rare a shingle is, is counted over the places of
+all documents where a window may lie.
 """
 
 from __future__ import annotations
@@ -12,27 +13,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .text import count_words, split_words
 
 WINDOW = 13
 SHINGLE = 5
 #: Rows of benchmark shingles up to which they are sent to every executor (about 100 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
-#: A word: digits, ASCII letters in lower case, and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: anything in ASCII but digits and letters.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column | str) -> Column:
-    """The words of a whole text; none for a null text."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a whole text, A-Z in lower case; none for a null text."""
+    return split_words(F.translate(text, UPPER, LOWER), GAP)
 
 
-def shingles(ws: Column, size: int) -> Column:
-    """Runs of ``size`` words at every position, as text; a word holds no space, so the text names the run exactly."""
-    return F.when(
-        F.size(ws) >= size,
-        F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(size)])),
-    )
+def _run(ws: Column, start: Column | int, size: Column | int) -> Column:
+    """``size`` words from the 0-based ``start`` as text; a word holds no space, so the text names the run exactly."""
+    return F.array_join(F.slice(ws, start + 1, size), " ")
+
+
+def _matches(cut: DataFrame, known: DataFrame, length: int, size: int) -> DataFrame:
+    """(key, doc_words, pos, shingle): every occurrence of a known shingle that may lie in a window of ``length`` words.
+
+    A window of ``length`` words holds a whole shingle at one of the places 0,
+    s, 2s, ... of the document, with s = length - size + 1.  So only those are
+    looked up first, each with the words around it that such a window can
+    reach; where one is known, all shingles of these words are.
+    """
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    step, n = length - size + 1, F.size("_w")
+
+    def around(i: Column) -> Column:
+        first = F.greatest(F.lit(0), i - (step - 1))
+        return F.struct(i.alias("at"), first.alias("first"), _run(F.col("_w"), i, F.lit(size)).alias("shingle"), _run(F.col("_w"), first, i + length - first).alias("near"))
+
+    looked = F.when(n >= length, F.transform(F.sequence(F.lit(0), n - size, F.lit(step)), around))
+    spots = cut.select("key", n.alias("doc_words"), F.explode(looked).alias("s")).select("key", "doc_words", "s.first", "s.near", "s.shingle")
+    spots = spots.join(known, "shingle", "left_semi").select("key", "doc_words", "first", F.split("near", " ").alias("_n"))
+    every = F.transform(F.sequence(F.lit(0), F.size("_n") - size), lambda i: _run(F.col("_n"), i, F.lit(size)))
+    placed = spots.select("key", "doc_words", "first", F.posexplode(every).alias("offset", "shingle"))
+    return placed.join(known, "shingle", "left_semi").select("key", "doc_words", (F.col("first") + F.col("offset")).alias("pos"), "shingle")
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -61,16 +84,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
         ).alias("offset", "shingle"),
     )
     parts = materialize(parts, "decontam-windows")
-    sizes = sorted(r[0] for r in parts.select("size").distinct().collect())  # at most SHINGLE rows
-    known = parts.select("shingle").distinct()
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    lengths = sorted(r[0] for r in parts.select("length").distinct().collect())  # at most WINDOW rows
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     cut = documents.select(key.alias("key"), words("text").alias("_w"))
     found = None
-    for n in sizes:
-        at = cut.select("key", F.size("_w").alias("doc_words"), F.posexplode(shingles(F.col("_w"), n)).alias("pos", "shingle"))
-        at = at.join(known, "shingle")
+    for length in lengths:
+        at = _matches(cut, parts.filter(F.col("length") == length).select("shingle").distinct(), length, min(shingle, length))
         found = at if found is None else found.unionByName(at)
     if found is None:
         found = cut.select("key", F.size("_w").alias("doc_words"), F.lit(0).alias("pos"), F.lit("").alias("shingle")).limit(0)
@@ -128,7 +147,7 @@ def scan(
     )
     counted = documents.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"),
-        F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD)).cast("bigint").alias("n_words"),
+        count_words("text", GAP).alias("n_words"),
     )
     joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))

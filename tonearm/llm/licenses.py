@@ -85,11 +85,12 @@ RULES = (
     ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd",)),
 )
 
-#: A sentence ends at a stop or mark followed by white space, and at an empty line.
-STOP = r"(?<=[.!?])\s+|\n\s*\n"
-#: Not a sentence: nothing, a number, the letter of a list item.
-ITEM = r"^[a-z]?$|^[0-9.]*$"
+#: A sentence ends at a stop or mark followed by white space, and at an empty line; by lines, also at every line break.
+WRAPPED = r"[.!?]\s+|\n\s*\n"
+BY_LINE = r"[.!?]\s+|\n\s*"
 _GAP = r"[^a-z0-9.]+|[.](?![a-z0-9])"
+#: Not a sentence: nothing but marks, a number, the letter of a list item.
+ITEM = r"^[^A-Za-z0-9]*[A-Za-z]?[^A-Za-z0-9]*$|^[^A-Za-z]*$"
 
 
 def normalise(sentence: Column) -> Column:
@@ -97,12 +98,25 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), _GAP, " "))
 
 
-def identifiers(text: Column, breaks: str, sentences=SENTENCES) -> Column:
-    """Identifiers of the sentences of a text in order, null for each that isn't known."""
+def hints(sentences=SENTENCES) -> list[str]:
+    """A few words of which every known sentence has one: each time the longest word of the first sentence without any."""
+    chosen: list[str] = []
+    for text in sorted(sentences.values()):
+        plain = "".join(c if c.isascii() and c.isalpha() else " " for c in text.lower())
+        if not any(h in plain for h in chosen):
+            chosen.append(min(plain.split(), key=lambda w: (w not in ("license", "licensed", "software"), -len(w), w)))
+    return [h for h in chosen if not any(o != h and o in h for o in chosen)]
+
+
+def parts_of(text: Column, breaks: str) -> Column:
+    return F.filter(F.split(text, breaks), lambda s: ~s.rlike(ITEM))
+
+
+def identifiers(parts: Column, sentences=SENTENCES) -> Column:
+    """Identifiers of sentences in order, null for each that isn't known."""
     entries = [F.struct(normalise(F.lit(t)), F.lit(sid)) for sid, t in sentences.items()]
     known = F.map_from_entries(F.array(*entries))
-    parts = F.filter(F.transform(F.split(text, breaks), normalise), lambda s: ~s.rlike(ITEM))
-    return F.transform(parts, lambda s: F.try_element_at(known, s))
+    return F.transform(parts, lambda s: F.try_element_at(known, normalise(s)))
 
 
 def match(ids: Column, rules=RULES) -> Column:
@@ -144,14 +158,20 @@ def scan(documents: DataFrame, sentences=SENTENCES, rules=RULES) -> DataFrame:
     columns are ignored, an empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
-    read = documents.select(
-        "doc_id",
-        identifiers(text, rf"{STOP}|\n", sentences).alias("_lines"),
-        identifiers(text, STOP, sentences).alias("_wrapped"),
+    low = F.lower(text)
+    # A text without any word that a known sentence must have holds none; its sentences are only counted.
+    may = F.lit(False)
+    for word in hints(sentences):
+        may = may | F.contains(low, F.lit(word))
+    none = F.array().cast("array<string>")
+    cut = documents.select("doc_id", text.alias("_text"), may.alias("_may"), parts_of(text, BY_LINE).alias("_parts"))
+    read = cut.select(
+        "doc_id", F.size("_parts").cast("bigint").alias("n_sentences"),
+        F.when(F.col("_may"), identifiers(F.col("_parts"), sentences)).otherwise(none).alias("_lines"),
+        F.when(F.col("_may"), identifiers(parts_of(F.col("_text"), WRAPPED), sentences)).otherwise(none).alias("_wrapped"),
     )
     found = read.select(
-        "doc_id",
-        F.size("_lines").cast("bigint").alias("n_sentences"),
+        "doc_id", "n_sentences",
         *[F.array_compact(c).alias(f"{c}_ids") for c in ("_lines", "_wrapped")],
         *[match(F.col(c), rules).alias(f"{c}_found") for c in ("_lines", "_wrapped")],
     )

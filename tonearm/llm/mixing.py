@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.hashing import order_key
 from ..operators.ids import running_sum
 from ..session import materialize
+from .text import count_words
 
-#: A word: a run of anything but space, tab and the line breaks U+000A to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between words: space, tab and the line breaks U+000A to U+000D.
+GAP = r"[\x20\x09-\x0D]"
 WEIGHTS = (1, 2, 3)
 MAX_PASSES = 3
 #: (progress, relative weight) knots per weight class: fading, level and growing sources.
@@ -94,7 +95,7 @@ def mix(
     any part of all rows.
     """
     sizes = materialize(
-        documents.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size")),
+        documents.select("doc_id", "source", count_words("text", GAP).alias("size")),
         "mix-sizes",
     )
     sources = running_sum(

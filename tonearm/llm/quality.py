@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,49 +12,62 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .labels import held_out, sample
+from .shingles import Hasher
 
 FOLDS, HELD_FOLD, THRESHOLD = 4, 2, 0.7
 #: Bound of the labelled sample that is learned from, and the number of hashed n-grams.
 SAMPLE_ROWS, DIMENSIONS = 6_000, 1 << 20
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 20
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MEMORY = 300_000
-
-
-def shape(token: str) -> str:
-    """Case and kind of a token; marks stand for themselves."""
-    if not (token[0].isalnum() or token[0] == "_"):
-        return token[:3]
-    if token.isdigit():
-        return "0"
-    kind = "A" if token.isupper() else "a" if token.islower() else "Aa" if token[0].isupper() and token[1:].islower() else "aA"
-    return kind + ("+" if len(token) > 12 else "")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Byte classes: 0 white space, 1 mark, 2 word (letters, digits, underscore, anything beyond ASCII).
+_CLASS = np.ones(256, np.int8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = _CLASS[95] = _CLASS[128:] = 2
+_CAPITAL = np.zeros(256, np.int32)
+_CAPITAL[65:91] = 1
+_DIGIT = np.zeros(256, np.int32)
+_DIGIT[48:58] = 1
 
 
 class Indicators:
-    """Distinct hashed n-grams of a whole text: words, word pairs, pairs of shapes, and words that repeat at once."""
+    """Distinct hashed n-grams of a whole text: words and marks, pairs of them, pairs of shapes, and threefold repeats.
+
+    A token is a run of word bytes or of marks.  Its shape is its case pattern,
+    length class and kind; marks stand for themselves.
+    """
 
     def __init__(self):
-        self.memory: dict[str, int] = {}
+        self.hasher = Hasher()
 
     def __call__(self, text: str) -> np.ndarray:
-        tokens = _TOKEN.findall(text)
-        if not tokens:
+        data = text.encode("utf-8", "replace")
+        # Long texts are cut at spaces; a pair across a cut is not formed.
+        found = [self._part(data[lo:hi]) for lo, hi in self.hasher.cuts(data)]
+        return found[0] if len(found) == 1 else np.unique(np.concatenate([np.zeros(0, np.int32), *found]))
+
+    def _part(self, data: bytes) -> np.ndarray:
+        raw = np.frombuffer(data, np.uint8)
+        kind = np.zeros(len(raw) + 2, np.int8)
+        kind[1:-1] = _CLASS[raw]
+        turn = np.flatnonzero(kind[1:] != kind[:-1])
+        start, end = turn[:-1], turn[1:]
+        keep = kind[start + 1] > 0
+        start, end = start[keep], end[keep]
+        if not len(start):
             return np.zeros(1, np.int32)
-        memory = self.memory
-        if len(memory) > _MEMORY:
-            memory.clear()
-        for t in set(tokens).difference(memory):
-            low = xxhash.xxh32_intdigest(t.lower().encode("utf-8", "replace"))
-            memory[t] = low << 16 | xxhash.xxh32_intdigest(shape(t).encode("utf-8", "replace")) & 0xFFFF
-        ids = np.fromiter(map(memory.__getitem__, tokens), np.int64, len(tokens)).astype(np.uint64)
-        word, form = ids >> np.uint64(16), ids & np.uint64(0xFFFF)
+        word = self.hasher.runs(_LOWER[raw], start, end)
+        count = lambda table: np.diff(np.concatenate(([0], np.cumsum(table[raw])))[np.stack((start, end))], axis=0)[0]
+        capitals, digits, size = count(_CAPITAL), count(_DIGIT), end - start
+        form = (capitals > 0) * 1 + (capitals == size) * 2 + (_CAPITAL[raw[start]] > 0) * 4 + (digits == size) * 8 + (size > 12) * 16
+        form = np.where(kind[start + 1] == 1, word >> np.uint64(40), form.astype(np.uint64))
         mix = np.uint64(0x9E3779B97F4A7C15)
-        grams = [word * mix, (word[:-1] * np.uint64(3) + word[1:]) * mix + np.uint64(1), ((form[:-1] << np.uint64(16)) + form[1:] + np.uint64(1 << 40)) * mix]
-        again = (word[1:] == word[:-1]).astype(np.int64)
-        if len(again) > 1 and (again[1:] & again[:-1]).any():
+        grams = [word * mix, (word[:-1] * np.uint64(3) + word[1:]) * mix + np.uint64(1), ((form[:-1] << np.uint64(25)) + form[1:] + np.uint64(1 << 60)) * mix]
+        again = word[1:] == word[:-1]
+        if (again[1:] & again[:-1]).any():
             grams.append(np.array([7], np.uint64) * mix)
-        return np.unique(np.concatenate(grams) >> np.uint64(44)).astype(np.int32)
+        grams = np.sort((np.concatenate(grams) >> np.uint64(44)).astype(np.int32))
+        return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,27 +21,49 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "markov")
 #: The same run with its least length, for a quick first look; runs have no shorter part that counts.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
-_HINT = re.compile(r"(?ai)passw|secret|token|key")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # the last is the start
 _CODE = np.full(128, STATES - 1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+#: The same by byte of UTF-8, the last state for all that is not of the alphabet.
+_STATE = np.full(256, STATES - 1, np.int64)
+_STATE[:128] = _CODE
+#: Length from which a string outside the base spans is a sample of ordinary identifiers.
+IDENTIFIER_LENGTH = 8
 #: Labelled random strings besides those the base patterns find: (alphabet, how many); fixed seed, lengths 20 to 64.
 RANDOM_SAMPLES = (("0123456789abcdef", 400), (ALPHABET[:62], 800), (ALPHABET[:64], 400), (ALPHABET[26:62], 400))
 MIN_LENGTH, MIN_RATIO = 20, 0.5  # characters; mean log-likelihood ratio per character
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), leftmost non-overlapping per kind."""
+def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state per byte, starts, ends) of the runs of alphabet bytes."""
+    states = _STATE[np.frombuffer(data, np.uint8)]
+    inside = np.zeros(len(states) + 2, np.bool_)
+    inside[1:-1] = states < STATES - 1
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return states, turns[::2], turns[1::2]
+
+
+def has_long_run(text: str) -> bool:
+    """Whether a run of alphabet characters is long enough for a key, a hex string or a random string."""
+    _, start, end = runs(text.encode("utf-8", "replace"))
+    return bool(len(start)) and int((end - start).max()) >= MIN_LENGTH
+
+
+def base_spans(text: str, long_run: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, kind), leftmost non-overlapping per kind; ``long_run`` says whether there is any run of 20 characters."""
     found = []
-    if _HINT.search(text):
+    low = text.lower()
+    if any(h in low for h in _HINTS):
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
-    if "AKIA" in text:
+    if long_run and "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
-    found += [(m.start(), m.end(), "hex") for m in _LONG_HEX.finditer(text)]
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+    if long_run:
+        found += [(m.start(), m.end(), "hex") for m in _LONG_HEX.finditer(text)]
+    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]))) if found else found
 
 
 def _free(spans, start: int, end: int) -> bool:
@@ -54,23 +76,32 @@ def transitions(token: str) -> np.ndarray:
     return np.concatenate(([STATES - 1], codes[:-1])) * STATES + codes
 
 
+def _pairs_of(data: bytes, least: int) -> np.ndarray:
+    """Transitions of all runs of at least ``least`` alphabet bytes, as in ``transitions``."""
+    states, start, end = runs(data)
+    long_ = end - start >= least
+    mark = np.zeros(len(states) + 1, np.int64)
+    mark[start[long_]] += 1
+    mark[end[long_]] -= 1
+    at = np.flatnonzero(np.cumsum(mark[:-1]))
+    return np.where(at > 0, states[at - 1], STATES - 1) * STATES + states[at]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Transitions of labelled strings of whole texts: 1 in a base span, 0 an ordinary identifier elsewhere."""
     for batch in batches:
         counts = np.zeros((2, STATES * STATES), np.int64)
-        for text in batch.column(0).to_pylist():
-            spans, seen = base_spans(text), {}
-            for m in _CANDIDATE.finditer(text):
-                label = 0 if not spans or _free(spans, m.start(), m.end()) else 1
-                if label and m.end() - m.start() < MIN_LENGTH:
-                    continue
-                seen[m.group(), label] = seen.get((m.group(), label), 0) + 1
-            for label in (0, 1):
-                own = [t for t, k in seen if k == label]
-                if own:
-                    pairs = np.concatenate([transitions(t) for t in own])
-                    times = np.repeat([seen[t, label] for t in own], [len(t) for t in own])
-                    counts[label] += np.bincount(pairs, weights=times, minlength=STATES * STATES).astype(np.int64)
+        for text in batch.column(0):
+            text = text.as_py()
+            spans = base_spans(text, has_long_run(text))
+            rest, until = [], 0
+            for start, end, _ in spans:
+                counts[1] += np.bincount(_pairs_of(text[start:end].encode("utf-8", "replace"), MIN_LENGTH), minlength=STATES * STATES)
+                rest.append(text[until : max(start, until)])
+                until = max(until, end)
+            plain = " ".join([*rest, text[until:]]) if spans else text
+            pairs = _pairs_of(plain.encode("utf-8", "replace"), IDENTIFIER_LENGTH)
+            np.add(counts[0], np.bincount(pairs, minlength=STATES * STATES), out=counts[0])
         label, pair = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(counts[label, pair], pa.int64())], ["label", "pair", "n"])
 
@@ -84,11 +115,12 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """The base spans, and the strings beside them that look random."""
-        found = base_spans(text)
+        long_run = has_long_run(text)
+        found = base_spans(text, long_run)
         more = []
-        for m in _CANDIDATE.finditer(text):
+        for m in _CANDIDATE.finditer(text) if long_run else ():
             token = m.group()
-            if len(token) < MIN_LENGTH or token.isalpha() or token.isdigit():
+            if token.isalpha() or token.isdigit():
                 continue
             if _free(found, m.start(), m.end()) and self.mean_ratio(token) >= MIN_RATIO:
                 more.append((m.start(), m.end(), "markov"))

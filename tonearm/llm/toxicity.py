@@ -26,13 +26,14 @@ MIN_SHARE, MIN_EVIDENCE = 0.6, 8.0
 PREFIXES = (4, 5, 6, 7)
 #: Second-person words in English, German, French and Spanish.
 SECOND_PERSON = frozenset(
-    "you your yours yourself du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
+    w.encode() for w in "you your yours yourself du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 )
 NEAR = 3
 #: Characters that stand for letters in disguised words.
 LEET = str.maketrans("0134578@$!*#", "oleasbtasi  ")
-_WORD = re.compile(r"[^\W\d_]+")
-_OBFUSCATED = re.compile(r"[^\W\d_]+(?:[0134578@$!*#]+[^\W\d_]+)+")
+_DISGUISE = re.compile(r"(?<=[a-z])[0134578@$!*#]+(?=[a-z])")
+#: Bytes of a text in lower case that end a word: anything in ASCII but letters.
+_SPACED = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 FEATURES = (
     "hit_rate", "hits", "weight_rate", "max_weight", "distinct_hits", "prefix_rate", "second_person_rate", "near_rate",
     "capital_rate", "punctuation_rate", "exclamation_rate", "obfuscation_rate", "obfuscated_hits", "words", "digit_rate",
@@ -44,11 +45,31 @@ _CLASSES[65:91], _CLASSES[48:58], _CLASSES[33] = 1, 4, 3
 _MEMORY = 300_000
 
 
+def words_of(low: str) -> list[bytes]:
+    """Words of a text in lower case as UTF-8: runs of letters, where anything beyond ASCII is a letter."""
+    return low.encode("utf-8", "replace").translate(_SPACED).split()
+
+
 def terms_of(word: str) -> list[str]:
     """The word and its longer beginnings, which stand for inflected and compound forms."""
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def disguises(low: str) -> list[str]:
+    """Words with marks or digits between their letters, each once per place."""
+    found, until = [], 0
+    for m in _DISGUISE.finditer(low):
+        if m.start() < until:
+            continue
+        start, until = m.start(), m.end()
+        while start > 0 and low[start - 1].isalpha():
+            start -= 1
+        while until < len(low) and (low[until].isalpha() or low[until] in "0134578@$!*#" and low[until + 1 : until + 2].isalpha()):
+            until += 1
+        found.append(low[start:until])
+    return found
+
+
 class Featurizer:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.memory = lexicon, {}
@@ -62,14 +83,14 @@ class Featurizer:
 
     def __call__(self, text: str) -> np.ndarray:
         low = text.lower()
-        words = _WORD.findall(low)
+        words = words_of(low)
         n = max(1, len(words))
         memory = self.memory
         if len(memory) > _MEMORY:
             memory.clear()
         distinct = set(words)
         for w in distinct.difference(memory):
-            memory[w] = self.weight(w)
+            memory[w] = self.weight(w.decode("utf-8", "replace"))
         known = {w for w in distinct if memory[w]}
         weights = np.array([memory[w] for w in words]) if known else np.zeros(len(words))
         size = np.abs(weights)
@@ -80,7 +101,7 @@ class Featurizer:
             where = np.searchsorted(persons, at)
             spots = np.array([-(10**9), *persons, 10**9])
             near = int(((at - spots[where] <= NEAR) | (spots[where + 1] - at <= NEAR)).sum())
-        disguised = _OBFUSCATED.findall(low)
+        disguised = disguises(low)
         undone = sum(1 for w in disguised if self.weight(w.translate(LEET).replace(" ", "")))
         raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         kinds = np.bincount(_CLASSES[raw], minlength=5)
@@ -106,7 +127,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, toxic = Counter(), Counter()
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen = {t for w in set(_WORD.findall(text.lower())) if len(w) > 2 for t in terms_of(w)}
+            seen = {t for w in set(words_of(text.lower())) if len(w) > 2 for t in terms_of(w.decode("utf-8", "replace"))}
             n.update(seen)
             if y:
                 toxic.update(seen)
