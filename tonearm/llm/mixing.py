@@ -132,4 +132,4 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
         F.array_compact(F.array(*at)).alias("positions"),
     )
-    return out.withColumn("position", F.get("positions", F.lit(0))).orderBy(F.col("position").asc_nulls_last())
+    return out.withColumn("position", F.get("positions", F.lit(0))).orderBy(F.col("position").asc_nulls_last(), "doc_id")
