@@ -9,10 +9,11 @@
    linked classes share one of the first shingles of each (the prefix).
 4. The order is cut into fragments.  A pair's overlap is counted fragment by
    fragment and summed.
-5. Pairs are not all formed: each prefix shingle first pairs its classes with
-   one hub.  Links make components; then only classes that are not in the
-   largest component of a prefix shingle are paired with the others there.
-   Every pair left out lies within one component, so no component changes.
+5. Pairs are not all formed.  In each of two turns a prefix shingle has one
+   hub, and a class is paired with the hub it meets most often.  Links make
+   components; then all pairs that share a prefix shingle across components
+   are formed.  Every pair left out lies within one component, so no component
+   changes.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from .shingles import Hasher, digest
 
 #: Links need SHARE_NUM * union <= SHARE_DEN * intersection, that is 80 %.
 SHARE_NUM, SHARE_DEN = 80, 100
-#: Hash ranges per shuffle partition, so that partitions get even parts.
-RANGES_PER_PARTITION = 4
+#: Bytes of a set's digest that name it while shared shingles are counted.  Two sets with one name would
+#: count as one; that loses a link only if they are each other's partners, one chance in 2**64 per linked pair.
+NAME = 8
+MOST = 2**16 - 1
 #: Fragments of the global order: classes of the frequency (powers of 4) times cuts of the hash.
 FREQUENCY_CLASSES, CUTS = 4, 2
 
-_MARKS = "part int, doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, digests binary, counts binary, prints binary"
-_FOUND = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, shared bigint"
+_MARKS = "part int, doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, names binary, counts binary, prints binary"
+_FOUND = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, name binary, shared bigint, counted bigint"
 
 
 def _mark(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -42,7 +45,7 @@ def _mark(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     hasher = Hasher()
     schema = pa.schema(
         [("part", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64())]
-        + [(c, pa.binary()) for c in ("digest", "digests", "counts", "prints")]
+        + [(c, pa.binary()) for c in ("digest", "names", "counts", "prints")]
     )
 
     def packed(rows, sets):
@@ -58,7 +61,10 @@ def _mark(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             cuts = np.flatnonzero(np.diff(part)) + 1
             for lo, hi in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))):
                 who, counts = np.unique(owner[lo:hi], return_counts=True)
-                rows.append((int(part[lo]), None, None, None, None, b"".join(names[i] for i in who), counts.astype(np.uint32).tobytes(), prints[lo:hi].tobytes()))
+                pieces = -(-counts // MOST)  # a count of two bytes: larger ones are cut
+                who, left = np.repeat(who, pieces), np.repeat(counts, pieces)
+                left = np.minimum(left - MOST * (np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)), MOST)
+                rows.append((int(part[lo]), None, None, None, None, b"".join(names[i][:NAME] for i in who), left.astype(np.uint16).tobytes(), prints[lo:hi].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     for batch in batches:
@@ -79,48 +85,40 @@ def _mark(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
 
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents pass; per hash range and set, the number of fingerprints that another set has too."""
+    """Documents pass; per hash range and set, how many fingerprints another set has too, and how many there are.
+
+    Only where at least half are shared: elsewhere the half is taken for granted, see ``link``.
+    """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("shared", pa.int64())]
+        [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("name", pa.binary())]
+        + [("shared", pa.int64()), ("counted", pa.int64())]
     )
     ranges: dict[int, list] = {}
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         is_doc = col["prints"].is_null()
-        docs = pa.RecordBatch.from_arrays(
-            [col[c] for c in ("doc_id", "text_hash", "n_shingles", "digest")] + [pa.nulls(batch.num_rows, pa.int64())], schema=schema
-        ).filter(is_doc)
+        docs = [col[c] for c in ("doc_id", "text_hash", "n_shingles", "digest")] + [pa.nulls(batch.num_rows, t) for t in schema.types[4:]]
+        docs = pa.RecordBatch.from_arrays(docs, schema=schema).filter(is_doc)
         if docs.num_rows:
             yield docs
         for i in np.flatnonzero(~np.asarray(is_doc.to_pylist(), bool)):
-            ranges.setdefault(col["part"][i].as_py(), []).append(tuple(col[c][i].as_py() for c in ("digests", "counts", "prints")))
+            ranges.setdefault(col["part"][i].as_py(), []).append(tuple(col[c][i].as_py() for c in ("names", "counts", "prints")))
     while ranges:
         _, pieces = ranges.popitem()
-        names = np.frombuffer(b"".join(p[0] for p in pieces), dtype="V16")
-        counts = np.frombuffer(b"".join(p[1] for p in pieces), np.uint32)
+        distinct, number = np.unique(np.frombuffer(b"".join(p[0] for p in pieces), np.uint64), return_inverse=True)
+        counts = np.frombuffer(b"".join(p[1] for p in pieces), np.uint16)
         prints = np.frombuffer(b"".join(p[2] for p in pieces), np.uint32)
-        if not len(prints):
-            continue
-        pairs = names.view(np.uint64).reshape(-1, 2)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        ranked = pairs[order]
-        fresh = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1)))
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(fresh) - 1
-        distinct = names[order[fresh]]
         # One row per (fingerprint, set): copies of a set that came from several batches count once.
         keyed = np.unique((prints.astype(np.uint64) << np.uint64(32)) | np.repeat(number, counts).astype(np.uint64))
-        print_ = keyed >> np.uint64(32)
+        print_, owner = keyed >> np.uint64(32), (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
         same = print_[1:] == print_[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        total = np.bincount((keyed[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(distinct))
-        some = np.flatnonzero(total)
+        total, all_ = np.bincount(owner[shared], minlength=len(distinct)), np.bincount(owner, minlength=len(distinct))
+        some = np.flatnonzero((total > 0) & (2 * total >= all_))
         if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), pa.int64())] * 3
-                + [pa.array([distinct[i].tobytes() for i in some], pa.binary()), pa.array(total[some], pa.int64())],
-                schema=schema,
-            )
+            empty = [pa.nulls(len(some), t) for t in schema.types[:4]]
+            names = pa.array([distinct[i].tobytes() for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([*empty, names, pa.array(total[some], pa.int64()), pa.array(all_[some], pa.int64())], schema=schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +171,10 @@ def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, digest) of every document and the class table, written: see ``link``."""
     spark = documents.sparkSession
-    parts = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     marked = texts.mapInArrow(lambda batches: _mark(batches, parts), _MARKS)
-    dealt = marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    dealt = marked.repartitionById(parts, F.col("part"))
     return materialize(dealt.mapInArrow(_count_shared, _FOUND), "jaccard-marks")
 
 
@@ -197,8 +195,10 @@ def link(documents: DataFrame) -> DataFrame:
         F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_id"),
         F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("one"),
     )
-    shared = marks.filter("shared is not null").groupBy("digest").agg(F.sum("shared").alias("shared"))
-    able = grouped.join(shared, "digest").filter(F.col("shared") * SHARE_DEN >= F.col("n") * SHARE_NUM)
+    shared = marks.filter("shared is not null").groupBy("name").agg(F.sum("shared").alias("shared"), F.sum("counted").alias("counted"))
+    # Of the ranges that sent nothing, less than half of the shingles are shared.
+    most = F.col("shared") + (F.greatest(F.col("n"), F.col("counted")) - F.col("counted")) / 2
+    able = grouped.withColumn("name", F.substring("digest", 1, NAME)).join(shared, "name").filter(most * SHARE_DEN >= F.col("n") * SHARE_NUM)
     able = materialize(able.select("digest", "n", "first_id", "one.doc_id", "one.text_hash"), "jaccard-able")
     roots = _roots(documents, able)
     renamed = roots.join(able.select("digest", "first_id"), "digest")
@@ -239,18 +239,30 @@ def _roots(documents: DataFrame, able: DataFrame) -> DataFrame:
         reach = F.least(na - pa_, nb - pb) + 1
         return (F.least(na, nb) * SHARE_DEN >= F.greatest(na, nb) * SHARE_NUM) & _reaches(reach, na, nb)
 
-    # First turn: every prefix shingle pairs its classes with one hub, the same for shingles that the same classes share.
-    hubs = prefix.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("hub"), F.count(F.lit(1)).alias("df"))
-    hubs = hubs.filter("df > 1").select("token", F.col("hub.sid").alias("b"), F.col("hub.n").alias("nb"))
-    star = prefix.join(hubs, "token").filter((F.col("sid") != F.col("b")) & (F.least("n", "nb") * SHARE_DEN >= F.greatest("n", "nb") * SHARE_NUM))
-    tried = materialize(star.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct(), "jaccard-star")
-    links = materialize(_verified(tried, segments), "jaccard-links")
-    roots = components(links)
-    # Second turn: pairs across components, without those that lie in the largest component of the shingle.
-    placed = prefix.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    open_ = materialize(placed.join(main.select("token", F.col("top.root").alias("main")), "token"), "jaccard-open")
+    def star(placed: DataFrame, turn: int) -> DataFrame:
+        """Every class with the one hub that it shares most prefix shingles with; hubs stand in the main component of a shingle."""
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid", "n"))
+        hubs = placed.filter("root = main").groupBy("token").agg(hub.alias("hub")).select("token", F.col("hub.sid").alias("b"), F.col("hub.n").alias("nb"))
+        alike = F.least("n", "nb") * SHARE_DEN >= F.greatest("n", "nb") * SHARE_NUM
+        met = placed.join(hubs, "token").filter((F.col("sid") != F.col("b")) & alike & ((F.col("root") != F.col("main")) | F.lit(turn == 0)))
+        votes = met.groupBy("sid", "b").agg(F.count(F.lit(1)).alias("k")).groupBy("sid").agg(F.max(F.struct("k", "b")).alias("best"))
+        return votes.select(F.least("sid", "best.b").alias("a"), F.greatest("sid", "best.b").alias("b")).distinct()
+
+    def placed_by(roots: DataFrame) -> DataFrame:
+        """Prefix shingles that more than one component has, with the largest of them."""
+        rows = prefix.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+        main = sizes.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        return materialize(rows.join(main.select("token", F.col("top.root").alias("main")), "token"), "jaccard-open")
+
+    own_root = F.col("sid").alias("root"), F.col("sid").alias("main")
+    tried = materialize(star(prefix.select("*", *own_root), 0), "jaccard-star")
+    roots = components(_verified(tried, segments))
+    open_ = placed_by(roots)
+    second = materialize(star(open_, 1).join(tried, ["a", "b"], "left_anti"), "jaccard-star")
+    tried = tried.unionByName(second)
+    roots = _merged(roots, _verified(second, segments))
+    open_ = placed_by(roots)
     outer = open_.filter("root <> main").select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
     other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), "main")
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
@@ -258,13 +270,16 @@ def _roots(documents: DataFrame, able: DataFrame) -> DataFrame:
         (F.col("ra") != F.col("rb")) & once & able_pair(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))
     )
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(materialize(rest, "jaccard-rest"), segments)
-    joined = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
-    )
-    joined = materialize(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "jaccard-more")
-    last = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    nodes = joined.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = _merged(roots, _verified(materialize(rest, "jaccard-rest"), segments))
+    return sets.select("sid", "digest").join(roots.withColumnRenamed("node", "sid"), "sid").select("digest", "root")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b) are added to the components so far."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = materialize(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "jaccard-edges")
+    last = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     every = roots.unionByName(nodes.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-    final = every.join(last, "root", "left").select(F.col("node").alias("sid"), F.coalesce("top", "root").alias("root"))
-    return sets.select("sid", "digest").join(final, "sid").select("digest", "root")
+    return materialize(every.join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "components")
