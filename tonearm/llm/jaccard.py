@@ -33,6 +33,8 @@ SHARE_NUM, SHARE_DEN = 80, 100
 #: count as one; that loses a link only if they are each other's partners, one chance in 2**64 per linked pair.
 NAME = 8
 MOST = 2**16 - 1
+#: Shuffle partitions per hash range: what a range holds of a text should outweigh the bytes that name the text.
+PARTITIONS_PER_RANGE = 3
 #: Fragments of the global order: classes of the frequency (powers of 4) times cuts of the hash.
 FREQUENCY_CLASSES, CUTS = 4, 2
 
@@ -171,7 +173,7 @@ def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, digest) of every document and the class table, written: see ``link``."""
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_RANGE)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     marked = texts.mapInArrow(lambda batches: _mark(batches, parts), _MARKS)
     dealt = marked.repartitionById(parts, F.col("part"))
@@ -227,7 +229,9 @@ def _roots(documents: DataFrame, able: DataFrame) -> DataFrame:
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("rank", "token"))
     needed = F.ceil(F.col("n") * SHARE_NUM / SHARE_DEN)
     prefix = materialize(
-        ranked.withColumn("place", place.cast("int")).filter(F.col("place") <= F.col("n") - needed + 1).select("token", "sid", "n", "place"), "jaccard-prefix"
+        ranked.withColumn("place", place.cast("int")).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+        .filter(F.col("place") <= F.col("n") - needed + 1).select("token", "sid", "n", "place", "alone"),
+        "jaccard-prefix",
     )
     fragment = F.least(F.floor(F.col("rank") / 2), F.lit(FREQUENCY_CLASSES - 1)) * CUTS + F.pmod(F.shiftrightunsigned("token", 40), F.lit(CUTS))
     segments = materialize(
@@ -240,8 +244,12 @@ def _roots(documents: DataFrame, able: DataFrame) -> DataFrame:
         return (F.least(na, nb) * SHARE_DEN >= F.greatest(na, nb) * SHARE_NUM) & _reaches(reach, na, nb)
 
     def star(placed: DataFrame, turn: int) -> DataFrame:
-        """Every class with the one hub that it shares most prefix shingles with; hubs stand in the main component of a shingle."""
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "sid").alias("h"), "sid", "n"))
+        """Every class with the one hub that it shares most prefix shingles with.
+
+        A hub is of the main component of a shingle and has the fewest shingles
+        of its own there: of near copies, the text they were made from.
+        """
+        hub = F.min(F.struct("alone", F.xxhash64(F.lit(turn), "sid").alias("h"), "sid", "n"))
         hubs = placed.filter("root = main").groupBy("token").agg(hub.alias("hub")).select("token", F.col("hub.sid").alias("b"), F.col("hub.n").alias("nb"))
         alike = F.least("n", "nb") * SHARE_DEN >= F.greatest("n", "nb") * SHARE_NUM
         met = placed.join(hubs, "token").filter((F.col("sid") != F.col("b")) & alike & ((F.col("root") != F.col("main")) | F.lit(turn == 0)))
