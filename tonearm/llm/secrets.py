@@ -36,6 +36,8 @@ IDENTIFIER_LENGTH = 8
 #: Labelled random strings besides those the base patterns find: (alphabet, how many); fixed seed, lengths 20 to 64.
 RANDOM_SAMPLES = (("0123456789abcdef", 400), (ALPHABET[:62], 800), (ALPHABET[:64], 400), (ALPHABET[26:62], 400))
 MIN_LENGTH, MIN_RATIO = 20, 0.5  # characters; mean log-likelihood ratio per character
+#: Added to every transition, so that one odd string among the identifiers does not make its like ordinary.
+SMOOTHING = 5.0
 
 
 def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +153,7 @@ def fit(documents: DataFrame) -> Model:
     counts[1] += seeded
     logs = []
     for kind in (0, 1):
-        table = counts[kind].reshape(STATES, STATES) + 0.5
+        table = counts[kind].reshape(STATES, STATES) + SMOOTHING
         logs.append(np.log(table / table.sum(axis=1, keepdims=True)))
     return Model((logs[1] - logs[0]).ravel())
 
