@@ -15,10 +15,10 @@ def matched(rows: DataFrame) -> DataFrame:
 
 
 def dedupe(rows: DataFrame, order: str = "doc_id") -> DataFrame:
-    """One row per (code, entity): the first that has a description, else the first."""
-    value = F.struct(*[c for c in rows.columns if c not in ("isrc", "wd_qid")])
+    """One row per code: the first that has a description, else the first."""
+    value = F.struct(*[c for c in rows.columns if c != "isrc"])
     first = F.min_by(value, F.struct(F.col("desc_en").isNull(), F.col(order))).alias("v")
-    return rows.groupBy("isrc", "wd_qid").agg(first).select("isrc", "wd_qid", "v.*")
+    return rows.groupBy("isrc").agg(first).select("isrc", "v.*")
 
 
 def uniq_join(rows: DataFrame, column: str, key: str = "isrc", order: str = "doc_id") -> DataFrame:

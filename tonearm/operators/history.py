@@ -68,9 +68,9 @@ def current_likes(log: DataFrame) -> DataFrame:
 
 
 def favorites(playlist_songs: DataFrame, archive: str = "archive") -> DataFrame:
-    """(user_id, item_id, added_at) of the reserved playlist, one row per song."""
+    """(user_id, item_id, added_at) of the reserved playlist, one row per song; adding it again keeps the first date."""
     kept = playlist_songs.filter(F.lower(F.trim("playlist_name")) == archive)
-    return kept.groupBy("user_id", "item_id").agg(F.max("added_at").alias("added_at"))
+    return kept.groupBy("user_id", "item_id").agg(F.min("added_at").alias("added_at"))
 
 
 def favorites_list(playlist_songs: DataFrame, catalogue: DataFrame) -> DataFrame:

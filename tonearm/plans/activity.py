@@ -312,7 +312,7 @@ def _(t):
 @query(
     "external_dedupe",
     """SELECT isrc, wd_qid, doc_id, (desc_en IS NULL)::BIGINT AS no_description FROM ext_matched
-       QUALIFY row_number() OVER (PARTITION BY isrc, wd_qid ORDER BY desc_en IS NULL, doc_id) = 1""",
+       QUALIFY row_number() OVER (PARTITION BY isrc ORDER BY desc_en IS NULL, doc_id) = 1""",
 )
 def _(t):
     out = external.dedupe(external.matched(t.external))

@@ -122,7 +122,7 @@ SELECT user_id * 10 + item_id % 4 AS playlist_id, user_id, CASE WHEN item_id % 4
 CTES["pl"] = """
 SELECT user_id * 10 + slot AS playlist_id, user_id, CASE WHEN slot = 0 THEN 'archive' ELSE 'list-' || slot END AS playlist_name
 FROM (SELECT DISTINCT user_id FROM ev), (SELECT unnest([0, 1, 2, 3, 4]) AS slot)"""
-CTES["favs"] = "SELECT user_id, item_id, max(added_at) AS added_at FROM pls WHERE lower(trim(playlist_name)) = 'archive' GROUP BY 1, 2"
+CTES["favs"] = "SELECT user_id, item_id, min(added_at) AS added_at FROM pls WHERE lower(trim(playlist_name)) = 'archive' GROUP BY 1, 2"
 CTES["requests"] = """
 SELECT event_id, user_id, ts, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 31 = 0 THEN item_id + 100000000 ELSE item_id END AS item_id,
        CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN '-5' WHEN event_id % 37 = 0 THEN 'soon' ELSE seconds::VARCHAR END AS watch_seconds,

@@ -209,7 +209,7 @@ def _union_sql(parts: list[tuple[dict[str, str], str]]) -> tuple[dict[str, str],
     return shared, " UNION ALL ".join(body for _, body in parts)
 
 
-KNN_RUNS = ((3, 20), (5, 20))
+KNN_RUNS = ((1, 20), (3, 20), (5, 20))
 _knn_tables, _knn_body = _union_sql([_cold_knn_sql(n, k) for n, k in KNN_RUNS])
 
 

@@ -14,10 +14,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8", **options
 ) -> DataFrame:
-    """CSV by declared schema; columns are taken by position, quoted newlines are kept."""
-    reader = spark.read.schema(schema).option("header", True).option("encoding", encoding)
-    reader = reader.option("escape", '"').option("multiLine", options.pop("multiLine", False))
-    return reader.options(**options).csv(path)
+    """CSV with a header; columns are taken by name, whatever their order, and quoted newlines are kept.
+
+    Keeping newlines means that a file is read by one task; a large file whose
+    texts hold none is split when ``multiLine=False`` is passed.
+    """
+    options = {"header": True, "encoding": encoding, "escape": '"', "multiLine": True} | options
+    names = spark.read.options(**options, inferSchema=False).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: columns {missing} are missing")
+    declared = {f.name: f for f in schema.fields}
+    found = T.StructType([declared.get(n, T.StructField(n, T.StringType())) for n in names])
+    return spark.read.schema(found).options(**options).csv(path).select(*[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def read_columns(spark: SparkSession, path: str, schema: T.StructType, columns: list[str]) -> DataFrame:
