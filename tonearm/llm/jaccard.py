@@ -33,6 +33,8 @@ SHARE_NUM, SHARE_DEN = 80, 100
 #: count as one; that loses a link only if they are each other's partners, one chance in 2**64 per linked pair.
 NAME = 8
 MOST = 2**16 - 1
+#: Fingerprints of a hash range that are unpacked and sorted at a time.
+SLICE = 2_000_000
 #: Shuffle partitions per hash range: what a range holds of a text should outweigh the bytes that name the text.
 PARTITIONS_PER_RANGE = 3
 #: Fragments of the global order: classes of the frequency (powers of 4) times cuts of the hash.
@@ -108,14 +110,25 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     while ranges:
         _, pieces = ranges.popitem()
         distinct, number = np.unique(np.frombuffer(b"".join(p[0] for p in pieces), np.uint64), return_inverse=True)
-        counts = np.frombuffer(b"".join(p[1] for p in pieces), np.uint16)
-        prints = np.frombuffer(b"".join(p[2] for p in pieces), np.uint32)
-        # One row per (fingerprint, set): copies of a set that came from several batches count once.
-        keyed = np.unique((prints.astype(np.uint64) << np.uint64(32)) | np.repeat(number, counts).astype(np.uint64))
-        print_, owner = keyed >> np.uint64(32), (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        same = print_[1:] == print_[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        total, all_ = np.bincount(owner[shared], minlength=len(distinct)), np.bincount(owner, minlength=len(distinct))
+        ends = np.cumsum([len(p[0]) // NAME for p in pieces])
+        owners = [number[end - len(p[0]) // NAME : end].astype(np.uint64) for end, p in zip(ends, pieces)]
+        total, all_ = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        # Equal fingerprints fall into one slice; only one slice at a time is unpacked and sorted.
+        slices = 1 << (sum(len(p[2]) for p in pieces) // 4 // SLICE).bit_length()
+        for slice_ in range(slices):
+            keyed = []
+            for who, (_, counts, prints) in zip(owners, pieces):
+                prints = np.frombuffer(prints, np.uint32)
+                inside = (prints & np.uint32(slices - 1)) == slice_
+                owner = np.repeat(who, np.frombuffer(counts, np.uint16))[inside]
+                keyed.append((prints[inside].astype(np.uint64) << np.uint64(32)) | owner)
+            # One row per (fingerprint, set): copies of a set that came from several batches count once.
+            keyed = np.unique(np.concatenate(keyed))
+            print_, owner = keyed >> np.uint64(32), (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            same = print_[1:] == print_[:-1]
+            shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            total += np.bincount(owner[shared], minlength=len(distinct))
+            all_ += np.bincount(owner, minlength=len(distinct))
         some = np.flatnonzero((total > 0) & (2 * total >= all_))
         if len(some):
             empty = [pa.nulls(len(some), t) for t in schema.types[:4]]
