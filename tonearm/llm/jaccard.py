@@ -37,6 +37,8 @@ MOST = 2**16 - 1
 SLICE = 2_000_000
 #: Shuffle partitions per hash range: what a range holds of a text should outweigh the bytes that name the text.
 PARTITIONS_PER_RANGE = 3
+#: Bits of the map that says which texts are read again: 8 MB at most.
+MAP_BITS = 2**26
 #: Fragments of the global order: classes of the frequency (powers of 4) times cuts of the hash.
 FREQUENCY_CLASSES, CUTS = 4, 2
 
@@ -225,11 +227,27 @@ def link(documents: DataFrame) -> DataFrame:
     )
 
 
+def _perhaps(rows: DataFrame, hash_: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash may be among the ``wanted`` ones; keeps the other texts out of the shuffle that follows.
+
+    A map of ``MAP_BITS`` bits, broadcast; where more hashes are wanted than it
+    tells apart it lets more rows pass, never fewer.
+    """
+    bit = lambda h: F.pmod(h, F.lit(MAP_BITS)) + 1
+    maps = wanted.select(bit(F.col("text_hash")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket"))
+    maps = maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    place = F.bitmap_bit_position(bit(hash_))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(bit(hash_)) == F.col("_bucket"))
+    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_map")
+
+
 def _roots(documents: DataFrame, able: DataFrame) -> DataFrame:
     """(digest, root) of the classes that link with others."""
     ids = able.select("digest", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")))
+    found = _perhaps(documents.select("doc_id", "text"), text_hash, able.select("text_hash"))
+    found = found.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")))
     read = found.select("digest", "text").dropDuplicates(["digest"]).mapInArrow(_sets, "digest binary, tokens array<bigint>")
     sets = materialize(read.withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
     sets = sets.select("digest", "sid", F.size("tokens").alias("n"), "tokens")
