@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm.functions import buckets, languages, text
-from tonearm.operators import affinity, features, history
+from tonearm.operators import affinity, challenges, features, history
 
 
 def column(spark, values, kind, expr):
@@ -89,6 +89,16 @@ def test_like_toggle_all_sequences(spark):
     assert {r["user_id"]: r["state"] for r in history.like_state(log).collect()} == expected
 
 
+def test_a_song_added_again_counts_once(spark):
+    log = spark.createDataFrame([], "user_id bigint, item_id bigint, ts timestamp, event_id bigint, intent boolean")
+    songs = spark.sql(
+        "SELECT 10L AS playlist_id, 1L AS user_id, 5L AS item_id, TIMESTAMP'2024-01-01 00:00:00' AS added_at "
+        "UNION ALL SELECT 10L, 1L, 5L, TIMESTAMP'2024-01-03 00:00:00' UNION ALL SELECT 10L, 1L, 6L, TIMESTAMP'2024-01-03 00:00:00'"
+    )
+    counts = challenges.daily_counts(challenges.other_events(log, songs)).collect()
+    assert {(str(r["day"]), r["type"]): r["n"] for r in counts} == {("2024-01-01", 2): 1, ("2024-01-01", 5): 1, ("2024-01-03", 2): 1}
+
+
 def test_preferred_language_string(spark):
     rows = [(7, 1, 1, 1), (4, 6, 0, 0), (2, 2, 2, 2), (0, 0, 0, 0), (3, 3, 2, 2)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a int, b int, c int, d int")

@@ -76,7 +76,7 @@ def test_now_playing(spark, sf_dir, event_files, tmp_path):
 
 def test_repeated_and_late_events(spark, sf_dir, tmp_path):
     base = datetime(2024, 3, 1)
-    event = lambda n, ts: (n, ts, 1, "signup", 1.0, '{"k": 1}')
+    event = lambda n, ts: (n, ts, 1, "purchase", 1.0, '{"k": 1}')
     # A batch drops by the watermark of the batch before it, so the late row comes third.
     parts = [
         [event(1, base), event(1, base), event(2, base + timedelta(days=9))],

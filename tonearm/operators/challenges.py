@@ -30,12 +30,14 @@ def play_events(visible: DataFrame) -> DataFrame:
 
 
 def other_events(like_log: DataFrame, playlist_songs: DataFrame) -> DataFrame:
-    """Likes (3), songs added to lists (2), and lists created (5: the first song of a list)."""
+    """Likes (3), songs added to lists (2), and lists created (5: the first song of a list).
+
+    A song that a list already holds is refused, so only its first addition counts.
+    """
     likes = like_log.select("user_id", "ts", F.lit(3).alias("type"))
-    adds = playlist_songs.select("user_id", F.col("added_at").alias("ts"), F.lit(2).alias("type"))
-    lists = playlist_songs.groupBy("playlist_id", "user_id").agg(F.min("added_at").alias("ts")).select(
-        "user_id", "ts", F.lit(5).alias("type")
-    )
+    firsts = playlist_songs.groupBy("playlist_id", "user_id", "item_id").agg(F.min("added_at").alias("ts"))
+    adds = firsts.select("user_id", "ts", F.lit(2).alias("type"))
+    lists = firsts.groupBy("playlist_id", "user_id").agg(F.min("ts").alias("ts")).select("user_id", "ts", F.lit(5).alias("type"))
     return likes.unionByName(adds).unionByName(lists)
 
 

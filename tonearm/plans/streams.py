@@ -55,8 +55,8 @@ def _(t):
 def _(t):
     counts = jobs.current(t.spark, _run(t, "counts", jobs.challenge_counts(_source(t))), ["user_id", "day", "type"])
     firsts = jobs.current(t.spark, _run(t, "firsts", jobs.first_plays(_source(t))), ["user_id", "item_id"])
-    lists = jobs.current(t.spark, _run(t, "lists", jobs.first_list_songs(_source(t))), ["playlist_id", "user_id"])
-    return jobs.challenge_view(counts, firsts, lists)
+    adds = jobs.current(t.spark, _run(t, "adds", jobs.first_adds(_source(t))), ["playlist_id", "user_id", "item_id"])
+    return jobs.challenge_view(counts, firsts, adds)
 
 
 @query(

@@ -162,7 +162,7 @@ def affinity_view(signals: DataFrame, likes: DataFrame) -> DataFrame:
 
 
 def challenge_counts(t: Tables, lateness: str = "2 days") -> DataFrame:
-    """Daily counts of long plays (1), list additions (2), likes (3) and recommended plays (6). Update mode.
+    """Daily counts of long plays (1), likes (3) and recommended plays (6). Update mode.
 
     The day window starts at 16:00 UTC, which is midnight at UTC+8; an event
     delivered twice within the watermark counts once.
@@ -171,7 +171,6 @@ def challenge_counts(t: Tables, lateness: str = "2 days") -> DataFrame:
     types = F.array_compact(
         F.array(
             F.when(visible_long, 1),
-            F.when(F.col("event_type") == "signup", 2),
             F.when(F.col("event_type").isin("purchase", "error"), 3),
             F.when(visible_long & (F.col("event_type") == "view"), 6),
         )
@@ -193,14 +192,16 @@ def first_plays(t: Tables) -> DataFrame:
     return t.visible.groupBy("user_id", "item_id").agg(F.min_by(row, F.struct("played_at", "id")).alias("first"))
 
 
-def first_list_songs(t: Tables) -> DataFrame:
-    """Creation time of each list. Update mode."""
-    return t.playlist_songs.groupBy("playlist_id", "user_id").agg(F.min("added_at").alias("ts"))
+def first_adds(t: Tables) -> DataFrame:
+    """First addition of each song to each list; repeated ones change nothing. Update mode."""
+    return t.playlist_songs.groupBy("playlist_id", "user_id", "item_id").agg(F.min("added_at").alias("ts"))
 
 
-def challenge_view(counts: DataFrame, firsts: DataFrame, lists: DataFrame) -> DataFrame:
-    """All six counts: replays (4) are long plays that are not first plays, new lists (5) are first songs."""
-    new_lists = lists.groupBy("user_id", challenges.local_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+def challenge_view(counts: DataFrame, firsts: DataFrame, adds: DataFrame) -> DataFrame:
+    """All six counts: additions (2) and new lists (5) from first additions, replays (4) are long plays that are not first plays."""
+    lists = adds.groupBy("playlist_id", "user_id").agg(F.min("ts").alias("ts"))
+    daily = lambda rows: rows.groupBy("user_id", challenges.local_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    new_songs, new_lists = daily(adds), daily(lists)
     long_first = (
         firsts.filter(F.col("first.watch_seconds") >= challenges.LONG_PLAY)
         .groupBy("user_id", challenges.local_day(F.col("first.played_at")).alias("day"))
@@ -213,6 +214,7 @@ def challenge_view(counts: DataFrame, firsts: DataFrame, lists: DataFrame) -> Da
     return (
         counts.select("user_id", "day", "type", "n")
         .unionByName(replays.filter("n > 0"))
+        .unionByName(new_songs.select("user_id", "day", F.lit(2).alias("type"), "n"))
         .unionByName(new_lists.select("user_id", "day", F.lit(5).alias("type"), "n"))
     )
 
