@@ -9,11 +9,8 @@ from tonearm import plans
 from .parity import compare
 from .plan_scan import problems
 
-# The metric-log reports share one plan; the full grid and one report stand for the rest here.
-SLOW = {"metrics_latest", "coldstart_comparison", "ablation_gap", "grid_matrix", "metrics_melt"}
 
-
-@pytest.mark.parametrize("name", [n for n in plans.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(plans.queries()))
 def test_query_matches_sql(spark, con, sf_dir, name):
     status, rows, _, _ = compare(spark, con, name, sf_dir)
     assert status.startswith(("ok", "rows-only")), status

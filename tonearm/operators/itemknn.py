@@ -151,10 +151,9 @@ def _mode(mode: str, alpha: float, pop_min: int) -> Column:
     }[mode]
 
 
-def recommend(
+def scores(
     seeds: DataFrame,
     neighbors_table: DataFrame,
-    top_n: int = 20,
     mode: str = "baseline",
     sim_threshold: float = 0.0,
     popularity: DataFrame | None = None,
@@ -162,7 +161,7 @@ def recommend(
     pop_min: int = 1,
     seen: DataFrame | None = None,
 ) -> DataFrame:
-    """(user_id, item_id, score, rank) from distinct (user_id, item_id) seeds.
+    """(user_id, item_id, score) of every unseen candidate, from distinct (user_id, item_id) seeds.
 
     Scores of a user are summed before the seen items are removed, so the
     join output shrinks map-side and the anti-join runs on the same keys.
@@ -186,7 +185,12 @@ def recommend(
         fresh = fresh.join(n_seeds, "user_id").withColumn("score", numeric.score(F.col("total"), F.col("n_seeds")))
     else:
         fresh = fresh.withColumn("score", numeric.score(F.col("total")))
-    return rank_users(fresh.filter("total > 0").select("user_id", "item_id", "score"), top_n)
+    return fresh.filter("total > 0").select("user_id", "item_id", "score")
+
+
+def recommend(seeds: DataFrame, neighbors_table: DataFrame, top_n: int = 20, *options, **named) -> DataFrame:
+    """(user_id, item_id, score, rank): the best ``top_n`` of ``scores``, which takes the options."""
+    return rank_users(scores(seeds, neighbors_table, *options, **named), top_n)
 
 
 def rank_users(scored: DataFrame, top_n: int) -> DataFrame:
@@ -199,16 +203,9 @@ def item_popularity(pos: DataFrame) -> DataFrame:
     return pos.groupBy("item_id").agg(F.count(F.lit(1)).alias("pop"))
 
 
-def ask_size(top_n: int) -> int:
-    """Candidates to fetch so that the catalogue filter still leaves ``top_n``."""
-    return min(8000, max(50 * top_n, 500))
-
-
-def in_catalogue(recs: DataFrame, catalogue: DataFrame, top_n: int) -> DataFrame:
-    """Recommended items the catalogue has, ranked again, first ``top_n``."""
-    kept = recs.join(catalogue.select("item_id"), "item_id", "left_semi")
-    order = Window.partitionBy("user_id").orderBy("rank")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+def in_catalogue(scored: DataFrame, catalogue: DataFrame, top_n: int) -> DataFrame:
+    """Best ``top_n`` of the scored items that the catalogue has; filtered before the rank, so no page is short."""
+    return rank_users(scored.join(catalogue.select("item_id"), "item_id", "left_semi"), top_n)
 
 
 def skipped_seeds(seeds: DataFrame, vocabulary: DataFrame) -> DataFrame:

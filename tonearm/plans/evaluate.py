@@ -11,7 +11,7 @@ from ..sources import tables
 from ..sources.fixtures import Tables
 from .catalogue import AS_OF
 from .ctes import knn, knn_recs
-from .recommend import DIMS, TAGS, pairs, tag_table, _sql, _topk_sql
+from .recommend import DIMS, pairs, tag_table, tags_sql, _sql, _topk_sql
 from .registry import query
 
 ITEM_K, HELD_OUT = 20, 200
@@ -179,12 +179,13 @@ def _multi_sql(recs: str, truth: str, users: str, model: str, notes: str) -> str
 
 @query(
     "topk_metrics_multi",
-    f"""WITH {_sql(seed_sql(5))}, {_sql(knn_recs("r", "sd5", "nb", "sim", 20))} {_multi_sql("r", "te5", "r", "ItemKNN", "split=A_N5")}""",
+    f"""WITH {_sql(seed_sql(5) | knn("sd5", ITEM_K, "m_") | knn_recs("r", "sd5", "m_nb", "sim", 20))} {_multi_sql("r", "te5", "r", "ItemKNN", "split=A_N5")}""",
 )
 def _(t):
     train, test = seed_split(t, 5)
-    seeds = train.filter("target = 1")
-    recs = itemknn.recommend(seeds, itemknn.neighbors(pairs(t), ITEM_K), 20)
+    seeds = train.filter("target = 1").select("user_id", "item_id")
+    # Neighbours come from the seeds: the test positives must not be known.
+    recs = itemknn.recommend(seeds, itemknn.neighbors(seeds, ITEM_K), 20)
     return metrics.multi_truth_metrics(recs, test, model="ItemKNN", notes="split=A_N5")
 
 
@@ -246,13 +247,15 @@ def _(t):
 
 @query(
     "coldstart_cold_metrics",
-    f"""WITH {TAGS}, {_sql(HELD_SQL)}, hv AS (SELECT user_id, dim, f AS v FROM fv SEMI JOIN hu USING (user_id)),
+    f"""WITH {_sql(HELD_SQL)}, {tags_sql("(SELECT * FROM tg ANTI JOIN hu USING (user_id))")}, hv AS (SELECT user_id, dim, f AS v FROM fv SEMI JOIN hu USING (user_id)),
         {_topk_sql("hv", 20, "SELECT 0 AS user_id, 0 AS item_id WHERE FALSE")} {_multi_sql("rk", "hte", "rk", "Hybrid", "split=C")}""",
 )
 def _(t):
-    _, test = splits.held_out_users(t.labelled_pairs, HELD_OUT)
-    tagged = features.profile_tags(t.users, AS_OF).join(test.select("user_id").distinct(), "user_id", "left_semi")
-    users = embeddings.tag_vectors(tagged, tag_table(t), DIMS)
+    train, test = splits.held_out_users(t.labelled_pairs, HELD_OUT)
+    everyone = features.profile_tags(t.users, AS_OF)
+    tagged = everyone.join(test.select("user_id").distinct(), "user_id", "left_semi")
+    known = everyone.join(train.select("user_id").distinct(), "user_id", "left_semi")
+    users = embeddings.tag_vectors(tagged, tag_table(t, known), DIMS)
     recs = embeddings.score_topk(users, t.item_vectors, 20)
     return metrics.multi_truth_metrics(recs, test, model="Hybrid", notes="split=C")
 
@@ -260,10 +263,10 @@ def _(t):
 # --- grid -----------------------------------------------------------------------------
 
 
-def grid(t: Tables, **options):
+def grid(t: Tables):
     train, test = loo(t)
-    neighbors = itemknn.neighbors(train, max(options.get("item_ks", metrics.GRID_K)))
-    return metrics.knn_grid(test, train, neighbors, itemknn.item_popularity(train), **options)
+    neighbors = itemknn.neighbors(train, max(metrics.GRID_K))
+    return metrics.knn_grid(test, train, neighbors, itemknn.item_popularity(train))
 
 
 def grid_sql(item_ks, thresholds, modes) -> dict[str, str]:
@@ -301,8 +304,6 @@ def grid_sql(item_ks, thresholds, modes) -> dict[str, str]:
 
 
 FULL_GRID = grid_sql(metrics.GRID_K, metrics.GRID_THRESHOLD, metrics.GRID_MODE)
-SMALL = {"item_ks": (5, 20), "thresholds": (0.0, 0.1), "modes": ("baseline", "sim2", "pop_log")}
-SMALL_GRID = grid_sql(*SMALL.values())
 
 
 @query("itemknn_grid", f"WITH {_sql(FULL_GRID)} SELECT * FROM gm")
@@ -312,21 +313,21 @@ def _(t):
 
 @query(
     "grid_best",
-    f"""WITH {_sql(SMALL_GRID)} SELECT agg, item_k, sim_threshold, recall_10, ndcg_10 FROM gm
+    f"""WITH {_sql(FULL_GRID)} SELECT agg, item_k, sim_threshold, recall_10, ndcg_10 FROM gm
         QUALIFY row_number() OVER (PARTITION BY agg ORDER BY recall_10 DESC, ndcg_10 DESC, item_k, sim_threshold) = 1""",
 )
 def _(t):
     order = [F.desc("recall_10"), F.desc("ndcg_10"), F.col("item_k"), F.col("sim_threshold")]
-    return metrics.best_per(grid(t, **SMALL), "agg", order).select("agg", "item_k", "sim_threshold", "recall_10", "ndcg_10")
+    return metrics.best_per(grid(t), "agg", order).select("agg", "item_k", "sim_threshold", "recall_10", "ndcg_10")
 
 
 @query(
     "grid_matrix",
-    f"""WITH {_sql(SMALL_GRID)} SELECT sim_threshold, round(avg(recall_10) FILTER (WHERE item_k = 5), 5) AS k_5, round(avg(recall_10) FILTER (WHERE item_k = 20), 5) AS k_20 FROM gm GROUP BY 1""",
+    f"""WITH {_sql(FULL_GRID)} SELECT sim_threshold, {", ".join(f"round(avg(recall_10) FILTER (WHERE item_k = {k}), 5) AS k_{k}" for k in metrics.GRID_K)} FROM gm GROUP BY 1""",
 )
 def _(t):
-    out = metrics.grid_matrix(grid(t, **SMALL), SMALL["item_ks"])
-    return out.select("sim_threshold", F.col("5").alias("k_5"), F.col("20").alias("k_20"))
+    out = metrics.grid_matrix(grid(t), metrics.GRID_K)
+    return out.select("sim_threshold", *[F.col(str(k)).alias(f"k_{k}") for k in metrics.GRID_K])
 
 
 BEST = "best AS (SELECT * FROM gm ORDER BY ndcg_20 DESC, recall_20 DESC, agg, item_k, sim_threshold LIMIT 1)"
@@ -334,20 +335,20 @@ BEST = "best AS (SELECT * FROM gm ORDER BY ndcg_20 DESC, recall_20 DESC, agg, it
 
 def best_config(t: Tables):
     order = [F.desc("ndcg_20"), F.desc("recall_20"), "agg", "item_k", "sim_threshold"]
-    return grid(t, **SMALL).orderBy(*order).limit(1)
+    return grid(t).orderBy(*order).limit(1)
 
 
 MELT = " UNION ALL ".join(f"SELECT agg, {k} AS k, recall_{k} AS recall, precision_{k} AS precision, ndcg_{k} AS ndcg FROM gm" for k in metrics.KS)
 
 
-@query("metrics_melt", f"WITH {_sql(SMALL_GRID)}, m AS ({MELT}) SELECT agg, k, recall, precision, ndcg FROM m")
+@query("metrics_melt", f"WITH {_sql(FULL_GRID)}, m AS ({MELT}) SELECT agg, k, recall, precision, ndcg FROM m")
 def _(t):
-    return metrics.melt(grid(t, **SMALL), ["agg"])
+    return metrics.melt(grid(t), ["agg"])
 
 
 @query(
     "model_comparison",
-    f"""WITH {_sql(SMALL_GRID)}, {BEST}, {EMB_LOO}, {POP_LOO}
+    f"""WITH {_sql(FULL_GRID)}, {BEST}, {EMB_LOO}, {POP_LOO}
         {" UNION ALL ".join(f"SELECT 'ItemKNN(' || agg || ')' AS model, {k} AS k, recall_{k} AS recall, precision_{k} AS precision, ndcg_{k} AS ndcg FROM best" for k in metrics.KS)}
         UNION ALL SELECT model, k, recall, precision, ndcg FROM ({_loo_sql("rk", "items_v", "Embedding")})
         UNION ALL SELECT 'Popularity', 20, round(count(p.item_id) / count(*), 5), NULL, NULL FROM loo_test LEFT JOIN pl_top p USING (item_id)""",

@@ -73,13 +73,13 @@ KNOWN = "SELECT item_id FROM catalogue WHERE artist_name IS NOT NULL"
 
 @query(
     "catalog_filtered_recs",
-    f"""WITH {_sql(knn_recs("r", "picks", "nb", "sim", itemknn.ask_size(9)))}, k AS ({KNOWN})
-        SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY r.rank) AS rank FROM r JOIN k USING (item_id)
-        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r.rank) <= 9""",
+    f"""WITH {_sql(knn_recs("r", "picks", "nb", "sim", 9))}, k AS ({KNOWN})
+        SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM r_s JOIN k USING (item_id)
+        WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) <= 9""",
 )
 def _(t):
-    recs = itemknn.recommend(picks(t), itemknn.neighbors(pairs(t), K), itemknn.ask_size(9))
-    return itemknn.in_catalogue(recs, t.catalogue.filter("artist_name is not null"), 9)
+    scored = itemknn.scores(picks(t), itemknn.neighbors(pairs(t), K))
+    return itemknn.in_catalogue(scored, t.catalogue.filter("artist_name is not null"), 9)
 
 
 @query(
@@ -180,9 +180,9 @@ def _(t):
     return embeddings.score_topk(users, t.item_vectors, 10, pos)
 
 
-def tag_table(t: Tables):
-    """Tag vectors of the comparison data: mean item vector of each listener tag's onboarding songs."""
-    tagged = features.profile_tags(t.users, AS_OF)
+def tag_table(t: Tables, tagged=None):
+    """Tag vectors of the comparison data: mean item vector of each listener tag's onboarding songs; ``tagged`` names the listeners."""
+    tagged = features.profile_tags(t.users, AS_OF) if tagged is None else tagged
     rows = tagged.join(picks(t), "user_id").join(t.item_vectors, "item_id")
     inv = F.lit(1.0) / F.col("n")
     return (
@@ -194,10 +194,12 @@ def tag_table(t: Tables):
     )
 
 
-TAGS = f"""
+def tags_sql(known: str = "tg") -> str:
+    return f"""
 tg AS (SELECT user_id, unnest(string_split(tags, ',')) AS tag FROM ({PROFILE_TAGS})),
-tb AS (SELECT tag, avg(bias) AS bias FROM tg JOIN picks USING (user_id) JOIN items_v USING (item_id) WHERE tag <> 'gender_unknown' GROUP BY 1),
-tv AS (SELECT tag, dim, avg(x) AS v FROM (SELECT tag, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM tg JOIN picks USING (user_id) JOIN items_v USING (item_id))
+tk AS (SELECT user_id, tag FROM {known}),
+tb AS (SELECT tag, avg(bias) AS bias FROM tk JOIN picks USING (user_id) JOIN items_v USING (item_id) WHERE tag <> 'gender_unknown' GROUP BY 1),
+tv AS (SELECT tag, dim, avg(x) AS v FROM (SELECT tag, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM tk JOIN picks USING (user_id) JOIN items_v USING (item_id))
        WHERE tag <> 'gender_unknown' GROUP BY 1, 2),
 fv AS (SELECT user_id, dim, avg(v) AS f FROM tg JOIN tv USING (tag) GROUP BY 1, 2),
 fb AS (SELECT user_id, avg(bias) AS b FROM tg JOIN tb USING (tag) GROUP BY 1),
@@ -206,6 +208,9 @@ cd AS (SELECT coalesce(fv.user_id, tt.user_id) AS user_id, coalesce(fv.dim, tt.d
        FROM fv FULL JOIN tt ON fv.user_id = tt.user_id AND fv.dim = tt.dim)"""
 
 
+TAGS = tags_sql()
+
+
 @query("cold_user_vectors", f"WITH {TAGS} SELECT user_id, dim, round(v, 5) + 0.0 AS value FROM cd")
 def _(t):
     tagged = features.profile_tags(t.users, AS_OF)
@@ -291,14 +296,13 @@ def _(t):
 
 @query(
     "affinity_rerank",
-    f"""WITH {_sql(knn_recs("r", "picks", "nb", "sim", 200))},
-        a AS (SELECT r.user_id, r.item_id, round(r.score * (1 + coalesce(f.score, 0)), 6) AS score FROM r LEFT JOIN affinity f ON f.user_id = r.user_id AND f.item_id = r.item_id
+    f"""WITH {_sql(knn_recs("r", "picks", "nb", "sim", 9))},
+        a AS (SELECT r.user_id, r.item_id, round(r.score * (1 + coalesce(f.score, 0)), 6) AS score FROM r_s r LEFT JOIN affinity f ON f.user_id = r.user_id AND f.item_id = r.item_id
               WHERE coalesce(f.score, 0) >= -0.5)
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM a QUALIFY rank <= 9""",
 )
 def _(t):
-    recs = itemknn.recommend(picks(t), itemknn.neighbors(pairs(t), K), 200)
-    return rerank.affinity_rerank(recs, affinities(t))
+    return rerank.affinity_rerank(itemknn.scores(picks(t), itemknn.neighbors(pairs(t), K)), affinities(t))
 
 
 # --- trained models (no SQL: the factors come out of an iterative solver) ------------------
