@@ -99,6 +99,24 @@ def test_a_song_added_again_counts_once(spark):
     assert {(str(r["day"]), r["type"]): r["n"] for r in counts} == {("2024-01-01", 2): 1, ("2024-01-01", 5): 1, ("2024-01-03", 2): 1}
 
 
+def test_likes_that_clear_do_not_count(spark):
+    """Each sequence of requests, dealt over many partitions, against a sequential count."""
+    rows, expected = [], 0
+    for user, sequence in enumerate(s for n in range(1, 6) for s in itertools.product([True, False], repeat=n)):
+        state = None
+        for i, wanted in enumerate(sequence):
+            rows.append((user % 7, user, f"2024-01-01 00:{i:02d}:00", i, wanted))
+            state = None if state == wanted else wanted
+            expected += state is not None
+    rows += [(9, 9, "2024-01-02 00:00:00", i, True) for i in range(301)]
+    log = spark.createDataFrame(rows, "user_id bigint, item_id bigint, ts string, event_id bigint, intent boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    songs = spark.createDataFrame([], "playlist_id bigint, user_id bigint, item_id bigint, added_at timestamp")
+    total = hot = 0
+    for r in challenges.daily_counts(challenges.other_events(log, songs)).collect():
+        hot, total = (hot + r["n"], total) if r["user_id"] == 9 else (hot, total + r["n"])
+    assert (total, hot) == (expected, 151)
+
+
 def test_preferred_language_string(spark):
     rows = [(7, 1, 1, 1), (4, 6, 0, 0), (2, 2, 2, 2), (0, 0, 0, 0), (3, 3, 2, 2)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a int, b int, c int, d int")

@@ -53,6 +53,21 @@ def test_like_state_over_batches(spark, sf_dir, event_files, tmp_path):
     assert got == {pair: toggle(wanted) for pair, wanted in requests.items()}
 
 
+def test_counted_likes_over_batches(spark, sf_dir, event_files, tmp_path):
+    run(spark, sf_dir, event_files, tmp_path, lambda t: jobs.once_each(t.like_log, "90 days"), "append", jobs.like_days)
+    state, want = {}, defaultdict(int)
+    for row in sum(event_files[1], []):
+        if row[3] in ("purchase", "error"):
+            pair, wanted = (row[2], int(row[5][6:-1])), row[3] == "purchase"
+            if state.get(pair) is wanted:
+                state[pair] = None
+            else:
+                state[pair] = wanted
+                want[row[2], (row[1] + timedelta(hours=8)).date()] += 1
+    got = {(r["user_id"], r["day"]): r["n"] for r in jobs.like_counts(jobs.written(spark, str(tmp_path))).collect()}
+    assert got == dict(want)
+
+
 def test_play_length_never_shrinks(spark, sf_dir, event_files, tmp_path):
     build = lambda t: jobs.final_play_length(t.events.select(F.col("item_id").alias("history_id"), F.col("seconds").alias("watch_seconds")))
     run(spark, sf_dir, event_files, tmp_path, build, "update")
@@ -76,7 +91,7 @@ def test_now_playing(spark, sf_dir, event_files, tmp_path):
 
 def test_repeated_and_late_events(spark, sf_dir, tmp_path):
     base = datetime(2024, 3, 1)
-    event = lambda n, ts: (n, ts, 1, "purchase", 1.0, '{"k": 1}')
+    event = lambda n, ts: (n, ts, 1, "click", 130.0, '{"k": 1}')
     # A batch drops by the watermark of the batch before it, so the late row comes third.
     parts = [
         [event(1, base), event(1, base), event(2, base + timedelta(days=9))],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import buckets, hashing
+from . import ids
 from .history import replay_flags
 
 # Challenge types with their target ranges, and the play length
@@ -32,9 +33,12 @@ def play_events(visible: DataFrame) -> DataFrame:
 def other_events(like_log: DataFrame, playlist_songs: DataFrame) -> DataFrame:
     """Likes (3), songs added to lists (2), and lists created (5: the first song of a list).
 
-    A song that a list already holds is refused, so only its first addition counts.
+    A request that clears the current state doesn't count: of a pair's run of
+    equal requests, every second one. A song that a list already holds is
+    refused, so only its first addition counts.
     """
-    likes = like_log.select("user_id", "ts", F.lit(3).alias("type"))
+    placed = ids.run_places(like_log, ["user_id", "item_id"], ["ts", "event_id"], "intent", "place")
+    likes = placed.filter("place % 2 = 1").select("user_id", "ts", F.lit(3).alias("type"))
     firsts = playlist_songs.groupBy("playlist_id", "user_id", "item_id").agg(F.min("added_at").alias("ts"))
     adds = firsts.select("user_id", "ts", F.lit(2).alias("type"))
     lists = firsts.groupBy("playlist_id", "user_id").agg(F.min("ts").alias("ts")).select("user_id", "ts", F.lit(5).alias("type"))

@@ -1,6 +1,6 @@
-"""Dense ids and running sums without a single-task window.
+"""Dense ids, running sums and places in runs without a single-task window.
 
-Both are two-pass: a range partitioning written once, one small total per
+All are two-pass: a range partitioning written once, one small total per
 partition, and a window inside each partition.
 """
 
@@ -59,3 +59,31 @@ def running_sum(df: DataFrame, order: list[Column], value: str, sum_col: str, ra
         .withColumn(rank_col, F.col("_row0") + F.row_number().over(inside))
         .drop("_part", "_sum0", "_row0")
     )
+
+
+def run_places(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """1-based place of every row in its run of equal ``value`` among the rows of its keys, in ``order``.
+
+    A key's rows may lie in many partitions; a run that goes on into the next
+    one is carried over by its length.
+    """
+    ranged = _ranged(df, [F.col(c) for c in (*keys, *order)])
+    inside = Window.partitionBy("_part").orderBy(*keys, *order)
+    row, same = F.row_number().over(inside), F.lit(True)
+    for c in (*keys, value):
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(inside))
+    marked = ranged.withColumns({"_row": row, "_new": (row > 1) & ~same})
+    begin = F.max(F.when(F.col("_new"), F.col("_row"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = marked.withColumn("_begin", begin).withColumn("_at", F.col("_row") - F.coalesce("_begin", F.lit(1)) + 1)
+    run = F.struct(*keys, value)
+    ends = placed.groupBy("_part").agg(
+        F.min_by(run, "_row").alias("first"), F.max_by(run, "_row").alias("last"), F.max_by("_at", "_row").alias("length"), F.max("_begin").alias("begin")
+    )
+    carried, rows = (None, 0), []
+    for end in ends.orderBy("_part").collect():
+        before = carried[1] if carried[0] == end["first"] else 0
+        rows.append((end["_part"], before))
+        carried = (end["last"], end["length"] + (before if end["begin"] is None else 0))
+    befores = df.sparkSession.createDataFrame(rows, "_part int, _before bigint")
+    place = F.col("_at") + F.when(F.col("_begin").isNull(), F.col("_before")).otherwise(0)
+    return placed.join(F.broadcast(befores), "_part").withColumn(out, place).drop("_part", "_row", "_new", "_begin", "_at", "_before")

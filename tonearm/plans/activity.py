@@ -157,9 +157,11 @@ def challenge_progress(t: Tables):
 
 COUNTS = """
 lp AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY played_at, id) > 1 AS again FROM vis),
+lr AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, item_id, intent ORDER BY ts, event_id) AS run FROM like_log),
+lk AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id, intent, run ORDER BY ts, event_id) AS place FROM lr),
 ce AS (SELECT user_id, played_at AS ts, unnest(list_filter([1, CASE WHEN source = 'RECOMMENDATION' THEN 6 END, CASE WHEN again THEN 4 END], lambda x: x IS NOT NULL)) AS type
        FROM lp WHERE watch_seconds >= 120
-  UNION ALL SELECT user_id, ts, 3 FROM like_log UNION ALL SELECT user_id, min(added_at), 2 FROM pls GROUP BY playlist_id, user_id, item_id
+  UNION ALL SELECT user_id, ts, 3 FROM lk WHERE place % 2 = 1 UNION ALL SELECT user_id, min(added_at), 2 FROM pls GROUP BY playlist_id, user_id, item_id
   UNION ALL SELECT user_id, min(added_at), 5 FROM pls GROUP BY playlist_id, user_id),
 cn AS (SELECT user_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, type, count(*) AS n FROM ce GROUP BY 1, 2, 3)"""
 

@@ -56,7 +56,8 @@ def _(t):
     counts = jobs.current(t.spark, _run(t, "counts", jobs.challenge_counts(_source(t))), ["user_id", "day", "type"])
     firsts = jobs.current(t.spark, _run(t, "firsts", jobs.first_plays(_source(t))), ["user_id", "item_id"])
     adds = jobs.current(t.spark, _run(t, "adds", jobs.first_adds(_source(t))), ["playlist_id", "user_id", "item_id"])
-    return jobs.challenge_view(counts, firsts, adds)
+    likes = jobs.written(t.spark, _run(t, "like-days", jobs.once_each(_source(t).like_log), "append", jobs.like_days))
+    return jobs.challenge_view(counts, firsts, adds, jobs.like_counts(likes))
 
 
 @query(

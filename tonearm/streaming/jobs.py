@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import affinity, challenges, cleaning, history
+from ..operators import affinity, challenges, cleaning, history, ids
 from ..schemas import EVENTS
 from ..sources.fixtures import SOURCES, Tables
 
@@ -162,7 +162,7 @@ def affinity_view(signals: DataFrame, likes: DataFrame) -> DataFrame:
 
 
 def challenge_counts(t: Tables, lateness: str = "2 days") -> DataFrame:
-    """Daily counts of long plays (1), likes (3) and recommended plays (6). Update mode.
+    """Daily counts of long plays (1) and recommended plays (6). Update mode.
 
     The day window starts at 16:00 UTC, which is midnight at UTC+8; an event
     delivered twice within the watermark counts once.
@@ -171,7 +171,6 @@ def challenge_counts(t: Tables, lateness: str = "2 days") -> DataFrame:
     types = F.array_compact(
         F.array(
             F.when(visible_long, 1),
-            F.when(F.col("event_type").isin("purchase", "error"), 3),
             F.when(visible_long & (F.col("event_type") == "view"), 6),
         )
     )
@@ -197,8 +196,55 @@ def first_adds(t: Tables) -> DataFrame:
     return t.playlist_songs.groupBy("playlist_id", "user_id", "item_id").agg(F.min("added_at").alias("ts"))
 
 
-def challenge_view(counts: DataFrame, firsts: DataFrame, adds: DataFrame) -> DataFrame:
-    """All six counts: additions (2) and new lists (5) from first additions, replays (4) are long plays that are not first plays."""
+def once_each(log: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """The requests of a log; one delivered twice within the watermark counts once."""
+    return log.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def like_days(batch: DataFrame) -> DataFrame:
+    """What a batch's like requests may add to the count of each (pair, day).
+
+    A request counts at an odd place of its run. Places in the pair's first
+    run of the batch depend on what came before, so odd and even ones are kept
+    apart; ``n_rest`` are the odd ones of later runs.
+    """
+    keys, order = ["user_id", "item_id"], F.struct("ts", "event_id")
+    placed = ids.run_places(batch, keys, ["ts", "event_id"], "intent", "place")
+    pairs = placed.groupBy(*keys).agg(
+        F.min_by("intent", order).alias("first"), F.max_by("intent", order).alias("last"), F.max_by("place", order).alias("length"),
+        F.min(F.when(F.col("intent"), order)).alias("like"), F.min(F.when(~F.col("intent"), order)).alias("dislike"),
+    )
+    cut = F.when(F.col("like").isNotNull() & F.col("dislike").isNotNull(), F.greatest("like", "dislike"))
+    pairs = pairs.select(*keys, "first", "last", "length", cut.alias("cut"))
+    leads, odd = F.col("cut").isNull() | (order < F.col("cut")), F.col("place") % 2 == 1
+    per_day = [*keys, challenges.local_day(F.col("ts")).alias("day"), "first", "last", "length", F.col("cut").isNull().alias("single")]
+    return placed.join(pairs, keys).groupBy(*per_day).agg(
+        F.count_if(leads & odd).alias("n_odd"), F.count_if(leads & ~odd).alias("n_even"), F.count_if(~leads & odd).alias("n_rest")
+    )
+
+
+def like_counts(days: DataFrame) -> DataFrame:
+    """(user_id, day, n) of likes that count, from the written rows of ``like_days``.
+
+    Per pair and batch there is one small row; the run that a batch continues
+    is as long as the batches' last runs since it began.
+    """
+    keys = ["user_id", "item_id"]
+    by_batch = Window.partitionBy(*keys).orderBy("batch_id")
+    pairs = days.select(*keys, "batch_id", "first", "last", "length", "single").distinct()
+    goes_on = F.coalesce(F.lag("last").over(by_batch) == F.col("first"), F.lit(False))
+    pairs = pairs.withColumn("goes_on", goes_on)
+    run = F.count_if(~F.col("single") | ~F.col("goes_on")).over(by_batch.rowsBetween(Window.unboundedPreceding, 0))
+    in_run = Window.partitionBy(*keys, "run").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pairs.withColumn("run", run).withColumn("end", F.sum("length").over(in_run))
+    before = F.when(F.col("goes_on"), F.lag("end").over(by_batch)).otherwise(0)
+    carried = ends.withColumn("before", before).select(*keys, "batch_id", "before")
+    n = F.col("n_rest") + F.when(F.col("before") % 2 == 1, F.col("n_even")).otherwise(F.col("n_odd"))
+    return days.join(carried, [*keys, "batch_id"]).groupBy("user_id", "day").agg(F.sum(n).alias("n")).filter("n > 0")
+
+
+def challenge_view(counts: DataFrame, firsts: DataFrame, adds: DataFrame, likes: DataFrame) -> DataFrame:
+    """All six counts: likes (3) from ``like_counts``, additions (2) and new lists (5) from first additions, replays (4) are long plays that are not first plays."""
     lists = adds.groupBy("playlist_id", "user_id").agg(F.min("ts").alias("ts"))
     daily = lambda rows: rows.groupBy("user_id", challenges.local_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     new_songs, new_lists = daily(adds), daily(lists)
@@ -216,6 +262,7 @@ def challenge_view(counts: DataFrame, firsts: DataFrame, adds: DataFrame) -> Dat
         .unionByName(replays.filter("n > 0"))
         .unionByName(new_songs.select("user_id", "day", F.lit(2).alias("type"), "n"))
         .unionByName(new_lists.select("user_id", "day", F.lit(5).alias("type"), "n"))
+        .unionByName(likes.select("user_id", "day", F.lit(3).alias("type"), "n"))
     )
 
 
