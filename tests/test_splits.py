@@ -48,6 +48,8 @@ def test_held_out_users(labelled):
     train_users, test_users = {u for u, _ in pairs(train)}, {u for u, _ in pairs(test)}
     assert not train_users & test_users
     assert {i for _, i in pairs(test)} <= {i for _, i in pairs(train)}
+    with pytest.raises(ValueError):
+        splits.held_out_users(labelled, 10**6)
 
 
 def test_dense_ids_and_running_sum(spark):

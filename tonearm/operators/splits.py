@@ -60,8 +60,13 @@ def seed_n(pairs: DataFrame, n_seed: int, seed: int = 42) -> tuple[DataFrame, Da
 
 
 def held_out_users(pairs: DataFrame, n_test_users: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): whole users held out; their positives count where the item is in train."""
+    """(train, test): whole users held out; their positives count where the item is in train.
+
+    Refuses to hold out every user with a positive.
+    """
     users = pairs.filter("target = 1").select("user_id").distinct()
+    if n_test_users > 0 and users.limit(n_test_users + 1).count() <= n_test_users:
+        raise ValueError(f"{n_test_users} held-out users leave none to train on")
     chosen = (
         users.withColumn("h", hashing.order_key(F.col("user_id"), seed)).orderBy("h", "user_id").limit(n_test_users)
     ).select("user_id")

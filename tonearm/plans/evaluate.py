@@ -41,8 +41,14 @@ def seed_sql(n: int) -> dict[str, str]:
     }
 
 
+def held_out(t: Tables):
+    """Whole users held out: ``HELD_OUT`` of them, a fifth where there are fewer than five times as many."""
+    users = t.labelled_pairs.filter("target = 1").select("user_id").distinct().count()
+    return splits.held_out_users(t.labelled_pairs, min(HELD_OUT, users // 5))
+
+
 HELD_SQL = {
-    "hu": f"SELECT user_id FROM (SELECT DISTINCT user_id FROM pos) ORDER BY md5(user_id || '-42'), user_id LIMIT {HELD_OUT}",
+    "hu": f"SELECT user_id FROM (SELECT DISTINCT user_id FROM pos) ORDER BY md5(user_id || '-42'), user_id LIMIT (SELECT least({HELD_OUT}, count(DISTINCT user_id) // 5) FROM pos)",
     "htr": "SELECT user_id, item_id, target FROM labelled ANTI JOIN hu USING (user_id)",
     "hte": "SELECT user_id, item_id FROM labelled SEMI JOIN hu USING (user_id) WHERE target = 1 AND item_id IN (SELECT item_id FROM htr)",
 }
@@ -79,7 +85,7 @@ def _(t):
     f"""WITH {_sql(HELD_SQL)} SELECT user_id, item_id, 'train' AS part FROM htr UNION ALL SELECT user_id, item_id, 'test' FROM hte""",
 )
 def _(t):
-    train, test = splits.held_out_users(t.labelled_pairs, HELD_OUT)
+    train, test = held_out(t)
     return train.select("user_id", "item_id", F.lit("train").alias("part")).unionByName(test.withColumn("part", F.lit("test")))
 
 
@@ -221,7 +227,7 @@ def _(t):
 
 def cold_popularity(t: Tables):
     """Popularity on the three seed splits and the held-out users."""
-    runs = [(f"A_N{n}", *seed_split(t, n)) for n in (1, 3, 5)] + [("C", *splits.held_out_users(t.labelled_pairs, HELD_OUT))]
+    runs = [(f"A_N{n}", *seed_split(t, n)) for n in (1, 3, 5)] + [("C", *held_out(t))]
     out = []
     for name, train, test in runs:
         users = test.select("user_id").distinct()
@@ -251,7 +257,7 @@ def _(t):
         {_topk_sql("hv", 20, "SELECT 0 AS user_id, 0 AS item_id WHERE FALSE")} {_multi_sql("rk", "hte", "rk", "Hybrid", "split=C")}""",
 )
 def _(t):
-    train, test = splits.held_out_users(t.labelled_pairs, HELD_OUT)
+    train, test = held_out(t)
     everyone = features.profile_tags(t.users, AS_OF)
     tagged = everyone.join(test.select("user_id").distinct(), "user_id", "left_semi")
     known = everyone.join(train.select("user_id").distinct(), "user_id", "left_semi")
