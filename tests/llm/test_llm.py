@@ -188,6 +188,20 @@ def test_secret_spans(spark, sf_dir):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secret_copies_and_hot_source(spark):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    copied, others = draw(40), [draw(40) for _ in range(100)]
+    rows = [(i, f"see {copied} there", "a") for i in range(1000)] + [(1000 + i, f"see {k} there", "b") for i, k in enumerate(others)]
+    rows += [(2000 + i, " ".join(draw(40) for _ in range(20)), "hot") for i in range(500)]
+    got = {r.doc_id: r.n_markov for r in secrets.scan(docs(spark, rows)).collect()}
+    assert all(got[i] == 1 for i in range(1000))
+    assert sum(got[1000 + i] == 1 for i in range(100)) >= 95
+    assert sum(got[2000 + i] for i in range(500)) >= 9500
+    plain = ["a_very_long_function_name_for_testing", "src/main/java/org/example/service", "-" * 40, "20240131123000000000"]
+    assert [r.n_markov for r in secrets.scan(docs(spark, list(zip(range(4), plain, "abcd")))).collect()] == [0, 0, 0, 0]
+
+
 def test_mix_reaches_targets(spark):
     rows = ODD + [(100 + i, "w " * (i % 40), f"s{i % 5 if i % 3 else 0}") for i in range(400)]
     out = mixing.mix(docs(spark, rows)).collect()

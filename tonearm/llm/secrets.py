@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .identifiers import ordinary
+
 #: The base patterns, in this order, each with the least length of what it finds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -31,9 +32,7 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 #: The same by byte of UTF-8, the last state for all that is not of the alphabet.
 _STATE = np.full(256, STATES - 1, np.int64)
 _STATE[:128] = _CODE
-#: Length from which a string outside the base spans is a sample of ordinary identifiers.
-IDENTIFIER_LENGTH = 8
-#: Labelled random strings besides those the base patterns find: (alphabet, how many); fixed seed, lengths 20 to 64.
+#: Labelled random strings: (alphabet, how many); fixed seed, lengths 20 to 64.
 RANDOM_SAMPLES = (("0123456789abcdef", 400), (ALPHABET[:62], 800), (ALPHABET[:64], 400), (ALPHABET[26:62], 400))
 MIN_LENGTH, MIN_RATIO = 20, 0.5  # characters; mean log-likelihood ratio per character
 #: Added to every transition, so that one odd string among the identifiers does not make its like ordinary.
@@ -78,36 +77,6 @@ def transitions(token: str) -> np.ndarray:
     return np.concatenate(([STATES - 1], codes[:-1])) * STATES + codes
 
 
-def _pairs_of(data: bytes, least: int) -> np.ndarray:
-    """Transitions of all runs of at least ``least`` alphabet bytes, as in ``transitions``."""
-    states, start, end = runs(data)
-    long_ = end - start >= least
-    mark = np.zeros(len(states) + 1, np.int64)
-    mark[start[long_]] += 1
-    mark[end[long_]] -= 1
-    at = np.flatnonzero(np.cumsum(mark[:-1]))
-    return np.where(at > 0, states[at - 1], STATES - 1) * STATES + states[at]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Transitions of labelled strings of whole texts: 1 in a base span, 0 an ordinary identifier elsewhere."""
-    for batch in batches:
-        counts = np.zeros((2, STATES * STATES), np.int64)
-        for text in batch.column(0):
-            text = text.as_py()
-            spans = base_spans(text, has_long_run(text))
-            rest, until = [], 0
-            for start, end, _ in spans:
-                counts[1] += np.bincount(_pairs_of(text[start:end].encode("utf-8", "replace"), MIN_LENGTH), minlength=STATES * STATES)
-                rest.append(text[until : max(start, until)])
-                until = max(until, end)
-            plain = " ".join([*rest, text[until:]]) if spans else text
-            pairs = _pairs_of(plain.encode("utf-8", "replace"), IDENTIFIER_LENGTH)
-            np.add(counts[0], np.bincount(pairs, minlength=STATES * STATES), out=counts[0])
-        label, pair = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(counts[label, pair], pa.int64())], ["label", "pair", "n"])
-
-
 @dataclass
 class Model:
     ratio: np.ndarray
@@ -129,31 +98,25 @@ class Model:
         return sorted(found + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else found
 
 
-def seed_counts() -> np.ndarray:
-    """Transitions of the fixed random strings."""
-    draw, counts = random.Random(29), np.zeros(STATES * STATES, np.int64)
-    for letters, times in RANDOM_SAMPLES:
-        for _ in range(times):
-            token = "".join(draw.choice(letters) for _ in range(draw.randint(MIN_LENGTH, 64)))
-            counts += np.bincount(transitions(token), minlength=STATES * STATES)
+def counts_of(tokens: Iterable[str]) -> np.ndarray:
+    """Transitions of labelled strings."""
+    counts = np.zeros(STATES * STATES, np.int64)
+    for token in tokens:
+        np.add.at(counts, transitions(token), 1)
     return counts
 
 
-def fit(documents: DataFrame) -> Model:
-    """Both models from all texts: at most 2 x STATES x STATES sums reach the driver."""
-    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.mapInArrow(_count, "label int, pair int, n bigint").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros((2, STATES * STATES))
-    for r in rows:
-        counts[r["label"], r["pair"]] = r["n"]
-    seeded = seed_counts()
-    # What the corpus shows of random strings counts for as much as the fixed samples, however many copies there are.
-    if counts[1].sum():
-        counts[1] *= seeded.sum() / counts[1].sum()
-    counts[1] += seeded
+def random_strings() -> list[str]:
+    """The fixed random strings."""
+    draw = random.Random(29)
+    return ["".join(draw.choice(letters) for _ in range(draw.randint(MIN_LENGTH, 64))) for letters, times in RANDOM_SAMPLES for _ in range(times)]
+
+
+def fit() -> Model:
+    """Both models, from labelled strings only: what a text gets does not depend on the rows beside it."""
     logs = []
-    for kind in (0, 1):
-        table = counts[kind].reshape(STATES, STATES) + SMOOTHING
+    for tokens in (ordinary(), random_strings()):
+        table = counts_of(tokens).reshape(STATES, STATES) + SMOOTHING
         logs.append(np.log(table / table.sum(axis=1, keepdims=True)))
     return Model((logs[1] - logs[0]).ravel())
 
@@ -170,7 +133,7 @@ def scan(documents: DataFrame) -> DataFrame:
     Repeated rows and null ids are kept (nothing is joined by id), further
     columns are ignored, an empty table gives an empty result.
     """
-    model = fit(documents)
+    model = fit()
 
     @F.pandas_udf("n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_markov bigint")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -207,5 +170,5 @@ def redacted(text: Column | str, model: Model, mark: str = "[SECRET]") -> Column
 
 def redact(documents: DataFrame) -> DataFrame:
     """All documents with the secrets in their text replaced, the other columns as they are (n_chars follows the text)."""
-    texts = documents.withColumn("text", redacted("text", fit(documents)))
+    texts = documents.withColumn("text", redacted("text", fit()))
     return texts.withColumn("n_chars", F.length("text").cast(texts.schema["n_chars"].dataType)) if "n_chars" in texts.columns else texts
