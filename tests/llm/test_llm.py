@@ -202,6 +202,24 @@ def test_secret_copies_and_hot_source(spark):
     assert [r.n_markov for r in secrets.scan(docs(spark, list(zip(range(4), plain, "abcd")))).collect()] == [0, 0, 0, 0]
 
 
+def test_secret_spans_do_not_depend_on_other_rows(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(32)) for _ in range(50)]
+    before = ["", "DATABASE_CONNECTION_STRING=", "/usr/local/share/application/config/production/"]
+    rows = [(i, f"{before[i % 3]}{k} and internationalisation_of_things_everywhere", "a") for i, k in enumerate(keys)]
+    more = [(1000 + i, "configuration_manager request_handler_factory " * 30, "b") for i in range(200)] + [(2000 + i, k, "c") for i, k in enumerate(keys * 20)]
+    alone = {r.doc_id: r.spans for r in secrets.scan(docs(spark, rows)).collect()}
+    beside = {r.doc_id: r.spans for r in secrets.scan(docs(spark, rows + more)).filter("doc_id < 1000").collect()}
+    assert alone == beside
+    for i, text, _ in rows:
+        (kind, start, end), *rest = (s.split(":") for s in alone[i].split(","))
+        at = text.index(keys[i])
+        assert kind == "markov" and not rest and int(start) <= at and int(end) == at + 32, (text, alone[i])
+    small = [f"plain words {keys[0]} and internationalisation_of_things_everywhere", LONG, "configuration_manager request_handler_factory connection internationalisation everywhere things_to_remember " * 300]
+    assert [r.n_markov for r in secrets.scan(docs(spark, [(i, t, "a") for i, t in enumerate(small)])).collect()] == [1, 0, 0]
+    assert all(text.startswith(before[i % 3][:10]) for i, text in ((r.doc_id, r.text) for r in secrets.redact(docs(spark, rows)).collect()))
+
+
 def test_mix_reaches_targets(spark):
     rows = ODD + [(100 + i, "w " * (i % 40), f"s{i % 5 if i % 3 else 0}") for i in range(400)]
     out = mixing.mix(docs(spark, rows)).collect()

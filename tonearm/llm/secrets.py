@@ -35,6 +35,7 @@ _STATE[:128] = _CODE
 #: Labelled random strings: (alphabet, how many); fixed seed, lengths 20 to 64.
 RANDOM_SAMPLES = (("0123456789abcdef", 400), (ALPHABET[:62], 800), (ALPHABET[:64], 400), (ALPHABET[26:62], 400))
 MIN_LENGTH, MIN_RATIO = 20, 0.5  # characters; mean log-likelihood ratio per character
+PARTS = "=/_-"  # what joins the parts of an identifier, a path or an assignment
 #: Added to every transition, so that one odd string among the identifiers does not make its like ordinary.
 SMOOTHING = 5.0
 
@@ -81,8 +82,37 @@ def transitions(token: str) -> np.ndarray:
 class Model:
     ratio: np.ndarray
 
-    def mean_ratio(self, token: str) -> float:
-        return float(self.ratio[transitions(token)].mean())
+    def stretches(self, token: str) -> list[tuple[int, int]]:
+        """(start, end) of the disjoint stretches of at least ``MIN_LENGTH`` characters whose mean ratio reaches ``MIN_RATIO``.
+
+        The whole string if its own mean does.  Else a stretch is the best one
+        from its start on, then widened to the parts (between = / _ -) that it
+        begins and ends in, so no rest of a key stays.
+        """
+        sums = np.concatenate(([0.0], np.cumsum(self.ratio[transitions(token)] - MIN_RATIO)))
+        if sums[-1] >= 0:
+            return [(0, len(token))]
+        if (sums[MIN_LENGTH:] < np.minimum.accumulate(sums[:-MIN_LENGTH])).all():
+            return []
+        sums, found, low, end = sums.tolist(), [], 0, MIN_LENGTH
+        while end <= len(token):
+            if sums[end - MIN_LENGTH] < sums[low]:
+                low = end - MIN_LENGTH
+            if sums[end] < sums[low]:
+                end += 1
+                continue
+            top = end
+            while end <= len(token) and sums[end] >= sums[low]:
+                top = end if sums[end] > sums[top] else top
+                end += 1
+            start = max(token.rfind(c, 0, low) for c in PARTS) + 1 if low and token[low] not in PARTS else low
+            while top < len(token) and token[top - 1] not in PARTS and token[top] not in PARTS:
+                top += 1
+            if found and start <= found[-1][1]:
+                start = found.pop()[0]
+            found.append((start, top))
+            low, end = top, top + MIN_LENGTH
+        return found
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """The base spans, and the strings beside them that look random."""
@@ -93,8 +123,8 @@ class Model:
             token = m.group()
             if token.isalpha() or token.isdigit():
                 continue
-            if _free(found, m.start(), m.end()) and self.mean_ratio(token) >= MIN_RATIO:
-                more.append((m.start(), m.end(), "markov"))
+            if _free(found, m.start(), m.end()):
+                more += [(m.start() + s, m.start() + e, "markov") for s, e in self.stretches(token)]
         return sorted(found + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else found
 
 
