@@ -33,7 +33,10 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 _STATE = np.full(256, STATES - 1, np.int64)
 _STATE[:128] = _CODE
 #: Labelled random strings: (alphabet, how many); fixed seed, lengths 20 to 64.
-RANDOM_SAMPLES = (("0123456789abcdef", 400), (ALPHABET[:62], 800), (ALPHABET[:64], 400), (ALPHABET[26:62], 400))
+RANDOM_SAMPLES = (
+    ("0123456789abcdef", 400), (ALPHABET[:62], 800), (ALPHABET[:64], 400), (ALPHABET[26:62], 400),
+    (ALPHABET[:26], 400), (ALPHABET[26:52], 400), (ALPHABET[:52], 400),
+)
 MIN_LENGTH, MIN_RATIO = 20, 0.5  # characters; mean log-likelihood ratio per character
 PARTS = "=/_-"  # what joins the parts of an identifier, a path or an assignment
 #: Added to every transition, so that one odd string among the identifiers does not make its like ordinary.
@@ -68,8 +71,13 @@ def base_spans(text: str, long_run: bool = True) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]))) if found else found
 
 
-def _free(spans, start: int, end: int) -> bool:
-    return all(e <= start or s >= end for s, e, _ in spans)
+def _without(text: str, spans) -> str:
+    """The text with a blank for each character of the spans, which are sorted by their start."""
+    pieces, until = [], 0
+    for start, end, _ in spans:
+        pieces += [text[until:start], " " * (end - max(start, until))]
+        until = max(until, end)
+    return "".join([*pieces, text[until:]]) if pieces else text
 
 
 def transitions(token: str) -> np.ndarray:
@@ -115,16 +123,12 @@ class Model:
         return found
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """The base spans, and the strings beside them that look random."""
+        """The base spans, and what looks random in the runs of 20 characters or more that are left beside them."""
         long_run = has_long_run(text)
         found = base_spans(text, long_run)
         more = []
-        for m in _CANDIDATE.finditer(text) if long_run else ():
-            token = m.group()
-            if token.isalpha() or token.isdigit():
-                continue
-            if _free(found, m.start(), m.end()):
-                more += [(m.start() + s, m.start() + e, "markov") for s, e in self.stretches(token)]
+        for m in _CANDIDATE.finditer(_without(text, found)) if long_run else ():
+            more += [(m.start() + s, m.start() + e, "markov") for s, e in self.stretches(m.group())]
         return sorted(found + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else found
 
 
@@ -159,9 +163,12 @@ def scan(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
     Spans are kind:start:end of whole matches in code points, the end
-    exclusive.  Null and empty texts have none (empty string, digest of it).
-    Repeated rows and null ids are kept (nothing is joined by id), further
-    columns are ignored, an empty table gives an empty result.
+    exclusive; base spans are cut out of a run before the models see the rest,
+    and only letters or only digits are judged like any other run (digits alone
+    score as ordinary).  Null and empty texts have none (empty string, digest of
+    it).  Repeated rows and null ids are kept (nothing is joined by id), further
+    columns are ignored, an empty table gives an empty result.  The models are
+    fixed, so a row's result is its own alone.
     """
     model = fit()
 
