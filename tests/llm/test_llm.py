@@ -116,6 +116,40 @@ def test_jaccard_classes_against_brute_force(spark):
     assert jaccard.link(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [[f"g{g}w{i}" for i in range(150)] for g in range(4)]
+    rows = ODD + [(200 + i, _near(rng, words[0], 3), "a") for i in range(5)] + [(None, _near(rng, words[0], 3), "a"), (None, " ".join(words[0]), "b")]
+    # One id under texts of two components, near copies without any id, equal rows that differ in another column, and a hot row.
+    rows += [(300, " ".join(words[1]), "a"), (300, " ".join(words[2]), "a"), (301, _near(rng, words[1], 2), "a"), (2, _near(rng, words[2], 2), "a")]
+    rows += [(None, " ".join(words[3]), s) for s in "abb"] + [(None, _near(rng, words[3], 2), "c")] + [(400, "a hot row that stands there many times", "ab"[i % 2]) for i in range(50)]
+    sets = []
+    for _, t, _ in rows:
+        w = _words(t, r"[^\x20\x09-\x0D]+")
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    table = docs(spark, rows)
+    kept = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text, r.source) for r in kept.collect()]
+    of = {(d, t, s): g for (d, t, s), g in zip(rows, group) if sets[rows.index((d, t, s))]}
+    least = {}
+    for i, g in enumerate(group):
+        if sets[i]:
+            least[g] = min(least.get(g, (True, 0)), (rows[i][0] is None, rows[i][0] or 0))
+    linked = [r for r in got if r in of]
+    assert sorted(of[r] for r in linked) == sorted(least)
+    assert all(least[of[r]] == (r[0] is None, r[0] or 0) for r in linked)
+    assert sorted((r for r in got if r not in of), key=str) == sorted((r for r, s in zip(rows, sets) if not s), key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs(spark, []), "").count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "u", "<p>é</p>", 1), (1, "v\r\nX: y", "<p>é</p>", 1), (2, None, None, 1), (5, "", "", 1), (None, "n", "<p>é</p>", 1), (3, "u", "<p>é</p>", 1), (9, "z", LONG, 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int")

@@ -206,6 +206,18 @@ def link(documents: DataFrame) -> DataFrame:
     it are null.  Further columns are ignored, an empty table gives an empty
     result.
     """
+    docs, grouped, roots = _linked(documents)
+    renamed = roots.join(grouped.select("digest", "first_id"), "digest")
+    named = renamed.join(renamed.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("digest", "component")
+    every = grouped.select("digest", "first_id").join(named, "digest", "left")
+    every = every.select(F.col("digest").alias("_digest"), F.coalesce("component", "first_id").alias("component"))
+    return docs.join(every, F.col("digest") == F.col("_digest"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def _linked(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, text_hash, n_shingles, digest), their classes, and (digest, root) of the classes that link with others."""
     marks = classes(documents)
     docs = marks.filter("n_shingles is not null").select("doc_id", "text_hash", "n_shingles", "digest")
     grouped = docs.filter("n_shingles > 0").groupBy("digest").agg(
@@ -217,14 +229,31 @@ def link(documents: DataFrame) -> DataFrame:
     most = F.col("shared") + (F.greatest(F.col("n"), F.col("counted")) - F.col("counted")) / 2
     able = grouped.withColumn("name", F.substring("digest", 1, NAME)).join(shared, "name").filter(most * SHARE_DEN >= F.col("n") * SHARE_NUM)
     able = materialize(able.select("digest", "n", "first_id", "one.doc_id", "one.text_hash"), "jaccard-able")
-    roots = _roots(documents, able)
-    renamed = roots.join(able.select("digest", "first_id"), "digest")
-    named = renamed.join(renamed.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("digest", "component")
-    every = grouped.select("digest", "first_id").join(named, "digest", "left")
-    every = every.select(F.col("digest").alias("_digest"), F.coalesce("component", "first_id").alias("component"))
-    return docs.join(every, F.col("digest") == F.col("_digest"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
+    return docs, grouped, _roots(documents, able)
+
+
+def one_each(documents: DataFrame) -> DataFrame:
+    """Of each component of near copies one row, with all its columns as they are.
+
+    Rows are told apart by id and text, not by id alone: the row with the
+    smallest id (null last), then the smallest text hash, stays; of rows equal
+    in both, the one with the smallest hash of all columns.  Rows without a
+    shingle link with nothing, so each of them stays.
+    """
+    docs, _, roots = _linked(documents)
+    # Equal rows are counted first, so that a hot one is a single row from here on.
+    rows = docs.groupBy("digest", "doc_id", "text_hash").agg(F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "copies")).alias("one")
+    least = rows.filter("n > 0").groupBy("digest").agg(first).join(roots, "digest", "left")
+    # A root is a number of its own table; a class that links with none goes by its digest.
+    ones = least.groupBy("root", F.when(F.col("root").isNull(), F.col("digest"))).agg(F.min("one").alias("one"))
+    kept = ones.select("one.doc_id", "one.text_hash", (F.col("one.copies") > 1).alias("several"))
+    kept = kept.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.lit(False).alias("several")))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("several").alias("_several"))
+    text_hash, columns = F.xxhash64(F.coalesce("text", F.lit(""))), documents.columns
+    met = documents.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")))
+    equal = met.filter("_several").groupBy("_id", "_hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    return met.filter("not _several").select(*columns).unionByName(equal.select("_row.*"))
 
 
 def _perhaps(rows: DataFrame, hash_: Column, wanted: DataFrame) -> DataFrame:
