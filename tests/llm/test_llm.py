@@ -6,13 +6,14 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.parity import rows_of
-from tonearm.llm import chat, decontam, hnsw, jaccard, licenses, mixing, queries, quality, secrets, toxicity, warc
+from tonearm.llm import chat, decontam, hnsw, jaccard, labels, licenses, mixing, queries, quality, secrets, toxicity, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, digest string, shingle string"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
@@ -352,6 +353,16 @@ def test_classifiers_on_held_out_rows(spark, module, label):
     assert len(alone) == len(rows) and {r.score for r in alone} == {0.0}
 
 
+def test_sample_has_one_text_per_id(spark):
+    rows = [(i % 40 if i % 3 else 7, f"text {i}", "a") for i in range(300)]
+    labels_ = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    got = [tuple(r) for r in labels.sample(docs(spark, rows), labels_, "toxic", 5, 0, 1000).collect()]
+    ids = {i for i, _, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 5}
+    assert 7 in ids and len(got) == len(ids)
+    assert sorted(y for _, y, _ in got) == sorted(i % 2 for i in ids)
+    assert {t for t, _, _ in got} <= {t for _, t, _ in rows}
+
+
 def test_pipeline_keeps_columns(spark, sf_dir):
     import corpus_pipeline
 
