@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, hnsw, jaccard, licenses, mixing, quality, secrets, toxicity, warc
+from . import chat, decontam, hnsw, jaccard, licenses, merkle, mixing, quality, secrets, toxicity, warc
 
 _A_TO_Z = f"'{decontam.UPPER}', '{decontam.LOWER}'"
 
@@ -69,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -173,11 +177,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string."""
+    step = "list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint), lambda c, b: {step}, 4294967295::bigint), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({c} AS varchar)" for c in merkle.FIELDS[:-1]] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+_LEVEL = "SELECT {key}, l + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY {key}, l, i // 3"
+_FOLD = """SELECT w.rid, w.source, w.l + 1, w.i // 3, (any_value(w.n) + 2) // 3,
+         sha256(string_agg(CASE WHEN t.i = w.i THEN w.cur ELSE t.h END, '' ORDER BY t.i)),
+         any_value(w.sib) || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i <> w.i), '')"""
+OP12_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_leaf("text")} AS leaf,
+               CASE WHEN {_crc32("CAST(doc_id AS varchar)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS changed FROM documents)
+), t AS (
+  SELECT source, 0 AS l, i, n, leaf AS h FROM d UNION ALL {_LEVEL.format(key="source", t="t")}
+), s AS MATERIALIZED (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS k, 0 AS l, i, n, h FROM s UNION ALL {_LEVEL.format(key="k", t="u")}
+), low AS (
+  SELECT rid, source, 0 AS l, i, n, coalesce(changed, leaf) AS cur, '' AS sib FROM d UNION ALL
+  {_FOLD} FROM low w JOIN t ON t.source IS NOT DISTINCT FROM w.source AND t.l = w.l AND t.i // 3 = w.i // 3 WHERE w.n > 1 GROUP BY w.rid, w.source, w.l, w.i
+), high AS (
+  SELECT low.rid, low.source, 0 AS l, s.i, s.n, low.cur, low.sib FROM low JOIN s ON s.source IS NOT DISTINCT FROM low.source WHERE low.n = 1 UNION ALL
+  {_FOLD} FROM high w JOIN u t ON t.l = w.l AND t.i // 3 = w.i // 3 WHERE w.n > 1 GROUP BY w.rid, w.source, w.l, w.i
+), r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT d.doc_id, d.leaf, s.h AS subroot, r.root, sha256(high.sib) AS proof_sha256, high.cur AS folded_root, high.cur = r.root AS verified
+FROM d JOIN high ON high.rid = d.rid AND high.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM d.source, r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_ngram_jaccard_join, op4_warc, op5_nearest_neighbours, op6_secret_scan, op7_source_mix,
-        op8_chat_format, op9_license_scan, op10_quality, pipeline,
+        op8_chat_format, op9_license_scan, op10_quality, op12_merkle_manifest, pipeline,
     )
 }
 SQL = {
@@ -186,4 +228,5 @@ SQL = {
     "op4_warc": OP4_SQL,
     "op7_source_mix": OP7_SQL,
     "op8_chat_format": OP8_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
