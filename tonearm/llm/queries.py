@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, hnsw, jaccard, licenses, merkle, mixing, quality, secrets, toxicity, warc
+from . import chat, decontam, hnsw, jaccard, licenses, merkle, mixing, quality, secrets, toxicity, trie, warc
 
 _A_TO_Z = f"'{decontam.UPPER}', '{decontam.LOWER}'"
 
@@ -73,6 +73,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -215,11 +219,37 @@ SELECT d.doc_id, d.leaf, s.h AS subroot, r.root, sha256(high.sib) AS proof_sha25
 FROM d JOIN high ON high.rid = d.rid AND high.n = 1 JOIN s ON s.source IS NOT DISTINCT FROM d.source, r
 """
 
+OP13_SQL = rf"""
+WITH c AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS k,
+         {{'r': role, 't': text}} AS turn
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), v AS (SELECT conv_id, list(turn ORDER BY k) AS turns, {_crc32("CAST(conv_id AS varchar)")} % {trie.SHARED} AS h FROM c GROUP BY conv_id),
+b AS MATERIALIZED (
+  SELECT v.conv_id, list_concat(coalesce(f.turns, [])[:v.h], v.turns[v.h + 1:]) AS turns FROM v LEFT JOIN v f ON f.conv_id = v.conv_id - v.conv_id % {trie.BLOCK}
+), p AS MATERIALIZED (
+  SELECT conv_id, d, sha256(CAST(turns[:d] AS varchar)) AS node, CASE WHEN d > 0 THEN sha256(CAST(turns[:d - 1] AS varchar)) END AS above, d = len(turns) AS ends,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM b)
+), n AS MATERIALIZED (
+  SELECT node, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(above) AS above, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY node
+), k AS (SELECT above AS node, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+s AS (
+  SELECT a.node, sum(CASE WHEN o.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((o.n_convs - 1) * o.words) AS saved_tokens
+  FROM o JOIN p a ON a.conv_id = o.conv_id AND a.d <= o.depth GROUP BY a.node
+)
+SELECT o.conv_id, o.depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves::bigint AS n_leaves, s.saved_tokens::bigint AS saved_tokens, o.ends_sha256
+FROM o JOIN s USING (node) LEFT JOIN n q ON q.node = o.above
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_ngram_jaccard_join, op4_warc, op5_nearest_neighbours, op6_secret_scan, op7_source_mix,
-        op8_chat_format, op9_license_scan, op10_quality, op12_merkle_manifest, pipeline,
+        op8_chat_format, op9_license_scan, op10_quality, op12_merkle_manifest, op13_prefix_trie, pipeline,
     )
 }
 SQL = {
@@ -229,4 +259,5 @@ SQL = {
     "op7_source_mix": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op12_merkle_manifest": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
