@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, hnsw, jaccard, licenses, merkle, mixing, quality, secrets, toxicity, trie, warc
+from . import chat, decontam, hnsw, jaccard, licenses, merkle, mixing, quality, repeats, secrets, toxicity, trie, warc
 
 _A_TO_Z = f"'{decontam.UPPER}', '{decontam.LOWER}'"
 
@@ -69,6 +69,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        "doc_id", (F.octet_length("kept") + gone).cast("bigint").alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
@@ -183,6 +192,27 @@ FROM f GROUP BY conv_id
 
 
 
+OP11_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), w AS MATERIALIZED (
+  SELECT rid, doc_id, s, x[2 * s + 1:2 * s + {2 * repeats.LENGTH}] AS t FROM (SELECT rid, doc_id, x, unnest(range(0, n - {repeats.LENGTH - 1})) AS s FROM d WHERE n >= {repeats.LENGTH})
+), least AS (SELECT t, min(doc_id) AS doc_id FROM w GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT rid, s FROM w JOIN least USING (t) WHERE least.doc_id < w.doc_id OR (w.doc_id IS NULL AND least.doc_id IS NOT NULL)),
+marked AS (SELECT rid, s, CASE WHEN s <= lag(s) OVER o + {repeats.LENGTH} THEN 0 ELSE 1 END AS new FROM gone WINDOW o AS (PARTITION BY rid ORDER BY s)),
+numbered AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS k FROM marked),
+spans AS (SELECT rid, min(s) AS a, max(s) + {repeats.LENGTH} AS b FROM numbered GROUP BY rid, k),
+cut AS (
+  SELECT d.rid, a, b, x[2 * lag(b, 1, 0) OVER o + 1:2 * a] AS before, lead(a) OVER o IS NULL AS is_last, x[2 * b + 1:] AS rest
+  FROM spans JOIN d USING (rid) WINDOW o AS (PARTITION BY d.rid ORDER BY a)
+), kept AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before || CASE WHEN is_last THEN rest ELSE '' END, '' ORDER BY a) AS x FROM cut GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def _crc32(text: str) -> str:
     """SQL for the unsigned CRC-32 of an ASCII string."""
     step = "list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b))"
@@ -249,7 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_ngram_jaccard_join, op4_warc, op5_nearest_neighbours, op6_secret_scan, op7_source_mix,
-        op8_chat_format, op9_license_scan, op10_quality, op12_merkle_manifest, op13_prefix_trie, pipeline,
+        op8_chat_format, op9_license_scan, op10_quality, op11_suffix_dedup, op12_merkle_manifest, op13_prefix_trie, pipeline,
     )
 }
 SQL = {
@@ -258,6 +288,7 @@ SQL = {
     "op4_warc": OP4_SQL,
     "op7_source_mix": OP7_SQL,
     "op8_chat_format": OP8_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
