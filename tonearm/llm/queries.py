@@ -195,15 +195,18 @@ FROM f GROUP BY conv_id
 OP11_SQL = f"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), blocks AS (
+  SELECT rid, doc_id, k, least(256, n - {repeats.LENGTH - 1} - 256 * k) AS m, substring(x, 512 * k + 1, {512 + 2 * repeats.LENGTH}) AS y
+  FROM (SELECT rid, doc_id, x, n, unnest(range(0, (n - {repeats.LENGTH}) // 256 + 1)) AS k FROM d WHERE n >= {repeats.LENGTH})
 ), w AS MATERIALIZED (
-  SELECT rid, doc_id, s, x[2 * s + 1:2 * s + {2 * repeats.LENGTH}] AS t FROM (SELECT rid, doc_id, x, unnest(range(0, n - {repeats.LENGTH - 1})) AS s FROM d WHERE n >= {repeats.LENGTH})
+  SELECT rid, doc_id, 256 * k + s AS s, substring(y, 2 * s + 1, {2 * repeats.LENGTH}) AS t FROM (SELECT rid, doc_id, k, y, unnest(range(0, m)) AS s FROM blocks)
 ), least AS (SELECT t, min(doc_id) AS doc_id FROM w GROUP BY t HAVING count(*) > 1),
 gone AS (SELECT rid, s FROM w JOIN least USING (t) WHERE least.doc_id < w.doc_id OR (w.doc_id IS NULL AND least.doc_id IS NOT NULL)),
 marked AS (SELECT rid, s, CASE WHEN s <= lag(s) OVER o + {repeats.LENGTH} THEN 0 ELSE 1 END AS new FROM gone WINDOW o AS (PARTITION BY rid ORDER BY s)),
 numbered AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS k FROM marked),
 spans AS (SELECT rid, min(s) AS a, max(s) + {repeats.LENGTH} AS b FROM numbered GROUP BY rid, k),
 cut AS (
-  SELECT d.rid, a, b, x[2 * lag(b, 1, 0) OVER o + 1:2 * a] AS before, lead(a) OVER o IS NULL AS is_last, x[2 * b + 1:] AS rest
+  SELECT d.rid, a, b, substring(x, 2 * lag(b, 1, 0) OVER o + 1, 2 * (a - lag(b, 1, 0) OVER o)) AS before, lead(a) OVER o IS NULL AS is_last, substring(x, 2 * b + 1) AS rest
   FROM spans JOIN d USING (rid) WINDOW o AS (PARTITION BY d.rid ORDER BY a)
 ), kept AS (
   SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before || CASE WHEN is_last THEN rest ELSE '' END, '' ORDER BY a) AS x FROM cut GROUP BY rid
