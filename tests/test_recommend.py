@@ -7,10 +7,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import embeddings, itemknn, rerank
+from tonearm.operators import embeddings, gram, itemknn, rerank
 from tonearm.operators.blocks import topk_products
 
 
@@ -42,11 +43,46 @@ def test_neighbors_exact_with_wide_users(spark, seed, wide, k):
     pairs = skewed_pairs(seed, wide)
     pos = spark.createDataFrame(pairs, "user_id bigint, item_id bigint")
     got = defaultdict(list)
-    for r in itemknn.neighbors(pos, k, wide_user_items=10).orderBy("item_id", "rank").collect():
+    for r in itemknn.neighbors(pos, k, block_items=7).orderBy("item_id", "rank").collect():
         got[r["item_id"]].append((r["neighbor_id"], r["sim"]))
     assert dict(got) == brute_neighbors(pairs, k)
 
 
+def test_neighbors_of_hundreds_of_wide_users(spark):
+    """300 users with 3,000 of 3,600 items each, beside 200 narrow ones."""
+    rng = np.random.default_rng(5)
+    held = np.zeros((500, 3600), bool)
+    for u in range(300):
+        held[u, rng.permutation(3600)[:3000]] = True
+    held[300:] = rng.random((200, 3600)) < 0.002
+    users, items = np.nonzero(held)
+    pos = spark.createDataFrame(pd.DataFrame({"user_id": users, "item_id": items}))
+    got = defaultdict(list)
+    for r in itemknn.neighbors(pos, 4, block_items=1000).orderBy("item_id", "rank").collect():
+        got[r["item_id"]].append(r["neighbor_id"])
+    co = held.T.astype(np.float32) @ held.astype(np.float32)
+    strength = co.astype(float) ** 2 / held.sum(0)
+    np.fill_diagonal(strength, -1)
+    want = np.lexsort((np.broadcast_to(np.arange(3600), strength.shape), -strength))[:, :4]
+    assert [got[i] for i in range(3600)] == want.tolist()
+
+
+def test_lists_of_a_user_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(gram, "LISTS_PER_TASK", 3)
+    monkeypatch.setattr(gram, "CELLS_PER_TASK", 5)
+    pairs = skewed_pairs(5, 4)
+    half, items = gram.co_occurrence(spark.createDataFrame(pairs, "user_id bigint, item_id bigint"), 4)
+    at = {r["at"]: r["item_id"] for r in items.collect()}
+    users = defaultdict(set)
+    for u, i in pairs:
+        users[i].add(u)
+    got = {(at[r["a"]], at[r["b"]]): r["co"] for r in half.collect()}
+    assert all(len(users[a] & users[b]) == n for (a, b), n in got.items())
+    ids = sorted(users)
+    assert len(got) == sum(bool(users[a] & users[b]) for k, a in enumerate(ids) for b in ids[:k])
+    assert spark.createDataFrame([], "user_id bigint, item_id bigint").transform(lambda d: itemknn.neighbors(d, 3)).count() == 0
+
+
 @pytest.mark.parametrize("mode", ["baseline", "sim2", "normalize_seed", "pop_pow", "pop_log"])
 def test_recommend_modes(spark, mode):
     pairs = skewed_pairs(7, 0)

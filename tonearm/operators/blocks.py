@@ -34,11 +34,6 @@ def dot_plus_weight(product: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.floor((product + weight) * 1e6 + 0.5) / 1e6
 
 
-def overlap_square(product: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared overlap over the right row's weight; rows without overlap do not count."""
-    return np.where(product > 0, product * product / weight, -np.inf)
-
-
 def _block(key: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(blocks)).cast("int")
 

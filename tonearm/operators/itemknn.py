@@ -2,137 +2,33 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import numeric
-from ..session import materialize
-from .blocks import overlap_square, topk_products
-from .ids import dense_ids
-
-# Users with more items than this do not enter the pair join.
-WIDE_USER_ITEMS = 2000
-# Pairs one task of the join should produce.
-PAIRS_PER_TASK = 4_000_000
+from .gram import BLOCK_ITEMS, co_occurrence
 
 
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` per item from (item_id, neighbor_id, co, n_item, n_neighbor).
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` per item ``i`` from (i, neighbor_id, co, n_neighbor), with their rank.
 
     For one item the cosine orders neighbours as co^2 / n_neighbor does, and
     that ratio of whole numbers ties exactly when the cosines do.
     """
     strength = F.col("co") * F.col("co") / F.col("n_neighbor")
-    order = Window.partitionBy("item_id").orderBy(F.desc("strength"), "neighbor_id")
+    order = Window.partitionBy("i").orderBy(F.desc("strength"), "neighbor_id")
+    return pairs.withColumn("strength", strength).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def neighbors(pos: DataFrame, k: int, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(item_id, neighbor_id, sim, rank) from distinct (user_id, item_id) pairs, users and items of any width."""
+    half, items = co_occurrence(pos, block_items)
+    sides = F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))))
+    both = half.select(sides.alias("s"), "co").select("s.*", "co")
+    other = items.select(F.col("at").alias("j"), F.col("item_id").alias("neighbor_id"), F.col("n").alias("n_neighbor"))
+    own = items.select(F.col("at").alias("i"), "item_id", F.col("n").alias("n_item"))
+    best = _best(both.join(other, "j"), k)
     sim = F.round(F.col("co") / F.sqrt(F.col("n_item") * F.col("n_neighbor")), 6)
-    return (
-        pairs.withColumn("strength", strength)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("item_id", "neighbor_id", sim.alias("sim"), "rank")
-    )
-
-
-def _pair_counts(counted: DataFrame, parts: int) -> DataFrame:
-    """Co-occurrence of unordered pairs; item counts travel with the pair, so no later join.
-
-    The number of tasks follows the pairs to be produced, which the size of
-    the input does not show.
-    """
-    a = counted.select("user_id", F.col("item_id").alias("a"), F.col("n").alias("n_a")).repartition(parts, "user_id")
-    b = counted.select("user_id", F.col("item_id").alias("b"), F.col("n").alias("n_b")).repartition(parts, "user_id")
-    joined = a.hint("shuffle_hash").join(b, "user_id").filter("a < b")
-    return joined.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("co"))
-
-
-def _mirrored(half: DataFrame) -> DataFrame:
-    """Both directions of every pair, from one pass over the half."""
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("a").alias("item_id"), F.col("b").alias("neighbor_id"), F.col("n_a").alias("n_item"), F.col("n_b").alias("n_neighbor")),
-            F.struct(F.col("b").alias("item_id"), F.col("a").alias("neighbor_id"), F.col("n_b").alias("n_item"), F.col("n_a").alias("n_neighbor")),
-        )
-    )
-    return half.select(sides.alias("s"), "co").select("s.*", "co")
-
-
-def neighbors(pos: DataFrame, k: int, wide_user_items: int = WIDE_USER_ITEMS) -> DataFrame:
-    """(item_id, neighbor_id, sim, rank) from distinct (user_id, item_id) pairs.
-
-    Users up to ``wide_user_items`` go through a self-join whose output is
-    bounded by that number per row. A wider user would square: those users
-    are handled by item signatures instead (which of them hold the item), and
-    the result stays exact.
-    """
-    # The pairs are read by both sides of the join and by the width check: written once.
-    counted = materialize(
-        pos.select("user_id", "item_id").join(pos.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id"), "pairs"
-    )
-    widths = counted.groupBy("user_id").agg(F.count(F.lit(1)).alias("w"))
-    narrow = F.col("w") <= wide_user_items
-    facts = widths.agg(F.sum(F.when(narrow, F.col("w") * F.col("w") / 2)).alias("pairs"), F.max("w").alias("widest")).first()
-    cores = pos.sparkSession.sparkContext.defaultParallelism
-    parts = max(cores, math.ceil((facts["pairs"] or 0) / PAIRS_PER_TASK))
-    if (facts["widest"] or 0) <= wide_user_items:
-        return _ranked(_mirrored(_pair_counts(counted, parts)), k)
-    return _with_wide_users(counted, widths.filter(~narrow).select("user_id"), k, parts)
-
-
-def _with_wide_users(counted: DataFrame, wide: DataFrame, k: int, parts: int) -> DataFrame:
-    """Exact neighbours when some users are too wide for the pair join.
-
-    Let c be the overlap of two items' signatures. A pair of items without a
-    common narrow user counts exactly c, and can be among an item's best k
-    only if fewer than k items with the same signature as the neighbour come
-    before it, that is, have a smaller (count, id). So k + 1 items per
-    signature are enough (one may be the item itself), and the products of
-    distinct signatures with those candidates give the best of them. Pairs
-    with a common narrow user are all known from the pair join and get their
-    own overlap added.
-    """
-    slots = dense_ids(wide, "user_id", "slot")
-    n_slots = slots.count()
-    held = counted.join(slots, "user_id").groupBy("item_id", "n").agg(F.array_sort(F.collect_set("slot")).alias("held"))
-    # The same signature always has the same key, whatever task it comes from.
-    held = held.withColumn("sig", F.xxhash64("held"))
-    flags = F.transform(F.sequence(F.lit(0), F.lit(n_slots - 1)), lambda s: F.array_contains("held", s).cast("float"))
-
-    by_count = Window.partitionBy("held").orderBy("n", "item_id")
-    candidates = held.withColumn("pos", F.row_number().over(by_count)).filter(F.col("pos") <= k + 1)
-    signatures = held.groupBy("sig", "held").agg(F.count(F.lit(1)).alias("items"))
-    best = topk_products(
-        signatures.select(F.col("sig").alias("id"), flags.alias("vec")),
-        candidates.select(F.col("item_id").alias("id"), flags.alias("vec"), F.col("n").cast("double").alias("weight")),
-        k + 1,
-        score=overlap_square,
-    )
-    from_wide = (
-        held.select("item_id", F.col("n").alias("n_item"), F.col("sig").alias("id"), F.col("held").alias("held_item"))
-        .join(best.select("id", F.col("match_id").alias("neighbor_id")), "id")
-        .filter("item_id <> neighbor_id")
-        .join(held.select(F.col("item_id").alias("neighbor_id"), F.col("n").alias("n_neighbor"), F.col("held").alias("held_neighbor")), "neighbor_id")
-        .select(
-            "item_id", "neighbor_id", "n_item", "n_neighbor",
-            F.size(F.array_intersect("held_item", "held_neighbor")).cast("bigint").alias("wide_co"),
-        )
-    )
-
-    narrow = counted.join(wide, "user_id", "left_anti")
-    half = _pair_counts(narrow, parts)
-    sig_a = held.select(F.col("item_id").alias("a"), F.col("held").alias("held_a"))
-    sig_b = held.select(F.col("item_id").alias("b"), F.col("held").alias("held_b"))
-    shared = F.coalesce(F.size(F.array_intersect("held_a", "held_b")), F.lit(0))
-    half = (
-        half.join(sig_a, "a", "left")
-        .join(sig_b, "b", "left")
-        .withColumn("co", F.col("co") + F.greatest(shared, F.lit(0)))
-        .drop("held_a", "held_b")
-    )
-    # A pair found both ways has the larger (full) count from the narrow side.
-    both = _mirrored(half).unionByName(from_wide.withColumnRenamed("wide_co", "co"))
-    merged = both.groupBy("item_id", "neighbor_id", "n_item", "n_neighbor").agg(F.max("co").alias("co"))
-    return _ranked(merged, k)
+    return best.join(own, "i").select("item_id", "neighbor_id", sim.alias("sim"), "rank")
 
 
 # --- recommendations ------------------------------------------------------------
