@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tonearm.operators import challenges
 from tonearm.schemas import EVENTS
 from tonearm.streaming import jobs
 
@@ -113,3 +114,45 @@ def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
     for _ in range(2):
         batch.write.mode("overwrite").parquet(f"{tmp_path}/data/batch_id=0")
     assert jobs.written(spark, str(tmp_path)).count() == 1
+
+
+def chain_by_hand(rows):
+    """Plain fold over (user, day, offers, counts)."""
+    out, state = [], {}
+    for user, day, offers, ns in sorted(rows, key=lambda r: (r[0], r[1])):
+        last, kept = state.get(user, (None, []))
+        kept = kept if last == day - 1 else []
+        today = [(t, n, 1) for t, n in kept]
+        for t, n in offers:
+            if len(today) < 3 and t not in [x[0] for x in kept]:
+                today.append((t, n, 0))
+        state[user] = (day, [(t, n) for t, n, _ in today if ns[t - 1] < n])
+        out += [(user, day, t, n, c, min(n, ns[t - 1]), int(ns[t - 1] >= n)) for t, n, c in today]
+    return sorted(out)
+
+
+def test_challenges_go_on_from_day_to_day(spark, tmp_path):
+    """Batch, and a stream of one file a day whose state passes on; gaps, repetitions and finished days."""
+    rng = random.Random(6)
+    rows = []
+    for user in range(40):
+        for day in range(19_700, 19_712):
+            if rng.random() < 0.8:
+                offers = [(t, rng.randint(1, 4)) for t in rng.sample(range(1, 7), 6)]
+                rows.append((user, day, offers, [rng.randrange(4) for _ in range(6)]))
+    schema = "user_id bigint, number int, offers array<struct<type:int,target:int>>, ns array<bigint>"
+    table = lambda some: spark.createDataFrame(some, schema).select("user_id", F.date_from_unix_date("number").alias("day"), "offers", "ns")
+    want = chain_by_hand(rows)
+    number = F.unix_date("day")
+    as_rows = lambda df: sorted(tuple(r) for r in df.select("user_id", number, "type", "target", "carried", "current_count", "is_completed").collect())
+    packed = table(rows).select("user_id", number.alias("day"), "offers", "ns").repartition(3).repartition("user_id").sortWithinPartitions("user_id", "day")
+    folded = packed.mapInArrow(challenges._fold, challenges.CHAIN.replace("day date", "day int"))
+    assert as_rows(folded.withColumn("day", F.date_from_unix_date("day"))) == want
+
+    folder = tmp_path / "in"
+    stream = spark.readStream.schema(table(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    for day in range(19_700, 19_712):
+        table([r for r in rows if r[1] == day] + [r for r in rows if r[1] == day - 1 and r[0] < 3]).coalesce(1).write.parquet(f"{folder}/{day}")
+        if day in (19_704, 19_711):  # stopped and started again in between
+            jobs.start(jobs.challenge_chain(stream), f"{tmp_path}/out", "update").awaitTermination()
+    assert as_rows(jobs.written(spark, f"{tmp_path}/out")) == want

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import buckets, hashing
@@ -58,24 +61,66 @@ def _offers(days: DataFrame, seed: int) -> DataFrame:
     return each.withColumns({"h": hashing.order_key(*parts, seed), "target": target.cast("int")}).drop("lo", "hi")
 
 
-def draw(days: DataFrame, seed: int = 42) -> DataFrame:
-    """(user_id, day, type, target): three challenges for users without a previous day."""
-    order = Window.partitionBy("user_id", "day").orderBy("h", "type")
-    return (
-        _offers(days, seed)
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= PER_DAY)
-        .select("user_id", "day", "type", "target")
-    )
+def day_rows(days: DataFrame, counts: DataFrame, seed: int = 42) -> DataFrame:
+    """(user_id, day, offers, ns): per day of a user all types in draw order with their targets, and the counts of types 1 to 6."""
+    offer = F.struct("h", "type", "target")
+    drawn = F.transform(F.sort_array(F.collect_list(offer)), lambda o: F.struct(o["type"].alias("type"), o["target"].alias("target")))
+    offers = _offers(days, seed).groupBy("user_id", "day").agg(drawn.alias("offers"))
+    per_type = [F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n"))), F.lit(0)).cast("bigint") for t, _, _ in CHALLENGES]
+    told = counts.groupBy("user_id", "day").agg(F.array(*per_type).alias("ns"))
+    none = F.array(*[F.lit(0).cast("bigint") for _ in CHALLENGES])
+    return offers.join(told, ["user_id", "day"], "left").select("user_id", "day", "offers", F.coalesce("ns", none).alias("ns"))
 
 
-def progress(assigned: DataFrame, counts: DataFrame) -> DataFrame:
-    """Current count of each assigned challenge, capped at its target, and completion."""
-    joined = assigned.join(counts, ["user_id", "day", "type"], "left")
-    current = F.least(F.coalesce("n", F.lit(0)), F.col("target")).cast("int")
-    return joined.select("user_id", "day", "type", "target", current.alias("current_count")).withColumn(
-        "is_completed", (F.col("current_count") >= F.col("target")).cast("int")
-    )
+def step(day: int, offers: list[tuple[int, int]], ns: list[int], last: int | None, open_: list[tuple[int, int]]) -> list[tuple]:
+    """One day of a user: (type, target, carried, current_count, is_completed) of its three challenges.
+
+    ``last`` and ``open_`` are the day before and what stayed unfinished on it.
+    The calendar day after it goes on with these, from zero, and draws the rest
+    among the other types; after a gap all three are drawn.
+    """
+    kept = open_ if last is not None and last == day - 1 else []
+    held = {t for t, _ in kept}
+    drawn = [o for o in offers if o[0] not in held][: PER_DAY - len(kept)]
+    rows = []
+    for carried, some in ((1, kept), (0, drawn)):
+        for type_, target in some:
+            n = min(ns[type_ - 1], target)
+            rows.append((type_, target, carried, n, int(n >= target)))
+    return rows
+
+
+CHAIN = "user_id bigint, day date, type int, target int, carried int, current_count int, is_completed int"
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Days come sorted by user and day; what is open passes from row to row."""
+    user = last = None
+    open_: list[tuple[int, int]] = []
+    for batch in batches:
+        out = []
+        users, days, offers, ns = (batch.column(i).to_pylist() for i in range(4))
+        for u, day, offer, n in zip(users, days, offers, ns):
+            if u != user:
+                user, last, open_ = u, None, []
+            rows = step(day, [(o["type"], o["target"]) for o in offer], n, last, open_)
+            last, open_ = day, [(r[0], r[1]) for r in rows if not r[4]]
+            out += [(u, day, *r) for r in rows]
+        types = [pa.int64(), *[pa.int32()] * 6]
+        columns = list(zip(*out)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["user_id", "day", "type", "target", "carried", "current_count", "is_completed"])
+
+
+def chain(days: DataFrame, counts: DataFrame, seed: int = 42) -> DataFrame:
+    """Challenges of every (user_id, day) with their progress: a chain of days, each going on from the day before.
+
+    ``days`` are the days on which a user asked, ``counts`` is (user_id, day,
+    type, n).  A user has at most one row a day; a task folds its users one
+    row at a time and holds the three open challenges only.
+    """
+    rows = day_rows(days, counts, seed).select(F.col("user_id").cast("bigint").alias("user_id"), F.unix_date("day").alias("day"), "offers", "ns")
+    folded = rows.repartition("user_id").sortWithinPartitions("user_id", "day").mapInArrow(_fold, CHAIN.replace("day date", "day int"))
+    return folded.withColumn("day", F.date_from_unix_date("day"))
 
 
 def next_day(done: DataFrame, seed: int = 42) -> DataFrame:

@@ -152,7 +152,7 @@ def challenge_days(t: Tables):
 
 
 def challenge_progress(t: Tables):
-    return challenges.progress(challenges.draw(challenge_days(t)), challenge_counts(t))
+    return challenges.chain(challenge_days(t), challenge_counts(t))
 
 
 COUNTS = """
@@ -172,10 +172,25 @@ def _offers(days: str, name: str) -> str:
     FROM {days}, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS type, unnest([1, 1, 1, 1, 1, 1]) AS lo, unnest([5, 5, 5, 3, 3, 5]) AS hi))"""
 
 
+def _state(kept: str, offers: str) -> str:
+    """A day's challenges: what was kept, then as many of the offers of other types as are left."""
+    open_ = f"list_transform({kept}, lambda x: {{'type': x.type, 'target': x.target, 'carried': 1}})"
+    drawn = f"list_filter({offers}, lambda o: NOT list_contains(list_transform({kept}, lambda x: x.type), o.type))[:3 - len({kept})]"
+    return f"list_concat({open_}, list_transform({drawn}, lambda o: {{'type': o.type, 'target': o.target, 'carried': 0}}))"
+
+
 PROGRESS = f"""{COUNTS}, dy AS (SELECT DISTINCT user_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM ev), {_offers("dy", "ofr")},
-dr AS (SELECT * FROM ofr QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY h, type) <= 3),
-pr AS (SELECT user_id, day, type, target, least(coalesce(n, 0), target) AS current_count, (coalesce(n, 0) >= target)::BIGINT AS is_completed
-       FROM dr LEFT JOIN cn USING (user_id, day, type))"""
+cl AS (SELECT user_id, day, [{", ".join(f"coalesce(sum(n) FILTER (WHERE type = {t}), 0)::BIGINT" for t in range(1, 7))}] AS ns FROM cn GROUP BY 1, 2),
+dd AS MATERIALIZED (SELECT o.user_id, o.day, offers, coalesce(ns, [0, 0, 0, 0, 0, 0]) AS ns
+       FROM (SELECT user_id, day, list({{'type': type, 'target': target}} ORDER BY h, type) AS offers FROM ofr GROUP BY 1, 2) o LEFT JOIN cl USING (user_id, day)),
+ch AS (SELECT user_id, day, ns, {_state("offers[:0]", "offers")} AS state FROM dd
+       WHERE NOT EXISTS (SELECT 1 FROM dy WHERE dy.user_id = dd.user_id AND dy.day = CAST(dd.day - INTERVAL 1 DAY AS DATE))
+       UNION ALL SELECT user_id, day, ns, {_state("kept", "offers")} AS state
+       FROM (SELECT dd.*, list_transform(list_filter(ch.state, lambda x: ch.ns[x.type] < x.target), lambda x: {{'type': x.type, 'target': x.target}}) AS kept
+             FROM ch JOIN dd ON dd.user_id = ch.user_id AND dd.day = CAST(ch.day + INTERVAL 1 DAY AS DATE))),
+pr AS (SELECT user_id, day, c.type, c.target, c.carried, least(ns[c.type], c.target) AS current_count, (ns[c.type] >= c.target)::BIGINT AS is_completed
+       FROM (SELECT user_id, day, ns, unnest(state) AS c FROM ch))"""
+CHAIN_SQL = f"WITH RECURSIVE {PROGRESS} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, type, target, carried, current_count, is_completed FROM pr"
 
 
 @query("challenge_events", f"WITH {COUNTS} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, type, n FROM cn")
@@ -183,14 +198,14 @@ def _(t):
     return challenge_counts(t)
 
 
-@query("challenge_progress", f"WITH {PROGRESS} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, type, target, current_count, is_completed FROM pr")
+@query("challenge_progress", CHAIN_SQL)
 def _(t):
     return challenge_progress(t)
 
 
 @query(
     "challenge_assignment",
-    f"""WITH {PROGRESS}, nx AS (SELECT user_id, CAST(day + INTERVAL 1 DAY AS DATE) AS day, type, target, is_completed FROM pr),
+    f"""WITH RECURSIVE {PROGRESS}, nx AS (SELECT user_id, CAST(day + INTERVAL 1 DAY AS DATE) AS day, type, target, is_completed FROM pr),
         nd AS (SELECT user_id, day, sum(is_completed) AS need FROM nx GROUP BY 1, 2), {_offers("nd", "of2")},
         dn AS (SELECT o.* FROM of2 o LEFT JOIN (SELECT * FROM nx WHERE is_completed = 0) c USING (user_id, day, type) WHERE c.user_id IS NULL
                QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY h, type) <= (SELECT need FROM nd WHERE nd.user_id = o.user_id AND nd.day = o.day))
@@ -203,7 +218,7 @@ def _(t):
 
 @query(
     "xp_levels",
-    f"""WITH {PROGRESS}, x AS (SELECT user_id, least(5 * sum(is_completed), 800)::BIGINT AS xp FROM pr GROUP BY 1)
+    f"""WITH RECURSIVE {PROGRESS}, x AS (SELECT user_id, least(5 * sum(is_completed), 800)::BIGINT AS xp FROM pr GROUP BY 1)
         SELECT user_id, xp, 1 + (xp >= 50)::INT + (xp >= 100)::INT + (xp >= 200)::INT + (xp >= 400)::INT + (xp >= 800)::INT AS lv,
         xp - CASE WHEN xp >= 800 THEN 800 WHEN xp >= 400 THEN 400 WHEN xp >= 200 THEN 200 WHEN xp >= 100 THEN 100 WHEN xp >= 50 THEN 50 ELSE 0 END AS xp_in_level,
         CASE WHEN xp < 50 THEN 50 WHEN xp < 100 THEN 50 WHEN xp < 200 THEN 100 WHEN xp < 400 THEN 200 WHEN xp < 800 THEN 400 END AS xp_for_level FROM x""",

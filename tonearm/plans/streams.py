@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators import challenges
 from ..session import run_dir
 from ..sources.fixtures import Tables
 from ..streaming import jobs
-from .activity import COUNTS
+from .activity import CHAIN_SQL, COUNTS, challenge_counts, challenge_days
 from .registry import SQL, query
 
 
@@ -60,6 +61,15 @@ def _(t):
     return jobs.challenge_view(counts, firsts, adds, jobs.like_counts(likes))
 
 
+@query("stream_challenge_progress", CHAIN_SQL)
+def _(t):
+    """The days are written once they are closed and read as a stream of files."""
+    closed = run_dir(t.spark, "closed-days")
+    challenges.day_rows(challenge_days(t), challenge_counts(t)).write.parquet(closed)
+    days = t.spark.readStream.schema(t.spark.read.parquet(closed).schema).parquet(closed)
+    return jobs.written(t.spark, _run(t, "chain", jobs.challenge_chain(days))).drop("batch_id")
+
+
 @query(
     "stream_now_playing",
     """WITH l AS (SELECT user_id AS friend_id, item_id, played_at FROM vis QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY played_at DESC, id DESC) = 1)

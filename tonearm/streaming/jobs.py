@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import affinity, challenges, cleaning, history, ids
 from ..schemas import EVENTS
@@ -266,6 +268,43 @@ def challenge_view(counts: DataFrame, firsts: DataFrame, adds: DataFrame, likes:
     )
 
 
+def challenge_chain(days: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """Challenges day by day from a stream of closed days, as ``challenges.day_rows`` makes them. Update mode.
+
+    The state of a user is the last day and what stayed open on it.  Days of a
+    user come in order; one that is not after the last is a repetition and
+    changes nothing.  The state ends ``keep_days`` days after the last one by the
+    watermark, when nothing can be carried over any more.
+    """
+    def fold(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, types, targets = state.get if state.exists else (None, [], [])
+        open_, out = list(zip(types, targets)), []
+        rows = sorted((r for b in batches for r in zip(b["number"], b["types"], b["targets"], b["ns"])), key=lambda r: r[0])
+        for number, offered, asked, ns in rows:
+            if last is not None and number <= last:
+                continue
+            made = challenges.step(int(number), list(zip(offered, asked)), list(ns), last, open_)
+            last, open_ = int(number), [(int(r[0]), int(r[1])) for r in made if not r[4]]
+            out += [(key[0], last, *r) for r in made]
+        state.update((last, [t for t, _ in open_], [n for _, n in open_]))
+        state.setTimeoutTimestamp(max((last + 2) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        names = ["user_id", "day", "type", "target", "carried", "current_count", "is_completed"]
+        yield pd.DataFrame(out, columns=names).astype({c: "int64" if c == "user_id" else "int32" for c in names})
+
+    rows = days.withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", lateness).select(
+        F.col("user_id").cast("bigint").alias("user_id"), "at", F.unix_date("day").alias("number"),
+        F.transform("offers", lambda o: o["type"]).alias("types"), F.transform("offers", lambda o: o["target"]).alias("targets"), "ns",
+    )
+    schema = challenges.CHAIN.replace("day date", "day int")
+    made = rows.groupBy("user_id").applyInPandasWithState(
+        fold, schema, "last int, types array<int>, targets array<int>", "update", GroupStateTimeout.EventTimeTimeout
+    )
+    return made.withColumn("day", F.date_from_unix_date("day"))
+
+
 # --- now playing -----------------------------------------------------------------------
 
 
