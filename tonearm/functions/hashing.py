@@ -7,6 +7,8 @@ the number of executors, or on a retried task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -22,3 +24,42 @@ def uniform_int(*parts: Column | str | int) -> Column:
 
 def in_fraction(fraction: float, *parts: Column | str | int) -> Column:
     return uniform_int(*parts) < F.lit(int(fraction * 2**32))
+
+
+class Permutation:
+    """Keyed permutations of the whole numbers below ``size``, which is ``n`` or a little more.
+
+    A number is a place in a grid of ``a`` rows and ``b`` columns.  Row and
+    column are shifted in turn by a universal hash of the other one, so every
+    step, and the whole, is one-to-one: no list, sort or memory is needed to
+    draw without repetition.  Draws of ``n`` or more are to be skipped.
+    """
+
+    PRIME = 2**31 - 1
+    STEPS = 4
+
+    def __init__(self, n: int):
+        self.n, low = max(1, n), max(1, math.isqrt(max(1, n)))
+        self.size, self.a = min((a * -(-self.n // a), a) for a in range(low, low + 64))
+        self.b = self.size // self.a
+
+    def keys(self, *parts: Column | str | int) -> Column:
+        """The key of a permutation: array<struct<c, k>>, a factor and a shift per step."""
+        def step(i: int) -> Column:
+            h = order_key(*parts, f"p{i}")
+            c, k = (F.conv(F.substring(h, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+            return F.struct((c % (self.PRIME - 1) + 1).alias("c"), (k % self.PRIME).alias("k"))
+
+        return F.array(*[step(i) for i in range(self.STEPS)])
+
+    def at(self, x: Column, keys: Column) -> Column:
+        """Where the permutation takes ``x``."""
+        row, column = F.floor(x / F.lit(self.b)).cast("bigint"), x % self.b
+        for i in range(self.STEPS):
+            key = F.get(keys, F.lit(i))
+            shift = lambda v: (v * key["c"] + key["k"]) % self.PRIME  # noqa: B023, E731
+            if i % 2:
+                column = (column + shift(row)) % self.b
+            else:
+                row = (row + shift(column)) % self.a
+        return row * self.b + column

@@ -7,8 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import hashing, numeric, vectors
-from .ids import dense_ids
+from ..functions import numeric
+from .negatives import candidate_ranks, sampled_negatives
 
 KS = (10, 20)
 
@@ -293,36 +293,10 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 def sampled_negative_metrics(
     test: DataFrame, truth: DataFrame, item_vectors: DataFrame, user_vectors: DataFrame, n_negatives: int, seed: int, ks: Sequence[int] = KS
 ) -> DataFrame:
-    """Rank of one positive among ``n_negatives`` drawn items per user.
-
-    Each user draws from one list of catalogue items in hash order, starting
-    at the user's own offset, so no user-by-catalogue table is needed; drawn
-    items that are among the user's positives are dropped.
-    """
-    hashed = item_vectors.withColumn("h", F.concat_ws("-", hashing.order_key(F.col("item_id"), seed), F.col("item_id").cast("string")))
-    slots = hashed.join(dense_ids(hashed, "h", "slot"), "h")
-    n_items = item_vectors.count()
-    start = F.pmod(hashing.uniform_int(F.col("user_id"), seed), F.lit(n_items))
-    width = min(n_negatives, n_items)
-    drawn = (
-        test.select("user_id", start.alias("start"))
-        .select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.pmod(F.col("start") + i, F.lit(n_items)))).alias("slot"))
-        .withColumn("slot", F.col("slot").cast("int"))
-    )
-    users = user_vectors.select("user_id", F.col("embedding").alias("u"))
-    score = F.round(vectors.dot(F.col("u"), F.col("embedding")), 6)
-    negatives = (
-        drawn.join(slots, "slot")
-        .join(truth.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-        .join(users, "user_id")
-        .select("user_id", score.alias("score"))
-    )
-    positive = test.join(item_vectors, "item_id").join(users, "user_id").select("user_id", score.alias("pos_score"))
-    ranks = (
-        positive.join(negatives, "user_id", "left")
-        .groupBy("user_id", "pos_score")
-        .agg((F.count_if(F.col("score") > F.col("pos_score")) + 1).alias("rank"))
-    )
+    """One positive per user (``test``) ranked among ``n_negatives`` items that are none of the user's."""
+    scored = test.select("user_id", "item_id").join(item_vectors.select("item_id"), "item_id", "left_semi").join(user_vectors.select("user_id"), "user_id", "left_semi")
+    negatives, slots = sampled_negatives(scored, truth, item_vectors.select("item_id"), n_negatives, seed)
+    ranks = candidate_ranks(negatives, slots, scored, item_vectors, user_vectors)
     sums = [F.count(F.lit(1)).alias("users_evaluated")]
     for k in ks:
         inside = F.col("rank") <= k

@@ -133,17 +133,41 @@ def _(t):
     return metrics.loo_metrics(test, recs, t.item_vectors, model="Embedding")
 
 
-NEGATIVES = 99
+NEGATIVES = 999
+
+
+def _permuted(x: str) -> str:
+    """SQL of a permutation's value: the same four steps on the grid ``a`` x ``b``."""
+    row, column = f"({x} // b)", f"({x} % b)"
+    for i in range(4):
+        shift = f"(({row if i % 2 else column}) * c{i} + k{i}) % 2147483647"
+        if i % 2:
+            column = f"({column} + {shift}) % b"
+        else:
+            row = f"({row} + {shift}) % a"
+    return f"{row} * b + {column}"
+
+
+_KEYS = ", ".join(
+    f"('0x' || substr(md5(user_id || '-42-p{i}'), 1, 8))::BIGINT % 2147483646 + 1 AS c{i}, ('0x' || substr(md5(user_id || '-42-p{i}'), 9, 8))::BIGINT % 2147483647 AS k{i}"
+    for i in range(4)
+)
 
 
 @query(
     "sampled_negative_metrics",
     f"""WITH tvv AS (SELECT user_id, dim, avg(x) AS v FROM (SELECT user_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM loo_train JOIN items_v USING (item_id)) GROUP BY 1, 2),
         uv AS (SELECT user_id, list(v ORDER BY dim) AS u FROM tvv GROUP BY 1),
-        sl AS (SELECT item_id, embedding, row_number() OVER (ORDER BY md5(item_id || '-42') || '-' || item_id) - 1 AS slot, count(*) OVER () AS m FROM items_v),
+        sl AS (SELECT item_id, embedding, row_number() OVER (ORDER BY item_id) - 1 AS slot FROM items_v),
+        nn AS (SELECT count(*) AS n FROM sl),
+        gr AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, greatest(1, floor(sqrt(n))::BIGINT) + unnest(range(64)) AS a FROM nn) ORDER BY a * ((n + a - 1) // a), a LIMIT 1),
         ps AS (SELECT user_id, round(list_dot_product(u, embedding), 6) AS p FROM loo_test JOIN items_v USING (item_id) JOIN uv USING (user_id)),
-        dr AS (SELECT user_id, (('0x' || substr(md5(user_id || '-42'), 1, 8))::BIGINT + i) % (SELECT count(*) FROM items_v) AS slot FROM loo_test SEMI JOIN items_v USING (item_id), (SELECT unnest(range({NEGATIVES})) AS i)),
-        ng AS (SELECT user_id, round(list_dot_product(u, embedding), 6) AS s FROM dr JOIN sl USING (slot) JOIN uv USING (user_id) ANTI JOIN pos USING (user_id, item_id)),
+        hs AS (SELECT user_id, slot FROM pos JOIN sl USING (item_id)),
+        hn AS (SELECT user_id, count(*) AS held FROM hs GROUP BY 1),
+        ky AS (SELECT user_id, a, b, n, least(a * b, {NEGATIVES} + a * b - n + coalesce(held, 0)) AS draws, {_KEYS} FROM ps LEFT JOIN hn USING (user_id), gr),
+        dr AS (SELECT user_id, x, {_permuted("x")} AS slot, n FROM (SELECT *, unnest(range(draws)) AS x FROM ky)),
+        fr AS (SELECT user_id, slot FROM dr ANTI JOIN hs USING (user_id, slot) WHERE slot < n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY x) <= {NEGATIVES}),
+        ng AS (SELECT user_id, round(list_dot_product(u, embedding), 6) AS s FROM fr JOIN sl USING (slot) JOIN uv USING (user_id)),
         rn AS (SELECT user_id, 1 + count(*) FILTER (WHERE s > p) AS rank FROM ps LEFT JOIN ng USING (user_id) GROUP BY 1, p)
         """ + " UNION ALL ".join(
         f"""SELECT 'sampled_negatives' AS model, {k} AS k, round(count(*) FILTER (WHERE rank <= {k}) / count(*), 5) AS recall, round(count(*) FILTER (WHERE rank <= {k}) / (count(*) * {k}), 5) AS precision,
