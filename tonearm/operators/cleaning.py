@@ -175,12 +175,13 @@ def null_profile(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def load_profile(df: DataFrame, table: str, keys: list[str], signals: list[str]) -> DataFrame:
-    """Row count, distinct keys and share of filled signal columns, as (table, measure, value)."""
+def load_profile(df: DataFrame, table: str, keys: list[str], signals: list[str], values: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table_name, measure, value) from one scan: rows, distinct keys, rows with a filled signal, and rows per named value of a column."""
     measures = (
         [F.count(F.lit(1)).cast("double").alias("rows")]
         + [F.count_distinct(k).cast("double").alias(f"distinct_{k}") for k in keys]
         + [F.count_if(F.col(s).isNotNull()).cast("double").alias(f"filled_{s}") for s in signals]
+        + [F.count_if(F.col(c) == v).cast("double").alias(f"{c}_{v}") for c, named in (values or {}).items() for v in named]
     )
     wide = df.agg(*measures)
     return wide.unpivot([], wide.columns, "measure", "value").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors
@@ -74,6 +76,14 @@ def cold_vectors(
     )
 
 
+def hybrid_vectors(history: DataFrame, tagged: DataFrame, tags: DataFrame, items: DataFrame, dims: int | None = None) -> DataFrame:
+    """(user_id, embedding) of known users: the mean of their items plus the mean of their tags; the former alone without a known tag."""
+    dims = dims or dims_of(items)
+    own = warm_vectors(history, None, items, dims).select("user_id", F.col("embedding").alias("own"))
+    features = tag_vectors(tagged, tags, dims).select("user_id", F.col("embedding").alias("f"))
+    return own.join(features, "user_id", "left").select("user_id", F.coalesce(vectors.add(F.col("own"), F.col("f")), "own").alias("embedding"))
+
+
 def full_item_vectors(items: DataFrame, tagged: DataFrame, tags: DataFrame, dims: int | None = None) -> DataFrame:
     """Item vectors plus the sum of their tags' vectors, biases likewise."""
     dims = dims or dims_of(items)
@@ -114,6 +124,17 @@ def score_topk(
     return found.select(F.col("id").alias("user_id"), F.col("match_id").alias("item_id"), "score", "rank")
 
 
+def score_topk_runs(runs: dict[str, tuple[DataFrame, DataFrame]], items: DataFrame, k: int, beta: float = BIAS_BETA) -> DataFrame:
+    """(run, user_id, item_id, score, rank) for several sets of user vectors, each with its excluded pairs, in one pass over the items."""
+    names = list(runs)
+    key = lambda i: (F.col("user_id").cast("bigint") * len(names) + i).alias("user_id")
+    users = reduce(DataFrame.unionByName, [v.select(key(i), "embedding") for i, (v, _) in enumerate(runs.values())])
+    hidden = reduce(DataFrame.unionByName, [x.select(key(i), "item_id") for i, (_, x) in enumerate(runs.values())])
+    found = score_topk(users, items, k, hidden, beta)
+    run = F.get(F.array(*[F.lit(n) for n in names]), F.pmod("user_id", F.lit(len(names))).cast("int"))
+    return found.withColumn("run", run).withColumn("user_id", F.floor(F.col("user_id") / len(names)).cast("bigint"))
+
+
 def warm_recs(history: DataFrame, affinities: DataFrame, items: DataFrame, exclude: DataFrame, top_n: int = 9) -> DataFrame:
     return score_topk(warm_vectors(history, affinities, items), items, top_n, exclude)
 

@@ -269,6 +269,11 @@ def _(t):
        UNION ALL SELECT user_id, 'song', item_id FROM picks""",
 )
 def _(t):
+    return onboarding(t)
+
+
+def onboarding(t: Tables):
+    """Artists and songs that users picked when they joined."""
     from .recommend import picks
 
     chosen = picks(t)

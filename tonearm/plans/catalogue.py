@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import buckets, vectors
 from ..operators import cleaning, features, ids, itemknn
@@ -92,29 +94,69 @@ def _(t):
     return cleaning.missing_indicators(cleaning.join_extras(t.songs_raw, t.song_extra)).select("song_id", *cleaning.INDICATORS)
 
 
+_SONG_COLUMNS = ("song_id", "song_length", "genre_ids", "artist_name", "composer", "lyricist", "language")
+PROFILED = {
+    "song_extra": ("extra", ("song_id", "name", "isrc")),
+    "songs": ("songs_raw", _SONG_COLUMNS),
+    "song_merge": ("song_joined", (*_SONG_COLUMNS, "name", "isrc", "song_id_new")),
+}
+
+
 @query(
     "null_profile",
     " UNION ALL ".join(
-        f"SELECT 'songs' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM songs_raw"
-        for c in ("song_id", "song_length", "genre_ids", "artist_name", "composer", "lyricist", "language")
+        f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM {source}"
+        for name, (source, columns) in PROFILED.items()
+        for c in columns
     ),
 )
 def _(t):
-    return cleaning.null_profile(t.songs_raw, "songs")
+    """The three tables of the catalogue, the last one before its gaps are filled."""
+    given = {"song_extra": t.song_extra, "songs": t.songs_raw, "song_merge": cleaning.join_extras(t.songs_raw, t.song_extra)}
+    return reduce(DataFrame.unionByName, [cleaning.null_profile(given[name].select(*columns), name) for name, (_, columns) in PROFILED.items()])
+
+
+def _measures(table: str, source: str, columns: dict[str, str]) -> str:
+    names, values = ", ".join(f"'{c}'" for c in columns), ", ".join(columns.values())
+    return f"SELECT '{table}' AS table_name, unnest([{names}]) AS measure, unnest([{values}])::DOUBLE AS value FROM {source}"
+
+
+_ORIGIN = "(SELECT *, CASE WHEN starts_with(google_id, 'dev_') THEN 'seeded' ELSE 'real' END AS source_tag FROM users_t)"
+_SIGNALS = "hist LEFT JOIN likes USING (user_id, item_id) LEFT JOIN affinity USING (user_id, item_id)"
 
 
 @query(
     "load_profile",
-    """SELECT 'interactions' AS table_name, measure, value FROM (
-         SELECT unnest(['rows', 'distinct_user_id', 'distinct_item_id', 'filled_is_liked', 'filled_affinity_score']) AS measure,
-                unnest([count(*), count(DISTINCT user_id), count(DISTINCT item_id), count(is_liked), count(score)]) ::DOUBLE AS value
-         FROM hist LEFT JOIN likes USING (user_id, item_id) LEFT JOIN affinity USING (user_id, item_id))""",
-)
-def _(t):
-    from .activity import plays_with_signals
-
-    return cleaning.load_profile(
-        plays_with_signals(t), "interactions", ["user_id", "item_id"], ["is_liked", "affinity_score"]
+    " UNION ALL ".join(
+        [
+            _measures("users", _ORIGIN, {
+                "rows": "count(*)", "distinct_user_id": "count(DISTINCT user_id)", "filled_preferred_languages": "count(preferred_languages)",
+                "source_tag_real": "count(*) FILTER (WHERE source_tag = 'real')", "source_tag_seeded": "count(*) FILTER (WHERE source_tag = 'seeded')",
+            }),
+            _measures("songs", "catalogue", {"rows": "count(*)", "distinct_item_id": "count(DISTINCT item_id)", "distinct_artist_id": "count(DISTINCT artist_id)", "filled_artist_name": "count(artist_name)"}),
+            _measures("interactions", _SIGNALS, {
+                "rows": "count(*)", "distinct_user_id": "count(DISTINCT user_id)", "distinct_item_id": "count(DISTINCT item_id)",
+                "filled_is_liked": "count(is_liked)", "filled_affinity_score": "count(score)",
+            }),
+            _measures("onboarding", "(SELECT DISTINCT user_id, 'artist' AS kind, artist_id AS entity_id FROM picks JOIN catalogue USING (item_id) UNION ALL SELECT user_id, 'song', item_id FROM picks)", {
+                "rows": "count(*)", "distinct_user_id": "count(DISTINCT user_id)", "kind_artist": "count(*) FILTER (WHERE kind = 'artist')", "kind_song": "count(*) FILTER (WHERE kind = 'song')",
+            }),
+        ]
+    ),
+)
+def _(t):
+    """All four tables that a run loads, users also by origin."""
+    from .activity import onboarding, plays_with_signals
+
+    profile = cleaning.load_profile
+    return reduce(
+        DataFrame.unionByName,
+        [
+            profile(cleaning.with_origin(t.users), "users", ["user_id"], ["preferred_languages"], {"source_tag": ["real", "seeded"]}),
+            profile(t.catalogue, "songs", ["item_id", "artist_id"], ["artist_name"]),
+            profile(plays_with_signals(t), "interactions", ["user_id", "item_id"], ["is_liked", "affinity_score"]),
+            profile(onboarding(t), "onboarding", ["user_id"], [], {"kind": ["artist", "song"]}),
+        ],
     )
 
 

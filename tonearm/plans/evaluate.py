@@ -9,7 +9,7 @@ from ..schemas import METRICS
 from ..session import materialize, run_dir
 from ..sources import tables
 from ..sources.fixtures import Tables
-from .catalogue import AS_OF
+from .catalogue import AS_OF, PROFILE_TAGS
 from .ctes import knn, knn_recs
 from .recommend import DIMS, pairs, tag_table, tags_sql, _sql, _topk_sql
 from .registry import query
@@ -275,12 +275,12 @@ def _(t):
     return cold_popularity(t)
 
 
-@query(
-    "coldstart_cold_metrics",
-    f"""WITH {_sql(HELD_SQL)}, {tags_sql("(SELECT * FROM tg ANTI JOIN hu USING (user_id))")}, hv AS (SELECT user_id, dim, f AS v FROM fv SEMI JOIN hu USING (user_id)),
-        {_topk_sql("hv", 20, "SELECT 0 AS user_id, 0 AS item_id WHERE FALSE")} {_multi_sql("rk", "hte", "rk", "Hybrid", "split=C")}""",
-)
-def _(t):
+COLD_SQL = f"""WITH {_sql(HELD_SQL)}, {tags_sql("(SELECT * FROM tg ANTI JOIN hu USING (user_id))")}, hv AS (SELECT user_id, dim, f AS v FROM fv SEMI JOIN hu USING (user_id)),
+    {_topk_sql("hv", 20, "SELECT 0 AS user_id, 0 AS item_id WHERE FALSE")} {_multi_sql("rk", "hte", "rk", "Hybrid", "split=C")}"""
+
+
+def cold_hybrid(t: Tables):
+    """The hybrid model on users it has never seen: their tags alone, with tag vectors of the known users."""
     train, test = held_out(t)
     everyone = features.profile_tags(t.users, AS_OF)
     tagged = everyone.join(test.select("user_id").distinct(), "user_id", "left_semi")
@@ -290,6 +290,62 @@ def _(t):
     return metrics.multi_truth_metrics(recs, test, model="Hybrid", notes="split=C")
 
 
+@query("coldstart_cold_metrics", COLD_SQL)
+def _(t):
+    return cold_hybrid(t)
+
+
+FACTOR_SPLITS = (1, 3, 5)
+
+
+def cold_factors(t: Tables):
+    """Hybrid and pure collaborative vectors of known users on the three seed splits, both from the seeds alone."""
+    tagged = features.profile_tags(t.users, AS_OF)
+    runs, truths = {}, {}
+    for n in FACTOR_SPLITS:
+        train, test = seed_split(t, n)
+        seeds = materialize(train.filter("target = 1").select("user_id", "item_id"), "seeds")
+        truths[n] = materialize(test, "seed-test")
+        runs[f"PureCF-{n}"] = (embeddings.warm_vectors(seeds, None, t.item_vectors, DIMS), seeds)
+        runs[f"Hybrid-{n}"] = (embeddings.hybrid_vectors(seeds, tagged, tag_table(t, tagged, seeds), t.item_vectors, DIMS), seeds)
+    recs = materialize(embeddings.score_topk_runs(runs, t.item_vectors, 20), "factor-recs")
+    return metrics.combine(
+        *[
+            metrics.multi_truth_metrics(recs.filter(F.col("run") == f"{model}-{n}").drop("run"), truths[n], model=model, notes=f"split=A_N{n}")
+            for n in FACTOR_SPLITS
+            for model in ("Hybrid", "PureCF")
+        ]
+    )
+
+
+def _factor_sql(n: int) -> tuple[dict[str, str], str]:
+    unfolded = "unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim"
+    p = f"f{n}_"
+    parts = seed_sql(n) | {
+        "ptg": f"SELECT user_id, unnest(string_split(tags, ',')) AS tag FROM ({PROFILE_TAGS})",
+        f"{p}w": f"SELECT user_id, dim, avg(x) AS v FROM (SELECT user_id, {unfolded} FROM sd{n} JOIN items_v USING (item_id)) GROUP BY 1, 2",
+        f"{p}t": f"SELECT tag, dim, avg(x) AS v FROM (SELECT tag, {unfolded} FROM ptg JOIN sd{n} USING (user_id) JOIN items_v USING (item_id)) WHERE tag <> 'gender_unknown' GROUP BY 1, 2",
+        f"{p}f": f"SELECT user_id, dim, avg(v) AS v FROM ptg JOIN {p}t USING (tag) GROUP BY 1, 2",
+        f"{p}PureCF": f"SELECT user_id, list(v ORDER BY dim) AS u FROM {p}w GROUP BY 1",
+        f"{p}Hybrid": f"SELECT w.user_id, list(w.v + coalesce(f.v, 0) ORDER BY w.dim) AS u FROM {p}w w LEFT JOIN {p}f f ON f.user_id = w.user_id AND f.dim = w.dim GROUP BY 1",
+    }
+    bodies = []
+    for model in ("Hybrid", "PureCF"):
+        parts[f"{p}r{model}"] = f"""SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM
+            (SELECT m.user_id, i.item_id, round(list_dot_product(u, embedding) + 0.3::DOUBLE * bias, 6) AS score FROM {p}{model} m, items_v i
+             LEFT JOIN sd{n} x ON x.user_id = m.user_id AND x.item_id = i.item_id WHERE x.user_id IS NULL) QUALIFY rank <= 20"""
+        bodies.append(_multi_sql(f"{p}r{model}", f"te{n}", f"{p}r{model}", model, f"split=A_N{n}"))
+    return parts, " UNION ALL ".join(bodies)
+
+
+_factor_tables, _factor_body = _union_sql([_factor_sql(n) for n in FACTOR_SPLITS])
+
+
+@query("coldstart_factor_metrics", f"WITH {_sql(_factor_tables)} {_factor_body}")
+def _(t):
+    return cold_factors(t)
+
+
 # --- grid -----------------------------------------------------------------------------
 
 
@@ -398,22 +454,28 @@ def _(t):
 # --- metric log -----------------------------------------------------------------------
 
 
+MODELS = ("Hybrid", "ItemKNN", "Popularity", "PureCF")
+
+
 def metric_log(t: Tables):
-    """The cold-start runs as a log; ItemKNN was run twice."""
+    """The cold-start runs of all four models as a log; ItemKNN was run twice."""
     runs = [
         cold_popularity(t).withColumn("date", F.lit("2025-01-01")),
-        metrics.combine(*[cold_itemknn(t, n, 20) for n in (3, 5)]).withColumn("date", F.lit("2025-01-02")),
-        metrics.combine(*[cold_itemknn(t, n, 10) for n in (3, 5)]).withColumn("date", F.lit("2025-01-03")),
+        metrics.combine(*[cold_itemknn(t, n, 20) for n in (1, 3, 5)]).withColumn("date", F.lit("2025-01-02")),
+        metrics.combine(*[cold_itemknn(t, n, 10) for n in (1, 3, 5)]).withColumn("date", F.lit("2025-01-03")),
+        metrics.combine(cold_factors(t), cold_hybrid(t)).withColumn("date", F.lit("2025-01-04")),
     ]
     return metrics.with_split(metrics.combine(*runs))
 
 
 _log_parts = []
-for _date, _runs in (("2025-01-02", ((3, 20), (5, 20))), ("2025-01-03", ((3, 10), (5, 10)))):
+for _date, _runs in (("2025-01-02", ((1, 20), (3, 20), (5, 20))), ("2025-01-03", ((1, 10), (3, 10), (5, 10)))):
     for _n, _k in _runs:
         _tables, _body = _cold_knn_sql(_n, _k)
         _log_parts.append((_tables, f"SELECT *, '{_date}' AS date FROM ({_body})"))
 _log_parts.append((_pop_tables, f"SELECT *, '2025-01-01' AS date FROM ({_pop_body})"))
+_log_parts.append((_factor_tables, f"SELECT *, '2025-01-04' AS date FROM ({_factor_body})"))
+_log_parts.append(({}, f"SELECT *, '2025-01-04' AS date FROM ({COLD_SQL})"))
 _log_tables, _log_body = _union_sql(_log_parts)
 LATEST = f"""{_sql(_log_tables)}, lg AS (SELECT *, regexp_extract(notes, 'split=([A-Za-z0-9_]+)', 1) AS split FROM ({_log_body})),
 lt AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY model, k, split ORDER BY date DESC) = 1)"""
@@ -437,24 +499,24 @@ def _(t):
 
 @query(
     "metrics_pivot",
-    f"""WITH {LATEST} SELECT split, max(ndcg) FILTER (WHERE model = 'ItemKNN') AS itemknn, max(ndcg) FILTER (WHERE model = 'Popularity') AS popularity FROM lt WHERE k = 20 GROUP BY 1""",
+    f"""WITH {LATEST} SELECT split, {", ".join(f"max(ndcg) FILTER (WHERE model = '{m}') AS {m.lower()}" for m in MODELS)} FROM lt WHERE k = 20 GROUP BY 1""",
 )
 def _(t):
-    wide = latest_metrics(t).filter("k = 20").groupBy("split").pivot("model", ["ItemKNN", "Popularity"]).agg(F.first("ndcg"))
-    return wide.select("split", F.col("ItemKNN").alias("itemknn"), F.col("Popularity").alias("popularity"))
+    wide = latest_metrics(t).filter("k = 20").groupBy("split").pivot("model", list(MODELS)).agg(F.first("ndcg"))
+    return wide.select("split", *[F.col(m).alias(m.lower()) for m in MODELS])
 
 
 @query(
     "ablation_gap",
-    f"""WITH {LATEST} SELECT a.split, round(a.ndcg - b.ndcg, 5) AS ndcg_gap, round(a.recall - b.recall, 5) AS recall_gap FROM lt a JOIN lt b USING (split, k)
-        WHERE a.model = 'Popularity' AND b.model = 'ItemKNN' AND k = 20""",
+    f"""WITH {LATEST} SELECT a.split, a.k, round(a.ndcg - b.ndcg, 5) AS ndcg_gap, round(a.recall - b.recall, 5) AS recall_gap FROM lt a JOIN lt b USING (split, k)
+        WHERE a.model = 'Hybrid' AND b.model = 'PureCF'""",
 )
 def _(t):
-    rows = latest_metrics(t).filter("k = 20")
-    value = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c)))
-    gap = lambda c: F.round(value(c, "Popularity") - value(c, "ItemKNN"), 5).alias(f"{c}_gap")
-    out = rows.groupBy("split").agg(gap("ndcg"), gap("recall"))
-    return out.filter("ndcg_gap is not null")
+    """What the features add: hybrid minus pure collaborative, on the splits that both can serve."""
+    rows = latest_metrics(t)
+    part = lambda m: rows.filter(F.col("model") == m).select("split", "k", F.col("ndcg").alias(f"ndcg_{m}"), F.col("recall").alias(f"recall_{m}"))
+    gap = lambda c: F.round(F.col(f"{c}_Hybrid") - F.col(f"{c}_PureCF"), 5).alias(f"{c}_gap")
+    return part("Hybrid").join(part("PureCF"), ["split", "k"]).select("split", "k", gap("ndcg"), gap("recall"))
 
 
 @query(

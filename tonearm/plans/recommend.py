@@ -180,10 +180,14 @@ def _(t):
     return embeddings.score_topk(users, t.item_vectors, 10, pos)
 
 
-def tag_table(t: Tables, tagged=None):
-    """Tag vectors of the comparison data: mean item vector of each listener tag's onboarding songs; ``tagged`` names the listeners."""
+def tag_table(t: Tables, tagged=None, heard=None):
+    """Tag vectors of the comparison data: mean vector of the songs that each tag's listeners ``heard``.
+
+    ``tagged`` names the listeners, by default all; the songs are those of onboarding unless others are given.
+    """
     tagged = features.profile_tags(t.users, AS_OF) if tagged is None else tagged
-    rows = tagged.join(picks(t), "user_id").join(t.item_vectors, "item_id")
+    heard = picks(t) if heard is None else heard.select("user_id", "item_id")
+    rows = tagged.join(heard, "user_id").join(t.item_vectors, "item_id")
     inv = F.lit(1.0) / F.col("n")
     return (
         rows.select(F.explode("tags").alias("tag"), "embedding", "bias")
