@@ -185,3 +185,20 @@ def test_normalize_seed_keeps_the_order(spark):
     seeds = {r["user_id"]: r["count"] for r in pos.groupBy("user_id").count().collect()}
     base, norm = order("baseline"), order("normalize_seed")
     assert {u: s / seeds[u] for u, s in base.items()} == pytest.approx(norm, abs=1e-6)
+
+
+@pytest.mark.parametrize("n_left,left_rows", [(12, 1), (40, 2), (7, 100)])
+def test_empty_blocks_meet_nothing(spark, n_left, left_rows):
+    """Blocks of one or two rows: hashing leaves several of them empty."""
+    rng = np.random.default_rng(n_left)
+    a, b = rng.normal(size=(n_left, 4)), rng.normal(size=(30, 4))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id bigint, vec array<double>")
+    right = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(b)], "id bigint, vec array<double>, weight double")
+    hidden = {(i, j) for i in range(n_left) for j in range(30) if (i * 7 + j) % 4 == 0}
+    skip = spark.createDataFrame(sorted(hidden), "id bigint, match_id bigint")
+    got = defaultdict(list)
+    for r in topk_products(left, right, 3, skip=skip, left_rows=left_rows, right_rows=4).orderBy("id", "rank").collect():
+        got[r["id"]].append(r["match_id"])
+    product = a @ b.T
+    want = {i: sorted((j for j in range(30) if (i, j) not in hidden), key=lambda j: -product[i, j])[:3] for i in range(n_left)}
+    assert dict(got) == want

@@ -79,10 +79,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def _kernel(k: int, score: Score, chunk: int = 1024):
-    """Consumes rows in the order: left block, then per right block its skip pairs (if any) and the block."""
+    """Consumes rows in the order: left block, then per right block its skip pairs (if any) and the block.
+
+    A left block's number and group come with every row: hashing may leave a
+    block empty, and its right blocks must not meet the block before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_ids = left = state = skip = None
+        left_ids = left = state = skip = held = None
 
         def best_so_far():
             scores, ids = state
@@ -92,14 +96,15 @@ def _kernel(k: int, score: Score, chunk: int = 1024):
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "match_id", "score"])
 
         for batch in batches:
-            kinds, blocks, skips = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "block", "skip"))
-            for i in range(batch.num_rows):
+            kinds, blocks, skips, lefts, groups = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "block", "skip", "lblk", "grp"))
+            for i, cell in enumerate(zip(lefts.to_pylist(), groups.to_pylist())):
                 kind = kinds[i].as_py()
-                if kind == LEFT:
+                if cell != held:
                     if state is not None:
                         yield best_so_far()
+                    held, left_ids, left, state, skip = cell, None, None, None, None
+                if kind == LEFT:
                     _, left_ids, left = _matrix(blocks[i].values)
-                    state = skip = None
                     continue
                 if kind == SKIP:
                     skip = skips[i].values
@@ -175,6 +180,6 @@ def topk_products(
     # A fixed count: the cost is in the products, which adaptive coalescing by bytes cannot see.
     tasks = min(n_left * groups, MAX_TASKS)
     placed = rows.repartition(tasks, "lblk", "grp").sortWithinPartitions("lblk", "grp", "rblk", "kind")
-    found = placed.select("kind", "block", "skip").mapInArrow(_kernel(k, score), "id bigint, match_id bigint, score double")
+    found = placed.select("kind", "block", "skip", "lblk", "grp").mapInArrow(_kernel(k, score), "id bigint, match_id bigint, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), "match_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import embeddings, features, itemknn, metrics, splits
 from ..schemas import METRICS
-from ..session import materialize, run_dir
+from ..session import materialize, once, run_dir
 from ..sources import tables
 from ..sources.fixtures import Tables
 from .catalogue import AS_OF, PROFILE_TAGS
@@ -355,6 +355,11 @@ def grid(t: Tables):
     return metrics.knn_grid(test, train, neighbors, itemknn.item_popularity(train))
 
 
+def shared_grid(t: Tables):
+    """The full grid, computed once for all reports of a run."""
+    return once(t.spark, ("grid", t.sf_dir), lambda: grid(t))
+
+
 def grid_sql(item_ks, thresholds, modes) -> dict[str, str]:
     cells = [(k, t) for k in item_ks for t in thresholds]
     value = {
@@ -404,7 +409,19 @@ def _(t):
 )
 def _(t):
     order = [F.desc("recall_10"), F.desc("ndcg_10"), F.col("item_k"), F.col("sim_threshold")]
-    return metrics.best_per(grid(t), "agg", order).select("agg", "item_k", "sim_threshold", "recall_10", "ndcg_10")
+    return metrics.best_per(shared_grid(t), "agg", order).select("agg", "item_k", "sim_threshold", "recall_10", "ndcg_10")
+
+
+@query(
+    "grid_ranked",
+    f"""WITH {_sql(FULL_GRID)} SELECT row_number() OVER (ORDER BY recall_10 DESC, ndcg_10 DESC, agg, item_k, sim_threshold) AS place, agg, item_k, sim_threshold,
+        recall_10, precision_10, ndcg_10, recall_20, precision_20, ndcg_20 FROM gm""",
+)
+def _(t):
+    """All configurations, best first; there are as many rows as the grid has cells."""
+    order = [F.desc("recall_10"), F.desc("ndcg_10"), F.col("agg"), F.col("item_k"), F.col("sim_threshold")]
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+    return shared_grid(t).withColumn("place", place).drop("users")
 
 
 @query(
@@ -412,7 +429,7 @@ def _(t):
     f"""WITH {_sql(FULL_GRID)} SELECT sim_threshold, {", ".join(f"round(avg(recall_10) FILTER (WHERE item_k = {k}), 5) AS k_{k}" for k in metrics.GRID_K)} FROM gm GROUP BY 1""",
 )
 def _(t):
-    out = metrics.grid_matrix(grid(t), metrics.GRID_K)
+    out = metrics.grid_matrix(shared_grid(t), metrics.GRID_K)
     return out.select("sim_threshold", *[F.col(str(k)).alias(f"k_{k}") for k in metrics.GRID_K])
 
 
@@ -421,7 +438,7 @@ BEST = "best AS (SELECT * FROM gm ORDER BY ndcg_20 DESC, recall_20 DESC, agg, it
 
 def best_config(t: Tables):
     order = [F.desc("ndcg_20"), F.desc("recall_20"), "agg", "item_k", "sim_threshold"]
-    return grid(t).orderBy(*order).limit(1)
+    return shared_grid(t).orderBy(*order).limit(1)
 
 
 MELT = " UNION ALL ".join(f"SELECT agg, {k} AS k, recall_{k} AS recall, precision_{k} AS precision, ndcg_{k} AS ndcg FROM gm" for k in metrics.KS)
@@ -429,7 +446,7 @@ MELT = " UNION ALL ".join(f"SELECT agg, {k} AS k, recall_{k} AS recall, precisio
 
 @query("metrics_melt", f"WITH {_sql(FULL_GRID)}, m AS ({MELT}) SELECT agg, k, recall, precision, ndcg FROM m")
 def _(t):
-    return metrics.melt(grid(t), ["agg"])
+    return metrics.melt(shared_grid(t), ["agg"])
 
 
 @query(
@@ -482,7 +499,8 @@ lt AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY model, k, split
 
 
 def latest_metrics(t: Tables):
-    return metrics.latest(metric_log(t), ["model", "k", "split"], ["date"])
+    log = once(t.spark, ("metric-log", t.sf_dir), lambda: metric_log(t))
+    return metrics.latest(log, ["model", "k", "split"], ["date"])
 
 
 @query("metrics_latest", f"WITH {LATEST} SELECT model, k, split, recall, precision, ndcg, users_evaluated, notes, date FROM lt")

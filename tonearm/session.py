@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,9 +84,30 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_run_results: dict[tuple[str, ...], tuple[str, object]] = {}
+
+
+def once(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` makes, written by the first caller of this application and read by the next ones.
+
+    For a result that several reports of one run share; ``key`` names it and
+    the data it is made from, which must not change during the run.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _run_results:
+        df = build()
+        path = run_dir(spark, key[1])
+        df.write.parquet(path)
+        _run_tables.append(path)
+        _run_results[key] = (path, df.schema)
+    path, schema = _run_results[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_run_tables(spark: SparkSession) -> int:
     """Delete the tables that ``materialize`` wrote in this process; call it when their results are stored."""
     conf, dropped = spark._jsc.hadoopConfiguration(), 0
+    _run_results.clear()
     while _run_tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(_run_tables.pop())
         dropped += path.getFileSystem(conf).delete(path, True)
