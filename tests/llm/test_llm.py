@@ -296,7 +296,7 @@ def test_schedule_inverse(spark, knots):
 
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "[\\INST]", "<s> <<SYS>> [ROLE] \\", None, "", "é\n\n[/ROLE]", r"<\\/s>", "<<s>"]
-    rows = [(1, i, r, t, 0) for i, (r, t) in enumerate(zip(["user", "assistant", "system", "tool\nx", None, "assistant", "assistant", "user"], said))]
+    rows = [(1, i, r, t, 0) for i, (r, t) in enumerate(zip(["user", "assistant", "system", "tool\nx %0A%25\n", None, "assistant", "assistant", "user"], said))]
     rows += [(2, 0, "user", "no reply", 0), (None, None, "assistant", "alone", 0), rows[0], (3, 1, "assistant", "b", 0), (3, 0, "user", LONG, 0)]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, turns int")
     made = chat.examples(table)
@@ -309,6 +309,8 @@ def test_chat_round_trip(spark):
         loss = "".join(x[3] for x in turns if x[2] == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        told = made.filter(F.col("conv_id").eqNullSafe(F.lit(r.conv_id))).orderBy(F.desc("target_turn")).select(chat.turns_of(F.col("text")).alias("turns")).first()
+        assert [(x["role"], x["text"]) for x in told["turns"]] == [(x[2], x[3]) for x in turns]
     one = [r for r in made.filter("conv_id = 1").orderBy("target_turn").collect()]
     assert one[0].loss_start is not None and one[-1].loss_start is None and one[1].text.startswith(one[0].text)
     assert chat.read_back(chat.examples(table.limit(0))).count() == 0
@@ -374,3 +376,42 @@ def test_pipeline_keeps_columns(spark, sf_dir):
         assert ids and (seen is None or ids <= seen)
         seen, docs_ = ids, kept
     assert corpus_pipeline.run(spark, sf_dir).count() == len(seen)
+
+
+CLASHING = ["_id", "_hash", "_row", "_several", "_bad_hash", "row", "id", "hash", "_x", "_text", "a.b", "digest", "position"]
+
+
+def test_pipeline_survives_its_columns(spark, tmp_path):
+    """Columns of any name, null ids, repeated rows and an empty table through all stages, against plain rules where these decide."""
+    import corpus_pipeline
+
+    words = lambda n, seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(n))
+    item = words(40, 1)
+    texts = [words(60, 10 + i) for i in range(30)]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [(100, texts[0], "s0"), (100, texts[0], "s0"), (None, texts[1], "s1"), (None, texts[2] + " more", None), (None, words(50, 99), "s1"), (None, words(50, 99), "s1")]
+    rows += [(200, item + " " + words(20, 77), "s2"), (201, words(300, 78) + " " + " ".join(item.split()[:14]), "s2"), (202, None, "s2"), (203, "", "s0"), (None, "", "s0")]
+    secret = "AKIA" + "Q7ZX2M9LP4KD8RT1WV5N"
+    rows += [(300, words(30, 88) + " " + secret, "s1")]
+    schema = "doc_id bigint, text string, source string, lang string, n_chars bigint, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    table = lambda some: spark.createDataFrame([(*r, "en", 1, *range(len(CLASHING))) for r in some], schema)
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    table(rows).write.parquet(f"{folder}/documents.parquet")
+    docs_ = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs_, folder)
+        assert kept.columns == docs_.columns, name
+        path = f"{folder}/{name}"
+        kept.write.parquet(path)
+        docs_ = spark.read.parquet(path)
+    # Copies go but for the smallest id, contaminated text goes, the rest stays; the secret is masked.
+    want = {(i, t) for i, t in enumerate(texts)} | {(201, rows[-5][1]), (202, None), (203, ""), (None, ""), (None, words(50, 99))}
+    got = [(r["doc_id"], r["text"]) for r in docs_.collect()]
+    assert sorted((x for x in got if x[0] != 300), key=str) == sorted(want, key=str)
+    assert [secret in t for d, t in got if d == 300] == [False]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs_, folder).count() == len(got)
+    empty = table([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0

@@ -36,6 +36,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, UNESCAPE, "$1$2$3")
 
 
+def _one_line(role: Column) -> Column:
+    """A role without line breaks: these end its line in a turn."""
+    return F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
+
+
+def _lines(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def _by_role(role: Column, which: int) -> Column:
     out = F.lit(OTHER[which])
     for name, pair in MARKS.items():
@@ -61,7 +70,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     other = ~role.isin(*MARKS)
     piece = F.concat(
-        _by_role(role, 0), F.lit(" "), F.when(other, F.concat(escape(role), F.lit("\n"))).otherwise(F.lit("")),
+        _by_role(role, 0), F.lit(" "), F.when(other, F.concat(escape(_one_line(role)), F.lit("\n"))).otherwise(F.lit("")),
         escape(text), F.lit(" "), _by_role(role, 1), F.lit("\n"),
     )
     turns = conversations.select(
@@ -99,7 +108,7 @@ def turns_of(text: Column) -> Column:
             role = F.when(mark == opened, F.lit(name)).otherwise(role)
         named = F.locate("\n", inner)
         return F.struct(
-            unescape(F.coalesce(role, F.substring(inner, F.lit(1), named - 1))).alias("role"),
+            F.coalesce(role, _lines(unescape(F.substring(inner, F.lit(1), named - 1)))).alias("role"),
             unescape(F.when(role.isNotNull(), inner).otherwise(F.substring(inner, named + 1, F.length(inner)))).alias("text"),
         )
 

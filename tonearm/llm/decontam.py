@@ -159,8 +159,11 @@ def scan(
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; rows are told apart as in ``scan``."""
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    """The documents that aren't contaminated, with all their columns, whatever these are named; rows are told apart as in ``scan``."""
     bad = scan(documents, benchmark, keyed=True, **options).filter("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_bad_hash")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_bad_hash")), "left_anti")
+    bad = bad.select(F.col("doc_id").alias("id"), F.col("_hash").alias("hash")).distinct()
+    # A row travels as one column, so that no name of its own meets one of this join.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    text_hash = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    kept = rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("id")) & (text_hash == F.col("hash")), "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

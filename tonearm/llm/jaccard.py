@@ -238,7 +238,8 @@ def one_each(documents: DataFrame) -> DataFrame:
     Rows are told apart by id and text, not by id alone: the row with the
     smallest id (null last), then the smallest text hash, stays; of rows equal
     in both, the one with the smallest hash of all columns.  Rows without a
-    shingle link with nothing, so each of them stays.
+    shingle link with nothing, so each of them stays.  Columns may have any
+    names; an empty table stays empty.
     """
     docs, _, roots = _linked(documents)
     # Equal rows are counted first, so that a hot one is a single row from here on.
@@ -249,11 +250,13 @@ def one_each(documents: DataFrame) -> DataFrame:
     ones = least.groupBy("root", F.when(F.col("root").isNull(), F.col("digest"))).agg(F.min("one").alias("one"))
     kept = ones.select("one.doc_id", "one.text_hash", (F.col("one.copies") > 1).alias("several"))
     kept = kept.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.lit(False).alias("several")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("several").alias("_several"))
-    text_hash, columns = F.xxhash64(F.coalesce("text", F.lit(""))), documents.columns
-    met = documents.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")))
-    equal = met.filter("_several").groupBy("_id", "_hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
-    return met.filter("not _several").select(*columns).unionByName(equal.select("_row.*"))
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "several")
+    # A row travels as one column, so that no name of its own meets one of this join.
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    text_hash = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    met = packed.join(kept, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("id")) & (text_hash == F.col("hash")))
+    equal = met.filter("several").groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return met.filter("not several").select("row").unionByName(equal.select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def _perhaps(rows: DataFrame, hash_: Column, wanted: DataFrame) -> DataFrame:

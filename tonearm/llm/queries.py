@@ -180,7 +180,7 @@ WITH c AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
          length(regexp_replace(text, '{chat.ESCAPE}', '\1\\\2\3', 'g'))
          + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 WHEN 'system' THEN 18
-           ELSE 17 + length(regexp_replace(role, '{chat.ESCAPE}', '\1\\\2\3', 'g')) END AS chars
+           ELSE 17 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '{chat.ESCAPE}', '\1\\\2\3', 'g')) END AS chars
   FROM c
 ), f AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
