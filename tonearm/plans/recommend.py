@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import cleaning, embeddings, features, itemknn, metrics, models, rerank, splits
+from ..operators import cleaning, embeddings, factors, features, itemknn, metrics, models, rerank, splits
+from ..session import once
 from ..sources import artifacts
 from ..sources.fixtures import Tables
 from .activity import affinities
 from .catalogue import AS_OF, PROFILE_TAGS
 from .ctes import knn, knn_recs
-from .registry import query
+from .registry import PLANS, query
 
 K, N = 20, 20
 
@@ -337,3 +338,101 @@ def _(t):
     model = _model(t, pos)
     items = model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").alias("embedding"), F.lit(0.0).alias("bias"))
     return embeddings.score_topk(models.user_factors(model), items, 10, pos)
+
+
+# --- logistic factors with biases: outputs that SQL can state -----------------------------
+
+LOGISTIC_REG = 2.0
+
+
+def _logistic(t: Tables) -> factors.Factors:
+    """One model per run, fitted on all labelled pairs and read by the queries below."""
+
+    def build(side: str):
+        if side not in made:
+            model = factors.train_logistic(t.labelled_pairs, RANK, ITERATIONS, LOGISTIC_REG)
+            made.update(users=model.users, items=model.items)
+        return made[side]
+
+    made: dict = {}
+    users = once(t.spark, (f"logistic-users-{RANK}", t.sf_dir), lambda: build("users"))
+    items = once(t.spark, (f"logistic-items-{RANK}", t.sf_dir), lambda: build("items"))
+    return factors.Factors(users, items)
+
+
+@query("logistic_recs")
+def _(t):
+    model = _logistic(t)
+    return embeddings.score_topk(model.users, model.items, 10, pairs(t), beta=1.0, written=True)
+
+
+@query(
+    "logistic_fit_report",
+    """SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, 17 AS n_parameters, 1 AS below_constant,
+       1 AS is_finite FROM labelled""",
+)
+def _(t):
+    """Model sizes, and whether its loss on the rows it learned from is below that of the constant share of likes."""
+    model = _logistic(t)
+    size = lambda side, key: side.agg(F.count_distinct(key)).scalar()
+    lengths = model.users.unionByName(model.items.withColumnRenamed("item_id", "user_id")).agg(F.max(F.size("embedding")) + 1).scalar()
+    return factors.fit_report(t.labelled_pairs, model).select(
+        "n_rows", size(model.users, "user_id").alias("n_users"), size(model.items, "item_id").alias("n_items"), lengths.alias("n_parameters"),
+        (F.col("log_loss") < F.col("constant_loss")).cast("int").alias("below_constant"), (~F.isnan("log_loss")).cast("int").alias("is_finite"),
+    )
+
+
+def _list_checks(recs, pos, k: int):
+    """(user_id, n_listed, n_distinct, n_seen, is_ordered) of top lists."""
+    seen = recs.join(pos.select("user_id", "item_id", F.lit(1).alias("seen")), ["user_id", "item_id"], "left")
+    listed = F.sort_array(F.collect_list(F.struct("rank", (-F.col("score")).alias("down"), "item_id")))
+    lists = seen.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_listed"), F.count_distinct("item_id").alias("n_distinct"), F.count("seen").alias("n_seen"), listed.alias("l")
+    )
+    order = F.transform("l", lambda x: F.struct(x["down"], x["item_id"]))
+    ranks = F.transform("l", lambda x: x["rank"].cast("int")) == F.sequence(F.lit(1), F.size("l"))
+    return lists.select("user_id", "n_listed", "n_distinct", "n_seen", (ranks & (order == F.array_sort(order))).cast("int").alias("is_ordered"))
+
+
+# Every user gets ten items, or all that are left, none of them a positive of theirs.
+LIST_CHECKS = """SELECT user_id, least(10, n - have) AS n_listed, least(10, n - have) AS n_distinct, 0 AS n_seen, 1 AS is_ordered
+    FROM (SELECT {users}.user_id, count(pos.item_id) AS have FROM (SELECT DISTINCT user_id FROM {users}) {users} LEFT JOIN pos ON pos.user_id = {users}.user_id GROUP BY 1),
+         (SELECT count(DISTINCT item_id) AS n FROM {users}) WHERE n > have"""
+
+
+@query("logistic_list_checks", LIST_CHECKS.format(users="labelled"))
+def _(t):
+    model = _logistic(t)
+    return _list_checks(embeddings.score_topk(model.users, model.items, 10, pairs(t), beta=1.0, written=True), pairs(t), 10)
+
+
+@query("als_list_checks", "SELECT user_id, least(10, n - have) AS n_listed, least(10, n - have) AS n_distinct, 0 AS n_seen, 1 AS is_ordered "
+       "FROM (SELECT user_id, count(*) AS have FROM pos GROUP BY 1), (SELECT count(DISTINCT item_id) AS n FROM pos) WHERE n > have")
+def _(t):
+    return _list_checks(PLANS["als_recs"](t), pairs(t), 10)
+
+
+@query(
+    "item_embedding_checks",
+    f"""SELECT count(*) AS n_rows, count(DISTINCT item_id) AS n_ids, {RANK} AS min_dims, {RANK} AS max_dims, 0 AS n_null, 1 AS is_valid, 1 AS is_centred
+        FROM (SELECT DISTINCT item_id FROM pos)""",
+)
+def _(t):
+    """Integrity of the trained item table, and whether its biases add up to nothing."""
+    pos = pairs(t)
+    items = models.item_factors(_model(t, pos), pos)
+    centred = items.agg((F.abs(F.sum("bias")) < 1e-6 * F.count(F.lit(1))).cast("int")).scalar()
+    return artifacts.integrity(items).withColumn("is_centred", centred)
+
+
+@query(
+    "tag_embedding_checks",
+    f"""SELECT tag, {RANK} AS n_dims, 1 AS is_finite FROM (SELECT DISTINCT user_id FROM pos) JOIN
+        (SELECT user_id, unnest(string_split(tags, ',')) AS tag FROM ({PROFILE_TAGS})) USING (user_id) GROUP BY 1""",
+)
+def _(t):
+    """One row per tag of a user with factors."""
+    users = models.user_factors(_model(t, pairs(t)))
+    tags = models.tag_embeddings(users, features.profile_tags(t.users, AS_OF), RANK)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    return tags.select("tag", F.size("embedding").alias("n_dims"), finite.cast("int").alias("is_finite"))
