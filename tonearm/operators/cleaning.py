@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hashing, languages, text
+from . import quantiles
 from .ids import dense_ids
 
 
@@ -142,8 +143,7 @@ INDICATORS = {
 def join_extras(songs: DataFrame, extra: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Songs with their dense id and extra columns; unmatched songs stay with null."""
     ids = dense_ids(extra, "song_id", "song_id_new") if ids is None else ids
-    keyed = extra.join(ids, "song_id").drop("song_id")
-    return songs.join(ids, "song_id", "left").join(keyed, "song_id_new", "left")
+    return songs.join(ids.join(extra, "song_id", "left"), "song_id", "left")
 
 
 def missing_indicators(songs: DataFrame) -> DataFrame:
@@ -154,8 +154,8 @@ def impute_songs(songs: DataFrame) -> DataFrame:
     """Median length, most frequent language (smallest on ties), fixed text for the rest."""
     filled = songs.withColumns(
         {
-            "song_length": F.coalesce("song_length", songs.agg(F.median("song_length")).scalar()),
-            "language": F.coalesce("language", songs.agg(F.mode("language", True)).scalar()),
+            "song_length": F.coalesce("song_length", quantiles.median(songs, "song_length")),
+            "language": F.coalesce("language", quantiles.mode(songs, "language")),
         }
     )
     return (

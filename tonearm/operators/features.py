@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import buckets, languages, text
+from . import quantiles
 from .ids import dense_ids
 
 
@@ -210,27 +211,27 @@ def song_features(songs: DataFrame, current_year: int) -> DataFrame:
     return with_genres.join(artist_popularity(songs), "artist_name", "left")
 
 
-def length_edges(songs: DataFrame, buckets_n: int = 5) -> DataFrame:
-    """One row: the exact quantile edges of the length, missing lengths taken as the median."""
-    shares = ", ".join(str(i / buckets_n) for i in range(buckets_n + 1))
-    middle = songs.agg(F.median("song_length")).scalar()
-    filled = songs.select(F.coalesce("song_length", middle).alias("len"))
-    return filled.agg(F.expr(f"percentile(len, array({shares}))").alias("edges"))
+def length_edges(songs: DataFrame, buckets_n: int = 5) -> tuple[float | None, list[float | None]]:
+    """The median length, and the exact quantile edges with missing lengths taken as the median."""
+    counts = quantiles.counted(songs, "song_length")
+    middle = quantiles.quantiles(counts, "song_length", [0.5])[0]
+    missing = songs.filter(F.col("song_length").isNull()).agg(F.count(F.lit(1)).alias("n"))
+    filled = counts.select(F.col("song_length").cast("double").alias("song_length"), "n").unionByName(
+        missing.select(F.lit(middle).cast("double").alias("song_length"), "n").filter("n > 0 and song_length is not null")
+    )
+    merged = filled.groupBy("song_length").agg(F.sum("n").alias("n"))
+    return middle, quantiles.quantiles(merged, "song_length", [i / buckets_n for i in range(buckets_n + 1)])
 
 
 def length_bucket(songs: DataFrame, buckets_n: int = 5) -> DataFrame:
-    """Right-closed quantile bucket of the length; one bucket for all when edges repeat."""
-    value, edges = F.col("_length"), F.col("_edges")
-    label = F.lit(None).cast("string")
+    """Right-closed quantile bucket of the length; one bucket for all when edges repeat or there is no length."""
+    middle, edges = length_edges(songs, buckets_n)
+    if len(set(edges)) < len(edges):
+        return songs.withColumn("length_tag", F.lit("len_0"))
+    value, label = F.coalesce("song_length", F.lit(middle)), F.lit(None).cast("string")
     for i in range(buckets_n, 0, -1):
-        label = F.when(value <= F.get(edges, F.lit(i)), f"len_{i - 1}").otherwise(label)
-    distinct = F.size(F.array_distinct(edges)) == F.size(edges)
-    return (
-        songs.withColumn("_length", F.coalesce("song_length", songs.agg(F.median("song_length")).scalar()))
-        .withColumn("_edges", length_edges(songs, buckets_n).scalar())
-        .withColumn("length_tag", F.when(distinct, label).otherwise("len_0"))
-        .drop("_length", "_edges")
-    )
+        label = F.when(value <= F.lit(edges[i]), f"len_{i - 1}").otherwise(label)
+    return songs.withColumn("length_tag", label)
 
 
 def item_tags(songs: DataFrame, key: str = "song_id", top_artists: int = 5000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import buckets, vectors
 from ..operators import cleaning, features, ids, itemknn
+from ..session import materialize
 from ..sources.fixtures import Tables
 from .registry import query
 
@@ -24,7 +25,7 @@ def member_features(t: Tables):
 
 def song_merge(t: Tables):
     joined = cleaning.join_extras(t.songs_raw, t.song_extra)
-    return cleaning.impute_songs(cleaning.missing_indicators(joined))
+    return cleaning.impute_songs(materialize(cleaning.missing_indicators(joined), "songs-joined"))
 
 
 # --- loading and cleaning -----------------------------------------------------
