@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import affinity, challenges, cleaning, external, history, rerank, search
+from ..operators import affinity, challenges, cleaning, external, history, itemknn, rerank, search, splits
+from ..session import materialize, run_dir
+from ..sources import runs
 from ..sources.fixtures import SOURCES, Tables
+from .ctes import knn_recs
 from .registry import query
 
 
@@ -381,3 +384,42 @@ def _(t):
     out = external.match_songs(t.song_extra, _metadata(t), "left")
     found = F.when(F.col("type_label").isNotNull(), F.col("match_key"))
     return out.select("song_id", found.alias("code"), "type_label", "is_single")
+
+
+# --- stored runs --------------------------------------------------------------------
+
+
+def _stored_runs(t: Tables) -> str:
+    """Two runs of ItemKNN over the onboarding songs: all users, then again those of even ids with ten rows; the first is repeated."""
+    path = run_dir(t.spark, "stored-runs")
+    picks = splits.first_seeds(t.positive_pairs, 5)
+    scored = itemknn.scores(picks, itemknn.neighbors(t.positive_pairs, 20))
+    recs = materialize(itemknn.in_catalogue(scored, t.catalogue.filter("artist_name is not null"), 30), "stored-recs")
+    users, even = picks.select("user_id"), "user_id % 2 = 0"
+    first, second = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
+    runs.publish(recs.filter("rank <= 3"), path, "r1", first, "ItemKNN", "v1.0", users)
+    runs.publish(recs, path, "r1", first, "ItemKNN", "v1.0", users)
+    runs.publish(recs.filter(even).filter("rank <= 10"), path, "r2", second, "ItemKNN", "v1.0", users.filter(even))
+    return path
+
+
+STORED = f"""WITH {", ".join(f"{name} AS ({body})" for name, body in knn_recs("r", "picks", "nb", "sim", 9).items())},
+    k AS (SELECT item_id FROM catalogue WHERE artist_name IS NOT NULL),
+    st AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM r_s JOIN k USING (item_id) WHERE score > 0)"""
+
+
+@query(
+    "stored_run_items",
+    f"""{STORED} SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'r2' ELSE 'r1' END AS run_id, rank, item_id, score FROM st WHERE rank <= CASE WHEN user_id % 2 = 0 THEN 10 ELSE 30 END""",
+)
+def _(t):
+    return runs.newest_items(t.spark, _stored_runs(t)).select("user_id", "run_id", "rank", "item_id", "score")
+
+
+@query(
+    "stored_runs_published",
+    f"""{STORED} SELECT 'r1' AS run_id, (SELECT count(DISTINCT user_id) FROM picks) AS n_batches, count(*) AS n_items FROM st WHERE rank <= 30
+        UNION ALL SELECT 'r2', (SELECT count(DISTINCT user_id) FROM picks WHERE user_id % 2 = 0), count(*) FROM st WHERE rank <= 10 AND user_id % 2 = 0""",
+)
+def _(t):
+    return runs.published(t.spark, _stored_runs(t)).select("run_id", "n_batches", "n_items")
