@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import embeddings, features, itemknn, metrics, splits
+from ..operators import embeddings, factors, features, hybrid, itemknn, metrics, splits
 from ..schemas import METRICS
 from ..session import materialize, once, run_dir
 from ..sources import tables
@@ -572,3 +572,74 @@ def _(t):
     return metrics.confusion(scored.select(F.col("target").alias("label"), score.alias("score")), 0.67)
 
 
+
+
+# --- hybrid model trained from tags: outputs that SQL can state ----------------------------
+
+HYBRID_RANK, HYBRID_ITERATIONS, HYBRID_REG = 8, 3, 2.0
+
+
+def item_tags(t: Tables):
+    """(item_id, tags): language and artist."""
+    named = [F.concat(F.lit(f"{c}_"), F.col(c).cast("string")) for c in ("language", "artist_id")]
+    return t.catalogue.select("item_id", F.array(*named).alias("tags"))
+
+
+def _hybrid(t: Tables) -> hybrid.Hybrid:
+    """One model per run, fitted on all labelled pairs but those of the held-out users."""
+    made: dict = {}
+
+    def build(name: str):
+        if not made:
+            train, _ = held_out(t)
+            model = hybrid.train_hybrid(train, features.profile_tags(t.users, AS_OF), item_tags(t), HYBRID_RANK, HYBRID_ITERATIONS, HYBRID_REG)
+            made.update(vars(model))
+        return made[name]
+
+    names = ("users", "items", "user_tags", "item_tags")
+    return hybrid.Hybrid(**{n: once(t.spark, (f"hybrid-{n}", t.sf_dir), lambda n=n: build(n)) for n in names})
+
+
+def hybrid_unseen_recs(t: Tables, k: int):
+    """Lists for the held-out users, whom the model knows by their tags alone."""
+    model, (_, test) = _hybrid(t), held_out(t)
+    tagged = features.profile_tags(t.users, AS_OF).join(test.select("user_id").distinct(), "user_id", "left_semi")
+    users = hybrid.from_tags(tagged, "user_id", model.user_tags, HYBRID_RANK)
+    return embeddings.score_topk(users, model.items, k, beta=1.0)
+
+
+@query("hybrid_unseen_recs")
+def _(t):
+    return hybrid_unseen_recs(t, 10)
+
+
+@query(
+    "hybrid_unseen_checks",
+    f"""WITH {_sql(HELD_SQL)} SELECT user_id, least(10, n) AS n_listed, least(10, n) AS n_known, 1 AS is_ordered
+        FROM (SELECT DISTINCT user_id FROM hte), (SELECT count(DISTINCT item_id) AS n FROM htr)""",
+)
+def _(t):
+    """Per held-out user: rows listed, distinct known items among them, and whether scores fall with the rank."""
+    recs = hybrid_unseen_recs(t, 10).join(_hybrid(t).items.select("item_id"), "item_id")
+    falls = F.max_by("score", -F.col("rank")) >= F.max_by("score", "rank")
+    return recs.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_listed"), F.count_distinct("item_id").alias("n_known"), falls.cast("int").alias("is_ordered")
+    )
+
+
+@query(
+    "hybrid_model_checks",
+    f"""WITH {_sql(HELD_SQL)} SELECT
+        (SELECT count(DISTINCT tag) FROM (SELECT user_id, unnest(string_split(tags, ',')) AS tag FROM ({PROFILE_TAGS})) SEMI JOIN htr USING (user_id)) AS n_user_tags,
+        (SELECT count(DISTINCT language) + count(DISTINCT artist_id) FROM catalogue SEMI JOIN htr USING (item_id)) AS n_item_tags,
+        (SELECT count(DISTINCT user_id) FROM htr) AS n_users, (SELECT count(DISTINCT item_id) FROM htr) AS n_items, 1 AS below_constant, 1 AS has_biases""",
+)
+def _(t):
+    """Sizes of the four tables, whether the loss on the rows learned from is below that of a constant, and whether tags have biases."""
+    model, (train, _) = _hybrid(t), held_out(t)
+    n = lambda df, c: df.agg(F.count_distinct(c)).scalar()
+    biases = model.user_tags.unionByName(model.item_tags).agg((F.max(F.abs("bias")) > 0).cast("int")).scalar()
+    return factors.fit_report(train, model).select(
+        n(model.user_tags, "tag").alias("n_user_tags"), n(model.item_tags, "tag").alias("n_item_tags"), n(model.users, "user_id").alias("n_users"),
+        n(model.items, "item_id").alias("n_items"), (F.col("log_loss") < F.col("constant_loss")).cast("int").alias("below_constant"), biases.alias("has_biases"),
+    )
