@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, kept as flat arrays.
 
 Vectors are dealt out to shards of bounded size.  A shard's graph indexes its
-distinct directions; equal vectors hang on one node.  Queries go to every
-shard in blocks, each shard answers from its graph, and the answers are merged
-by the exact cosine.
+distinct directions, told apart in single precision; scaled copies and vectors
+that differ by less hang on one node.  Queries go to every shard in blocks, each
+shard scores all vectors of the nodes it finds by the exact cosine of the
+original doubles, and the answers are merged.
 """
 
 from __future__ import annotations
@@ -21,12 +22,24 @@ from ..session import materialize
 K = 5
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 96
-_GRAPH = "shard int, ids binary, vectors binary, nodes binary, starts binary, links binary, levels binary, dims int, entry int"
+_GRAPH = "shard int, ids binary, places binary, vectors binary, nodes binary, starts binary, links binary, levels binary, dims int, entry int"
+
+
+def _even(a: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two to components below one: no square overflows or vanishes, and no digit changes."""
+    _, exponent = np.frexp(np.abs(a).max(axis=-1, keepdims=True))
+    return np.ldexp(a, -exponent)
+
+
+def units(a: np.ndarray) -> np.ndarray:
+    """Directions of the rows, in single precision."""
+    a = _even(a)
+    return (a / np.sqrt((a**2).sum(axis=-1, keepdims=True)) + 0.0).astype(np.float32)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of ``a`` with ``b`` in double precision; a row's value doesn't depend on the other rows."""
-    a, b = np.atleast_2d(a).astype(np.float64), b.astype(np.float64)
+    a, b = _even(np.atleast_2d(a).astype(np.float64)), _even(b.astype(np.float64))
     dot = np.einsum("ij,j->i", a, b, optimize=False)
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a, optimize=False)) * np.sqrt(np.einsum("j,j->", b, b, optimize=False)))
 
@@ -34,10 +47,9 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Graph:
     """Levels of neighbour lists; level l of node v is a row of ``links[l]`` with ``size[l][v]`` entries."""
 
-    def __init__(self, vectors: np.ndarray, seed: int):
-        norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
-        self.x = (vectors / norms).astype(np.float32)
-        n = len(vectors)
+    def __init__(self, directions: np.ndarray, seed: int):
+        self.x = directions
+        n = len(directions)
         draw = np.random.default_rng(seed)
         self.levels = np.minimum((-np.log(1 - draw.random(n)) / np.log(LINKS)).astype(int), 8) if n else np.zeros(0, int)
         top = int(self.levels.max(initial=0))
@@ -125,45 +137,70 @@ class Graph:
         return np.array(starts, np.int64).tobytes(), np.concatenate(lists).astype(np.int32).tobytes()
 
 
-def build(vectors: np.ndarray, seed: int) -> Graph:
-    graph = Graph(vectors, seed)
-    for v in range(len(vectors)):
+def build(directions: np.ndarray, seed: int) -> Graph:
+    graph = Graph(directions, seed)
+    for v in range(len(directions)):
         graph.add(v)
     return graph
 
 
-def restore(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    """(graph, ids, vectors, node of each row) from a stored shard."""
-    vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dims"])
-    ids, node = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nodes"], np.int32)
-    graph = Graph.__new__(Graph)
-    graph.x = (vectors / np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1, keepdims=True))).astype(np.float32)
-    graph.levels = np.frombuffer(row["levels"], np.int32)
-    starts, links = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["links"], np.int32)
-    n, graph.links, graph.size, graph.entry = len(vectors), [], [], row["entry"]
-    for l in range(int(graph.levels.max(initial=0)) + 1):
-        begin = starts[l * n : (l + 1) * n + 1]
-        size = np.diff(begin).astype(np.int32)
-        table = np.full((n, max(1, int(size.max(initial=0)))), -1, np.int32)
-        table[np.arange(table.shape[1]) < size[:, None]] = links[begin[0] : begin[-1]]
-        graph.links.append(table)
-        graph.size.append(size)
-    graph.stamp, graph.turn = np.zeros(n, np.int32), 0
-    return graph, ids, vectors, node
+class Shard:
+    """A stored shard: its graph, the distinct vectors of each node, and the ids of each vector."""
+
+    def __init__(self, row: dict):
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dims"])
+        node = np.frombuffer(row["nodes"], np.int32)
+        # Vectors are stored in the order of their nodes, ids in that of their vectors.
+        n = int(node[-1]) + 1
+        self.of_node = np.searchsorted(node, np.arange(n + 1))
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.of_vector = np.searchsorted(np.frombuffer(row["places"], np.int32), np.arange(len(self.vectors) + 1))
+        graph = self.graph = Graph.__new__(Graph)
+        graph.x = units(self.vectors[self.of_node[:-1]])
+        graph.levels = np.frombuffer(row["levels"], np.int32)
+        starts, links = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["links"], np.int32)
+        graph.links, graph.size, graph.entry = [], [], row["entry"]
+        for l in range(int(graph.levels.max(initial=0)) + 1):
+            begin = starts[l * n : (l + 1) * n + 1]
+            size = np.diff(begin).astype(np.int32)
+            table = np.full((n, max(1, int(size.max(initial=0)))), -1, np.int32)
+            table[np.arange(table.shape[1]) < size[:, None]] = links[begin[0] : begin[-1]]
+            graph.links.append(table)
+            graph.size.append(size)
+        graph.stamp, graph.turn = np.zeros(n, np.int32), 0
+
+    def found(self, unit: np.ndarray, width: int) -> list[int]:
+        """Places of all vectors of the ``width`` nearest nodes found."""
+        g = self.graph
+        at = [(float(1.0 - g.x[g.entry] @ unit), g.entry)]
+        for l in range(int(g.levels[g.entry]), 0, -1):
+            at = g.nearest(unit, at, 1, l)
+        return [p for _, v in g.nearest(unit, at, width, 0) for p in range(self.of_node[v], self.of_node[v + 1])]
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number) of the distinct rows by their bytes: numbers follow the order of the bytes."""
+    _, first, number = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1] * rows.itemsize}").ravel(), return_index=True, return_inverse=True)
+    return first, number
 
 
 def _index(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    ids = rows.column("vec_id").to_numpy()
-    data = b"".join(rows.column("vector").to_pylist())
-    dims = rows.column("dims")[0].as_py()
-    vectors = np.frombuffer(data, np.float32).reshape(-1, dims)
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    distinct, first, node = np.unique(vectors.view(f"V{4 * dims}").ravel(), return_index=True, return_inverse=True)
-    graph = build(vectors[first], key[0].as_py() + 1)
+    ids, dims = rows.column("vec_id").to_numpy(), rows.column("dims")[0].as_py()
+    vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(-1, dims)
+    first, place = _distinct(vectors)
+    distinct = vectors[first]
+    directions = units(distinct)
+    _, node = _distinct(directions)
+    order = np.argsort(node, kind="stable")
+    distinct, directions, node = distinct[order], directions[order], node[order]
+    place = np.argsort(order, kind="stable")[place]
+    by_place = np.lexsort((ids, place))
+    graph = build(directions[np.searchsorted(node, np.arange(int(node[-1]) + 1))], key[0].as_py() + 1)
     starts, links = graph.flat()
-    levels = graph.levels.astype(np.int32).tobytes()
-    made = [key[0].as_py(), ids.tobytes(), vectors[first].tobytes(), node.astype(np.int32).tobytes(), starts, links, levels, dims, graph.entry]
+    made = [
+        key[0].as_py(), ids[by_place].tobytes(), place[by_place].astype(np.int32).tobytes(), distinct.tobytes(), node.astype(np.int32).tobytes(),
+        starts, links, graph.levels.astype(np.int32).tobytes(), dims, graph.entry,
+    ]
     names = [c.split()[0] for c in _GRAPH.split(", ")]
     types = [pa.binary() if c.endswith("binary") else pa.int32() for c in _GRAPH.split(", ")]
     return pa.table({n: pa.array([v], t) for n, v, t in zip(names, made, types)})
@@ -171,26 +208,18 @@ def _index(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 def _answer(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, graph = None, None
+        held, shard = None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if held != row["shard"]:
-                    held, graph = row["shard"], restore(row)
-                g, ids, vectors, node = graph
-                by_node = np.argsort(node, kind="stable")
-                begin = np.searchsorted(node[by_node], np.arange(len(vectors) + 1))
-                queries = np.frombuffer(row["q_vectors"], np.float32).reshape(-1, row["dims"])
+                    held, shard = row["shard"], Shard(row)
+                queries = np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dims"])
                 out = []
-                for query, q in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries):
-                    unit = (q / np.sqrt((q.astype(np.float64) ** 2).sum())).astype(np.float32)
-                    at = [(float(1.0 - g.x[g.entry] @ unit), g.entry)]
-                    for l in range(int(g.levels[g.entry]), 0, -1):
-                        at = g.nearest(unit, at, 1, l)
-                    found = [v for _, v in g.nearest(unit, at, width, 0)][: 4 * k]
-                    exact = cosines(vectors[found], q)
+                for query, q, unit in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries, units(queries)):
+                    places = shard.found(unit, width)
                     pairs = []
-                    for v, s in zip(found, exact.tolist()):
-                        own = ids[by_node[begin[v] : begin[v + 1]]]  # sorted: rows came in order of their id
+                    for p, s in zip(places, cosines(shard.vectors[places], q).tolist()):
+                        own = shard.ids[shard.of_vector[p] : shard.of_vector[p + 1]]  # ascending
                         pairs += [(-s, i) for i in own[own != query][:k].tolist()]
                     out += [(query, i, -s) for s, i in sorted(pairs)[:k]]
                 if out:
@@ -201,14 +230,14 @@ def _answer(k: int, width: int):
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, dims, vector as packed floats) of the rows that take part."""
+    """(vec_id, dims, vector as packed doubles) of the rows that take part."""
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(~bad).filter(F.exists("embedding", lambda v: v != 0))
 
     @F.pandas_udf("binary")
     def packed(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, np.float32).tobytes() for v in vectors])
+        return pd.Series([(np.asarray(v, np.float64) + 0.0).tobytes() for v in vectors])
 
     return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.size("embedding").alias("dims"), packed("embedding").alias("vector"))
 
