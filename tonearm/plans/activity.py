@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import affinity, challenges, cleaning, external, history, itemknn, rerank, search, splits
-from ..session import materialize, run_dir
+from ..operators import affinity, challenges, cleaning, external, history, itemknn, postings, rerank, search, splits
+from ..session import materialize, once, run_dir
 from ..sources import runs
 from ..sources.fixtures import SOURCES, Tables
 from .ctes import knn_recs
@@ -322,6 +322,21 @@ def _(t):
     return search.ngram(t.raw("documents"), "doc_id", ["text"], "être eauou thorreou").select("doc_id", "lang", "relevance")
 
 
+INDEXED = "quartz être eauou thorreou red"
+
+
+@query(
+    "search_indexed_documents",
+    f"""SELECT doc_id, lang, {_relevance("lower(text)", INDEXED)} AS relevance FROM documents
+        WHERE relevance > 0 ORDER BY relevance DESC, doc_id LIMIT 20""",
+)
+def _(t):
+    docs = t.raw("documents")
+    index = once(t.spark, ("postings", t.sf_dir), lambda: postings.build(docs, "doc_id", ["text"]))
+    found = postings.top_page(index, INDEXED)
+    return docs.select("doc_id", "lang").join(found.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "lang", "relevance")
+
+
 @query(
     "search_contains",
     """SELECT item_id, title, artist_name FROM catalogue WHERE contains(lower(title), 'brand#2') OR contains(lower(artist_name), 'brand#2') ORDER BY item_id LIMIT 20""",
