@@ -608,11 +608,6 @@ def hybrid_unseen_recs(t: Tables, k: int):
     return embeddings.score_topk(users, model.items, k, beta=1.0)
 
 
-@query("hybrid_unseen_recs")
-def _(t):
-    return hybrid_unseen_recs(t, 10)
-
-
 @query(
     "hybrid_unseen_checks",
     f"""WITH {_sql(HELD_SQL)} SELECT user_id, least(10, n) AS n_listed, least(10, n) AS n_known, 1 AS is_ordered
