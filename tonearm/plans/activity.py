@@ -379,26 +379,32 @@ def _(t):
 
 def _metadata(t: Tables):
     rows = external.matched(t.external)
-    return external.uniq_join(rows, "type_label").join(external.flags(rows), "isrc", "left")
+    return external.flags(rows).join(external.uniq_join(rows, "type_label"), "isrc", "left")
 
 
-MATCH = """
-SELECT song_id, e.isrc AS code, type_label, is_single FROM extra s {how} JOIN
+MATCH = r"""
+SELECT song_id, f.isrc AS code, type_label, has_feat, is_single, has_vocal FROM extra s {how} JOIN
+  (SELECT isrc, max(regexp_matches(lower(coalesce(desc_en, '')), '\b(feat\.|featuring|ft\.?)\b')::BIGINT) AS has_feat,
+   max(contains(lower(coalesce(type_label, '')), 'single')::BIGINT) AS is_single, max(contains(lower(coalesce(type_label, '')), 'with vocals')::BIGINT) AS has_vocal
+   FROM ext_matched GROUP BY 1) f ON f.isrc = upper(trim(s.isrc)) LEFT JOIN
   (SELECT isrc, string_agg(v, ' || ' ORDER BY o) AS type_label FROM (SELECT isrc, trim(type_label) AS v, min(doc_id) AS o FROM ext_matched WHERE trim(type_label) <> '' GROUP BY 1, 2) GROUP BY 1) e
-  ON e.isrc = upper(trim(s.isrc)) LEFT JOIN (SELECT isrc, max(contains(lower(coalesce(type_label, '')), 'single')::BIGINT) AS is_single FROM ext_matched GROUP BY 1) f ON f.isrc = e.isrc"""
+  ON e.isrc = f.isrc"""
+
+
+def _matched_songs(t: Tables, how: str):
+    out = external.match_songs(t.song_extra, _metadata(t), how)
+    code = F.when(F.col("is_single").isNotNull(), F.col("match_key"))
+    return out.select("song_id", code.alias("code"), "type_label", "has_feat", "is_single", "has_vocal")
 
 
 @query("external_match_inner", MATCH.format(how=""))
 def _(t):
-    out = external.match_songs(t.song_extra, _metadata(t), "inner")
-    return out.select("song_id", F.col("match_key").alias("code"), "type_label", "is_single")
+    return _matched_songs(t, "inner")
 
 
 @query("external_match_left", MATCH.format(how="LEFT"))
 def _(t):
-    out = external.match_songs(t.song_extra, _metadata(t), "left")
-    found = F.when(F.col("type_label").isNotNull(), F.col("match_key"))
-    return out.select("song_id", found.alias("code"), "type_label", "is_single")
+    return _matched_songs(t, "left")
 
 
 # --- stored runs --------------------------------------------------------------------
