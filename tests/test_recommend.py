@@ -83,6 +83,46 @@ def test_lists_of_a_user_in_many_tasks(spark, monkeypatch):
     assert spark.createDataFrame([], "user_id bigint, item_id bigint").transform(lambda d: itemknn.neighbors(d, 3)).count() == 0
 
 
+@pytest.mark.parametrize("ids,wide_items,pairs_per_item", [(1, 1000, 10**9), (10**14, 1000, 60), (1_000, 20, 60), (1, 0, 0)])
+def test_neighbors_are_the_same_by_lists_and_by_products(spark, wide_items, pairs_per_item, ids):
+    """Users by lists and by the blocked product, items whole in a task and summed over pairs; ids of any width."""
+    pairs = [(u, i * ids - 7) for u, i in skewed_pairs(6, 3)]
+    pos = spark.createDataFrame([*pairs, (None, pairs[0][1]), (5, None)], "user_id bigint, item_id bigint")
+    # A row without user counts for its item, but meets nothing.
+    n = Counter(i for _, i in pairs) + Counter([pairs[0][1]])
+    users = defaultdict(set)
+    for u, i in pairs:
+        users[u].add(i)
+    co = Counter((a, b) for items in users.values() for a in items for b in items if a != b)
+    got = defaultdict(list)
+    for r in itemknn.neighbors(pos, 5, 7, wide_items, pairs_per_item).orderBy("item_id", "rank").collect():
+        got[r["item_id"]].append((r["neighbor_id"], r["sim"]))
+    for item in n:
+        best = sorted(((-c * c / n[b], b, c) for (a, b), c in co.items() if a == item))[:5]
+        assert got[item] == [(b, round(c / math.sqrt(n[item] * n[b]), 6)) for _, b, c in best]
+
+
+def test_co_occurring_pairs_stay_in_their_task(spark):
+    """What the neighbour job moves grows with the users' lists, not with the pairs of items."""
+    rng = random.Random(3)
+    pairs = sorted({(u, rng.randrange(3000)) for u in range(300) for _ in range(60)})
+    text = itemknn.neighbors(spark.createDataFrame(pairs, "user_id bigint, item_id bigint"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Window" not in text and "Join" not in text
+
+
+@pytest.mark.parametrize("mode", ["baseline", "normalize_seed"])
+def test_scores_are_the_same_by_lists_and_by_rows(spark, mode):
+    pairs = [(u, i * 10**11) for u, i in skewed_pairs(8, 2)]
+    pos = spark.createDataFrame(pairs, "user_id bigint, item_id bigint")
+    table = itemknn.neighbors(pos, 6)
+    seeds = spark.createDataFrame([*pairs, (None, pairs[3][1]), (77, None), (78, 5)], "user_id bigint, item_id bigint")
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    plain = rows(itemknn.scores(seeds, table, mode, seen=seeds))
+    assert plain and all(rows(itemknn.scores(seeds, table, mode, wide_seeds=w)) == plain for w in (5, 1000))
+    best = rows(itemknn.recommend(seeds, table, 4, mode, seen=seeds))
+    assert all(rows(itemknn.recommend(seeds, table, 4, mode, wide_seeds=w)) == best for w in (5, 1000))
+
+
 @pytest.mark.parametrize("mode", ["baseline", "sim2", "normalize_seed", "pop_pow", "pop_log"])
 def test_recommend_modes(spark, mode):
     pairs = skewed_pairs(7, 0)
