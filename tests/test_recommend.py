@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import embeddings, gram, itemknn, rerank
+from tonearm.operators import embeddings, gram, itemknn, metrics, rerank
 from tonearm.operators.blocks import topk_products
 
 
@@ -242,3 +242,40 @@ def test_empty_blocks_meet_nothing(spark, n_left, left_rows):
     product = a @ b.T
     want = {i: sorted((j for j in range(30) if (i, j) not in hidden), key=lambda j: -product[i, j])[:3] for i in range(n_left)}
     assert dict(got) == want
+
+
+@pytest.mark.parametrize("wide_seeds", [0, 7, 1000])
+def test_grid_ranks_against_brute_force(spark, wide_seeds):
+    """Every cell and mode: the held-out item's rank among the user's unseen candidates, by lists and by rows."""
+    rng = random.Random(12)
+    pairs = sorted({(u, u % 3 * 10 + rng.randrange(12)) for u in range(40) for _ in range(7)} | {(99, i) for i in range(0, 32, 2)})
+    held = {u: rng.choice([i for v, i in pairs if v == u]) for u in sorted({u for u, _ in pairs})}
+    train = [(u, i) for u, i in pairs if held.get(u) != i]
+    neigh, pop, seen = brute_neighbors(train, 6), Counter(i for _, i in train), defaultdict(set)
+    for u, i in train:
+        seen[u].add(i)
+    tested = {u: i for u, i in held.items() if i in pop}
+    cells, modes = [(k, t) for k in (2, 6) for t in (0.0, 0.3)], metrics.GRID_MODE
+    want = {}
+    for k, t in cells:
+        ranks = {m: [] for m in modes}
+        for u, aim in tested.items():
+            s, q = Counter(), Counter()
+            for i in seen[u]:
+                for b, sim in neigh.get(i, [])[:k]:
+                    if sim > t:
+                        s[b] += math.floor(sim * 1e9 + 0.5)
+                        q[b] += math.floor(sim * sim * 1e9 + 0.5)
+            if aim not in s:
+                continue
+            for m in modes:
+                unit = {"normalize_seed": lambda b: len(seen[u]), "pop_pow": lambda b: pop[b] ** 0.5, "pop_log": lambda b: math.log1p(pop[b]) ** 0.5}.get(m, lambda b: 1.0)
+                score = {b: math.floor((q if m == "sim2" else s)[b] / (1000.0 * unit(b)) + 0.5) for b in s if b not in seen[u]}
+                ranks[m].append(1 + sum((-v, b) < (-score[aim], aim) for b, v in score.items()))
+        for m in modes:
+            hits = [r for r in ranks[m] if r <= 3]
+            want |= {(m, k, t, "recall"): len(hits) / len(tested), (m, k, t, "ndcg"): sum(1 / math.log2(r + 1) for r in hits) / len(tested)}
+    frame = lambda rows: spark.createDataFrame(rows, "user_id bigint, item_id bigint")
+    got = metrics.knn_grid(frame(list(held.items())), frame(train), itemknn.neighbor_lists(frame(train), 6), (2, 6), (0.0, 0.3), ks=(3,), wide_seeds=wide_seeds)
+    got = {(r["agg"], r["item_k"], r["sim_threshold"], name): r[f"{name}_3"] for r in got.collect() for name in ("recall", "ndcg")}
+    assert got == pytest.approx(want, abs=6e-6) and len(set(want.values())) > 10
