@@ -61,3 +61,14 @@ def test_every_user_has_exactly_as_many_negatives(spark, monkeypatch, n_items, w
         u, score = r["user_id"], vectors @ taste[r["user_id"]]
         assert r["listed"] == len(got[u])
         assert r["rank"] == 1 + sum(score[i] > score[held[u][0]] for i in got[u])
+
+
+def test_compressed_id_tables_are_not_broadcast_by_file_size(spark):
+    """900,000 ids are some MB as a file and far more as a broadcast: they are joined by a shuffle, a small table still is broadcast."""
+    from tonearm.session import materialize, tune
+
+    tune(spark)
+    plan = lambda n: rows.join(materialize(spark.range(n)), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    rows = materialize(spark.range(3_000_000).select((F.col("id") * 3).alias("id")))
+    assert "BroadcastHashJoin" not in plan(900_000)
+    assert "BroadcastHashJoin" in plan(1_000)
