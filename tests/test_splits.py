@@ -86,3 +86,18 @@ def test_loo_metrics_skip_unknown_items(spark):
     row = metrics.loo_metrics(test, recs, known, ks=(10,)).first()
     assert (row["users_evaluated"], row["recall"], row["precision"]) == (2, 0.5, 0.05)
     assert row["ndcg"] == round(1 / math.log2(3) / 2, 5)
+
+
+def test_splits_are_written_once_for_all_reports(spark, sf_dir):
+    """Models and reports read one written split; it is not worked out again by each of them."""
+    from tonearm.plans import evaluate, recommend
+    from tonearm.sources.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    files = lambda df: sorted(df.inputFiles())
+    for build in (lambda: evaluate.seed_pairs(t, 3)[0], lambda: evaluate.seed_pairs(t, 3)[1], lambda: evaluate.loo(t)[0], lambda: evaluate.loo(t)[1], lambda: recommend.picks(t)):
+        first = files(build())
+        assert first == files(build()) and not any(f.startswith(f"file://{sf_dir}") for f in first)
+    train, test = evaluate.seed_split(t, 3)
+    rows = lambda df: sorted(map(tuple, df.select("user_id", "item_id").collect()))
+    assert [rows(x) for x in evaluate.seed_pairs(t, 3)] == [rows(train.filter("target = 1")), rows(test)]

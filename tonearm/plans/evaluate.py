@@ -23,14 +23,23 @@ ITEM_K, HELD_OUT = 20, 200
 def loo(t: Tables):
     """(train pairs, test rows) of the leave-one-out protocol."""
     pos = pairs(t)
-    test = splits.leave_one_out(pos)
-    return materialize(splits.without(pos, test), "loo-train"), materialize(test, "loo-test")
+    test = t.keep("loo-test", lambda: splits.leave_one_out(pos))
+    return t.keep("loo-train", lambda: splits.without(pos, test)), test
 
 
 def seed_split(t: Tables, n: int):
     return splits.seed_n(t.labelled_pairs, n)
 
 
+def seed_pairs(t: Tables, n: int):
+    """(seeds, test pairs) of a seed split, written once: each model and report reads them several times."""
+
+    def seeds():
+        return seed_split(t, n)[0].filter("target = 1").select("user_id", "item_id")
+
+    return t.keep(f"seeds-{n}", seeds), t.keep(f"seed-test-{n}", lambda: seed_split(t, n)[1])
+
+
 def seed_sql(n: int) -> dict[str, str]:
     order = "row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '-' || item_id || '-42'), item_id)"
     return {
@@ -212,8 +221,7 @@ def _multi_sql(recs: str, truth: str, users: str, model: str, notes: str) -> str
     f"""WITH {_sql(seed_sql(5) | knn("sd5", ITEM_K, "m_") | knn_recs("r", "sd5", "m_nb", "sim", 20))} {_multi_sql("r", "te5", "r", "ItemKNN", "split=A_N5")}""",
 )
 def _(t):
-    train, test = seed_split(t, 5)
-    seeds = train.filter("target = 1").select("user_id", "item_id")
+    seeds, test = seed_pairs(t, 5)
     # Neighbours come from the seeds: the test positives must not be known.
     recs = itemknn.recommend(seeds, itemknn.neighbors(seeds, ITEM_K), 20)
     return metrics.multi_truth_metrics(recs, test, model="ItemKNN", notes="split=A_N5")
@@ -221,8 +229,7 @@ def _(t):
 
 def cold_itemknn(t: Tables, n: int, item_k: int):
     """ItemKNN on the seeds alone; users without recommendations count as zero."""
-    train, test = seed_split(t, n)
-    seeds = train.filter("target = 1").select("user_id", "item_id")
+    seeds, test = seed_pairs(t, n)
     recs = itemknn.recommend(seeds, itemknn.neighbors(seeds, item_k), 20)
     return metrics.multi_truth_metrics(recs, test, model="ItemKNN", notes=f"split=A_N{n}, item_k={item_k}", users=test)
 
@@ -251,11 +258,12 @@ def _(t):
 
 def cold_popularity(t: Tables):
     """Popularity on the three seed splits and the held-out users."""
-    runs = [(f"A_N{n}", *seed_split(t, n)) for n in (1, 3, 5)] + [("C", *held_out(t))]
+    train, test = held_out(t)
+    runs = [(f"A_N{n}", *seed_pairs(t, n)) for n in (1, 3, 5)] + [("C", train.filter("target = 1"), test)]
     out = []
-    for name, train, test in runs:
+    for name, known, test in runs:
         users = test.select("user_id").distinct()
-        recs = metrics.popularity_recs(users, train.filter("target = 1"), 20)
+        recs = metrics.popularity_recs(users, known, 20)
         out.append(metrics.multi_truth_metrics(recs, test, model="Popularity", notes=f"split={name}"))
     return metrics.combine(*out)
 
@@ -303,9 +311,7 @@ def cold_factors(t: Tables):
     tagged = features.profile_tags(t.users, AS_OF)
     runs, truths = {}, {}
     for n in FACTOR_SPLITS:
-        train, test = seed_split(t, n)
-        seeds = materialize(train.filter("target = 1").select("user_id", "item_id"), "seeds")
-        truths[n] = materialize(test, "seed-test")
+        seeds, truths[n] = seed_pairs(t, n)
         runs[f"PureCF-{n}"] = (embeddings.warm_vectors(seeds, None, t.item_vectors, DIMS), seeds)
         runs[f"Hybrid-{n}"] = (embeddings.hybrid_vectors(seeds, tagged, tag_table(t, tagged, seeds), t.item_vectors, DIMS), seeds)
     recs = materialize(embeddings.score_topk_runs(runs, t.item_vectors, 20), "factor-recs")
@@ -544,7 +550,7 @@ def _(t):
 )
 def _(t):
     path = run_dir(t.spark, "metrics-log")
-    rows = cold_popularity(t)
+    rows = materialize(cold_popularity(t), "popularity-metrics")
     for date in ("2025-01-01", "2025-01-02"):
         tables.append_metrics(rows.withColumn("date", F.lit(date)), path, METRICS)
     return t.spark.read.schema(METRICS).parquet(path)

@@ -22,8 +22,8 @@ def pairs(t: Tables):
 
 
 def picks(t: Tables):
-    """Five onboarding songs per user."""
-    return splits.first_seeds(pairs(t), 5)
+    """Five onboarding songs per user, written once: they are read several times."""
+    return t.keep("picks", lambda: splits.first_seeds(pairs(t), 5))
 
 
 def _sql(tables: dict[str, str]) -> str:

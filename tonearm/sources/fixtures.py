@@ -7,6 +7,7 @@ a plan over the Parquet files and nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -63,6 +64,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table that ``build`` makes, written when it is first asked for and read from then on."""
+        kept = self.__dict__.setdefault("_kept", {})
+        if name not in kept:
+            kept[name] = materialize(build(), name)
+        return kept[name]
+
     # --- interactions -------------------------------------------------------
 
     @cached_property
