@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import embeddings, gram, itemknn, metrics, rerank
+from tonearm.operators import blocks, embeddings, gram, itemknn, metrics, rerank
 from tonearm.operators.blocks import topk_products
 
 
@@ -279,3 +279,34 @@ def test_grid_ranks_against_brute_force(spark, wide_seeds):
     got = metrics.knn_grid(frame(list(held.items())), frame(train), itemknn.neighbor_lists(frame(train), 6), (2, 6), (0.0, 0.3), ks=(3,), wide_seeds=wide_seeds)
     got = {(r["agg"], r["item_k"], r["sim_threshold"], name): r[f"{name}_3"] for r in got.collect() for name in ("recall", "ndcg")}
     assert got == pytest.approx(want, abs=6e-6) and len(set(want.values())) > 10
+
+
+def test_later_blocks_only_add_what_reaches_the_best_so_far():
+    """Pruning by the k-th best keeps ties and skipped places right, whatever the order of blocks."""
+    rng = np.random.default_rng(4)
+    scores = rng.integers(0, 12, (30, 200)) / 4
+    scores[rng.random((30, 200)) < 0.2] = -np.inf
+    scores[5, 3:] = -np.inf
+    ids = rng.permutation(200)
+    state = blocks._best(scores[:, :40], ids[:40], 6)
+    for lo in range(40, 200, 40):
+        found = blocks._best(scores[:, lo : lo + 40], ids[lo : lo + 40], 6, state[0][:, -1])
+        state = blocks._best(*[np.hstack(x) for x in zip(state, found)], 6)
+    for row in range(30):
+        order = sorted((i for i in range(200) if np.isfinite(scores[row, i])), key=lambda i: (-scores[row, i], ids[i]))[:6]
+        n = np.isfinite(state[0][row]).sum()
+        assert state[1][row][:n].tolist() == ids[order].tolist() and state[0][row][:n].tolist() == scores[row, order].tolist()
+
+
+def test_sums_of_tags_are_dealt_out_by_item(spark, monkeypatch):
+    """Items without a vector get none of the tags' vectors, and the others are dealt to several tasks before they do."""
+    monkeypatch.setattr(embeddings, "ITEMS_PER_TASK", 2)
+    items = spark.createDataFrame([(i, [float(i), 1.0], 0.5) for i in range(30)], "item_id bigint, embedding array<double>, bias double")
+    tags = spark.createDataFrame([("a", [1.0, 2.0], 0.1), ("b", [10.0, 20.0], 0.2)], "tag string, embedding array<double>, bias double")
+    tagged = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a", "z"]) for i in range(5, 500)], "item_id bigint, tags array<string>")
+    out = embeddings.full_item_vectors(items, tagged, tags)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(tag" not in plan
+    got = {r["item_id"]: (r["embedding"], round(r["bias"], 6)) for r in out.collect()}
+    want = {i: ([i + (0 if i < 5 else 11 if i % 2 else 1), 1 + (0 if i < 5 else 22 if i % 2 else 2)], round(0.5 + (0 if i < 5 else 0.3 if i % 2 else 0.1), 6)) for i in range(30)}
+    assert got == want
