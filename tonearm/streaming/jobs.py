@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -268,6 +269,30 @@ def challenge_view(counts: DataFrame, firsts: DataFrame, adds: DataFrame, likes:
     )
 
 
+def fold_days(key, batches, state):
+    """The new days of a user, from lists of a day's numbers (``packed``), and what stays open in the state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    n_types = len(challenges.CHALLENGES)
+    last, types, targets = state.get if state.exists else (None, [], [])
+    open_, out = list(zip(types, targets)), []
+    rows = sorted((r.tolist() for b in batches for r in b["packed"]), key=lambda r: r[0])
+    for number, *told in rows:
+        if last is not None and number <= last:
+            continue
+        offers = list(zip(told[n_types::2], told[n_types + 1 :: 2]))
+        made = challenges.step(number, offers, told[:n_types], last, open_)
+        last, open_ = number, [(r[0], r[1]) for r in made if not r[4]]
+        out += [(key[0], last, *r) for r in made]
+    state.update((last, [t for t, _ in open_], [n for _, n in open_]))
+    state.setTimeoutTimestamp(max((last + 2) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+    names = ["user_id", "day", "type", "target", "carried", "current_count", "is_completed"]
+    # A user is a group of a few rows: columns from one array, as casts of a frame cost more than the fold.
+    values = np.array(out, np.int64).reshape(-1, len(names))
+    yield pd.DataFrame({c: values[:, i].astype(np.int64 if c == "user_id" else np.int32) for i, c in enumerate(names)})
+
+
 def challenge_chain(days: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Challenges day by day from a stream of closed days, as ``challenges.day_rows`` makes them. Update mode.
 
@@ -276,31 +301,16 @@ def challenge_chain(days: DataFrame, lateness: str = "2 days") -> DataFrame:
     changes nothing.  The state ends ``keep_days`` days after the last one by the
     watermark, when nothing can be carried over any more.
     """
-    def fold(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, types, targets = state.get if state.exists else (None, [], [])
-        open_, out = list(zip(types, targets)), []
-        rows = sorted((r for b in batches for r in zip(b["number"], b["types"], b["targets"], b["ns"])), key=lambda r: r[0])
-        for number, offered, asked, ns in rows:
-            if last is not None and number <= last:
-                continue
-            made = challenges.step(int(number), list(zip(offered, asked)), list(ns), last, open_)
-            last, open_ = int(number), [(int(r[0]), int(r[1])) for r in made if not r[4]]
-            out += [(key[0], last, *r) for r in made]
-        state.update((last, [t for t, _ in open_], [n for _, n in open_]))
-        state.setTimeoutTimestamp(max((last + 2) * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        names = ["user_id", "day", "type", "target", "carried", "current_count", "is_completed"]
-        yield pd.DataFrame(out, columns=names).astype({c: "int64" if c == "user_id" else "int32" for c in names})
-
+    # A day's numbers travel as one list: its number, the counts, then types and targets in turn.
+    long = lambda a: a.cast("array<bigint>")
+    drawn = F.flatten(F.transform("offers", lambda o: F.array(o["type"], o["target"])))
+    packed = F.concat(F.array(F.unix_date("day").cast("bigint")), long(F.col("ns")), long(drawn))
     rows = days.withColumn("at", F.col("day").cast("timestamp")).withWatermark("at", lateness).select(
-        F.col("user_id").cast("bigint").alias("user_id"), "at", F.unix_date("day").alias("number"),
-        F.transform("offers", lambda o: o["type"]).alias("types"), F.transform("offers", lambda o: o["target"]).alias("targets"), "ns",
+        F.col("user_id").cast("bigint").alias("user_id"), "at", packed.alias("packed")
     )
     schema = challenges.CHAIN.replace("day date", "day int")
     made = rows.groupBy("user_id").applyInPandasWithState(
-        fold, schema, "last int, types array<int>, targets array<int>", "update", GroupStateTimeout.EventTimeTimeout
+        fold_days, schema, "last int, types array<int>, targets array<int>", "update", GroupStateTimeout.EventTimeTimeout
     )
     return made.withColumn("day", F.date_from_unix_date("day"))
 
