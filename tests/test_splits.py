@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pytest
@@ -101,3 +102,46 @@ def test_splits_are_written_once_for_all_reports(spark, sf_dir):
     train, test = evaluate.seed_split(t, 3)
     rows = lambda df: sorted(map(tuple, df.select("user_id", "item_id").collect()))
     assert [rows(x) for x in evaluate.seed_pairs(t, 3)] == [rows(train.filter("target = 1")), rows(test)]
+
+
+def test_seed_splits_are_read_from_one_order(spark):
+    """Seeds and test pairs of every size come from one written order; null and repeated rows as in a split of its own."""
+    rows = [(u, i, 1) for u in range(12) for i in range(u)] + [(3, 90, 0), (500, 1, 0), (None, 4, 1), (None, 5, 1), (11, None, 1), (7, 2, 1)]
+    rows += [(500, i, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, target int")
+    first = splits.first_positives(df, 5)
+    placed = splits.placed_positives(df, first)
+    key = lambda u, i: (hashlib.md5("-".join(str(x) for x in (u, i, 42) if x is not None).encode()).hexdigest(), -1 if i is None else i)
+    for n in (1, 3, 5):
+        seeds, test = [], []
+        for u in sorted({u for u, _, x in rows if u is not None and x == 1}):
+            held = sorted((i for v, i, x in rows if v == u and x == 1), key=lambda i: key(u, i))
+            if len(held) > n:
+                seeds += [(u, i) for i in held[:n]]
+                test += [(u, i) for i in held if i is None or i not in held[:n]]
+        got = splits.seeds_and_test(first, placed, n)
+        order = lambda found: sorted(found, key=str)
+        assert [order((r["user_id"], r["item_id"]) for r in x.collect()) for x in got] == [order(seeds), order(test)]
+
+
+def test_all_seed_splits_share_their_tables(spark, sf_dir):
+    """The hash order of all positives is worked out once, not once for every split and side."""
+    from tonearm.plans import evaluate
+    from tonearm.sources.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    one, five = evaluate.seed_pairs(t, 1), evaluate.seed_pairs(t, 5)
+    assert [sorted(a.inputFiles()) for a in one] == [sorted(b.inputFiles()) for b in five]
+    assert [sorted(x.inputFiles()) for x in evaluate.held_out(t)] == [sorted(x.inputFiles()) for x in evaluate.held_out(t)]
+
+
+def test_metrics_of_a_list_for_all_users(spark):
+    """A list that all users share meets only the truths among its items; the figures are those of the whole join."""
+    truth = spark.createDataFrame([(u, i) for u in range(20) for i in range(u % 4, 9 + u % 3)], "user_id bigint, item_id bigint")
+    top = metrics.popular(truth.filter("user_id % 2 = 0"), 4)
+    users = truth.select("user_id").distinct()
+    recs = metrics.popularity_recs(users, truth.filter("user_id % 2 = 0"), 4)
+    assert sorted(recs.collect()) == sorted(metrics.repeated(users, top).collect())
+    whole = metrics.multi_truth_metrics(recs, truth, ks=(2, 4))
+    few = metrics.multi_truth_metrics(recs, truth, ks=(2, 4), users=recs.filter("rank = 1"), listed=top)
+    assert sorted(whole.collect()) == sorted(few.collect()) and whole.first()["recall"] > 0
