@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import threading
 
 import pytest
 
@@ -145,3 +146,18 @@ def test_metrics_of_a_list_for_all_users(spark):
     whole = metrics.multi_truth_metrics(recs, truth, ks=(2, 4))
     few = metrics.multi_truth_metrics(recs, truth, ks=(2, 4), users=recs.filter("rank = 1"), listed=top)
     assert sorted(whole.collect()) == sorted(few.collect()) and whole.first()["recall"] > 0
+
+
+def test_independent_runs_are_made_side_by_side(spark):
+    """Two builds wait for each other, which only ends when both are under way; results keep the order of the builds, a failure is raised."""
+    from tonearm.session import side_by_side
+
+    both = threading.Barrier(2, timeout=60)
+
+    def build(n):
+        both.wait()
+        return spark.range(n)
+
+    assert [x.count() for x in side_by_side(spark, [lambda: build(3), lambda: build(5)])] == [3, 5]
+    with pytest.raises(ValueError):
+        side_by_side(spark, [lambda: spark.range(1), lambda: int("x")])
