@@ -68,3 +68,14 @@ def test_pages_read_published_batches(spark, tmp_path):
     items = runs.read(spark, path, "items").withColumn("batch_id", F.concat("run_id", F.lit("-"), "user_id")).drop("user_id")
     titles = spark.createDataFrame([(10, "song")], "item_id bigint, title string")
     assert [r["batch_id"] for r in history.latest_batch_items(batches, items, titles).collect()] == ["b-1"]
+
+
+def test_stored_runs_pick_seeds_once(spark, sf_dir, monkeypatch):
+    """All published runs read one written table of seeds; picking them orders all positives."""
+    from tonearm.plans import activity
+    from tonearm.sources.fixtures import Tables
+
+    read, publish = [], activity.runs.publish
+    monkeypatch.setattr(activity.runs, "publish", lambda recs, *rest: read.append(sorted(rest[-1].inputFiles())) or publish(recs, *rest))
+    activity._stored_runs(Tables(spark, sf_dir))
+    assert len(read) == 3 and read[0] == read[1] == read[2] and all("/stored-picks-" in f for f in read[0])

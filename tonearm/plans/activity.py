@@ -413,7 +413,7 @@ def _(t):
 def _stored_runs(t: Tables) -> str:
     """Two runs of ItemKNN over the onboarding songs: all users, then again those of even ids with ten rows; the first is repeated."""
     path = run_dir(t.spark, "stored-runs")
-    picks = splits.first_seeds(t.positive_pairs, 5)
+    picks = materialize(splits.first_seeds(t.positive_pairs, 5), "stored-picks")
     scored = itemknn.scores(picks, itemknn.neighbors(t.positive_pairs, 20))
     recs = materialize(itemknn.in_catalogue(scored, t.catalogue.filter("artist_name is not null"), 30), "stored-recs")
     users, even = picks.select("user_id"), "user_id % 2 = 0"
