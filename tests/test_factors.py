@@ -81,3 +81,21 @@ def test_odd_rows(spark):
     assert unknown["logit"] == 0.0
     empty = factors.train_logistic(spark.createDataFrame([], schema), rank=2, iterations=1)
     assert empty.users.count() == 0 and empty.items.count() == 0
+
+
+def test_several_blocks_with_shared_owners_and_the_report(spark):
+    rows = _rows(40, 15, seed=2)
+    pairs = spark.createDataFrame(rows)
+    one = factors.train_logistic(pairs, rank=2, iterations=1, reg=0.5, blocks=1)
+    some = factors.train_logistic(pairs, rank=2, iterations=1, reg=0.5, per_share=9, blocks=3)
+    for a, b, key in ((one.users, some.users, "user_id"), (one.items, some.items, "item_id")):
+        want, got = ({r[key]: [*r["embedding"], r["bias"]] for r in side.collect()} for side in (a, b))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-8) for k in want)
+    odd = spark.createDataFrame([(99, 1, 1), (1, 98, 0), (None, 1, 1), (2, 1, None)], "user_id bigint, item_id bigint, target bigint")
+    asked = pairs.select(*odd.columns).unionByName(odd)
+    report = factors.fit_report(asked, some, per_share=9, blocks=3).first()
+    plain = factors._fit_by_rows(asked, some).first()
+    assert report["n_rows"] == plain["n"] == len(rows) + 4
+    assert np.isclose(report["log_loss"], plain["loss"] / plain["labelled"]) and np.isclose(report["accuracy"], plain["right"] / plain["labelled"])
+    # Rows move when they are dealt, never with a vector.
+    assert "Exchange" not in some.users._jdf.queryExecution().executedPlan().toString()

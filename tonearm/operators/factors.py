@@ -8,7 +8,7 @@ the quadratic that touches it at the present ``z``, of weight
 step raises the regularised loss and no step length is needed.
 
 The sums of a solve are small (``rank + 1`` squared) and add up: an owner of
-very many rows is dealt out to several tasks, whose sums meet in one.
+very many rows is dealt out to several blocks, whose sums meet in one.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import dot
 from ..session import materialize
+from .solves import Block, Side, by_block, deal, met_block, nested, side_lines, solved
 
-#: Rows of one owner that a single task sums up.
+#: Rows of one owner that a single block sums up.
 ROWS_PER_SHARE = 50_000
 
 
@@ -35,105 +36,48 @@ class Factors:
     items: DataFrame
 
 
-def _weights(z: np.ndarray) -> np.ndarray:
-    """Curvature of the quadratic that bounds the logistic loss and touches it at ``z``."""
-    size = np.maximum(np.abs(z), 1e-6)
-    return np.tanh(size / 2) / (2 * size)
+def _solve(want: dict[int, int], reg: float, biased: bool):
+    """The lines of a block: a solve per owner of its own, the sums of owners that several blocks share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number, _ = met_block(batches, want, biased)
+        for at, left, slope in block.equations() if block else ():
+            right = np.einsum("nij,nj->ni", left, block.theta[at, : block.size]) - slope
+            whole = block.whole[at]
+            vec = solved(left[whole], right[whole], reg)
+            vec = vec if biased else np.c_[vec, np.zeros(len(vec))]
+            yield _out(np.full(len(vec), number), block.ids[at[whole]], nested(vec), pa.nulls(len(vec), pa.binary()))
+            data = [a.tobytes() + b.tobytes() for a, b in zip(left[~whole], right[~whole])]
+            yield _out(np.full(len(data), -1), block.ids[at[~whole]], pa.nulls(len(data), pa.list_(pa.float64())), pa.array(data, pa.binary()))
 
-def _list(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-
-
-class _Sums:
-    """Normal equations of one owner, or of a share of its rows."""
-
-    def __init__(self, size: int):
-        self.left, self.right = np.zeros((size, size)), np.zeros(size)
-
-    def add(self, theta: np.ndarray, other: np.ndarray, label: np.ndarray, biased: bool) -> None:
-        offset = other[:, -1]
-        features = other.copy() if biased else other[:, :-1]
-        if biased:
-            features[:, -1] = 1.0
-        weight = _weights(features @ theta[: features.shape[1]] + offset)
-        self.left += (features * weight[:, None]).T @ features
-        self.right += features.T @ (label - 0.5 - weight * offset)
-
-    def add_bytes(self, data: bytes) -> None:
-        flat, n = np.frombuffer(data), len(self.right)
-        self.left += flat[: n * n].reshape(n, n)
-        self.right += flat[n * n :]
-
-    def to_bytes(self) -> bytes:
-        return self.left.tobytes() + self.right.tobytes()
-
-    def solve(self, reg: float, biased: bool) -> np.ndarray:
-        theta = np.linalg.solve(self.left + reg * np.eye(len(self.right)), self.right)
-        return theta if biased else np.append(theta, 0.0)
+    return run
 
 
-_OUT = pa.schema([("owner", pa.int64()), ("vec", pa.list_(pa.float64())), ("sums", pa.binary())])
-_OUT_DDL = "owner bigint, vec array<double>, sums binary"
+def _out(block: np.ndarray, owner: np.ndarray, vec: pa.Array, sums: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(owner, pa.int64()), vec, sums], ["block", "owner", "vec", "sums"])
 
 
-def _sum_up(reg: float, biased: bool):
-    """Rows ordered by (owner, share), an owner's present vector before its rows; solves whole owners, passes on the sums of shares."""
+def _meet(size: int, reg: float, biased: bool):
+    """Sums of shares ordered by owner; one solve per owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = theta = sums = None
-        whole = True
+        owner, sums = None, np.zeros(0)
         out: list[tuple] = []
 
         def close():
             if owner is not None:
-                out.append((owner, sums.solve(reg, biased), None) if whole else (owner, None, sums.to_bytes()))
-
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            owners = batch.column(0).to_numpy(zero_copy_only=False)
-            shares = batch.column(1).to_numpy(zero_copy_only=False)
-            heads = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            labels = np.nan_to_num(batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64))
-            vectors = _list(batch.column(3), n)
-            bounds = sorted({0, n, *np.flatnonzero(heads).tolist()})
-            for lo, hi in zip(bounds, bounds[1:]):
-                if heads[lo]:
-                    close()
-                    owner, theta, whole = int(owners[lo]), vectors[lo], bool(shares[lo] == 1)
-                    sums = _Sums(len(theta) if biased else len(theta) - 1)
-                    lo += 1
-                if lo < hi:
-                    sums.add(theta, vectors[lo:hi], labels[lo:hi], biased)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_OUT)], schema=_OUT)
-
-    return run
+                vec = solved(sums[: size * size].reshape(size, size), sums[size * size :], reg)
+                out.append((owner, vec if biased else np.append(vec, 0.0)))
 
-
-def _meet(size: int, reg: float, biased: bool):
-    """Sums of shares ordered by owner; one solve per owner."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = sums = None
-        out: list[tuple] = []
         for batch in batches:
             for who, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if who != owner:
-                    if owner is not None:
-                        out.append((owner, sums.solve(reg, biased)))
-                    owner, sums = who, _Sums(size)
-                sums.add_bytes(data)
-        if owner is not None:
-            out.append((owner, sums.solve(reg, biased)))
+                    close()
+                    owner, sums = who, np.zeros(size * size + size)
+                sums += np.frombuffer(data)
+        close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(list(_OUT)[:2])], ["owner", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.float64()))], ["owner", "vec"])
 
     return run
 
@@ -145,35 +89,22 @@ def _start(ids: DataFrame, key: str, rank: int, seed: int) -> DataFrame:
     return ids.select(F.col(key).alias("owner"), "shares", F.concat(F.transform(places, value), F.array(F.lit(0.0))).alias("vec"))
 
 
-def _shares(rows: DataFrame, key: str, per_share: int) -> DataFrame:
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(counted.select(key, F.ceil(F.col("n") / per_share).cast("int").alias("shares")), f"{key}-shares")
-
-
-def _dealt(rows: DataFrame, key: str, other: str, owners: DataFrame, out: str) -> DataFrame:
-    """Rows with the share of their owner; only owners of several shares are joined, the others are share 0."""
-    hot = owners.filter("shares > 1").select(key, F.col("shares").alias("_shares"))
-    share = F.pmod(F.xxhash64(other), F.col("_shares")).cast("int")
-    return rows.join(hot, key, "left").withColumn(out, F.coalesce(share, F.lit(0))).drop("_shares")
-
-
-def _half(rows: DataFrame, key: str, other: str, share: str, own: DataFrame, fixed: DataFrame, size: int, reg: float, biased: bool) -> DataFrame:
-    """(owner, shares, vec) of one side after a ridge solve against the other."""
-    null = F.lit(None).cast("double")
-    heads = own.select(
-        "owner", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "shares", null.alias("label"), "vec"
-    )
-    met = rows.join(fixed.select(F.col("owner").alias(other), "vec"), other)
-    body = met.select(F.col(key).alias("owner"), F.col(share).alias("share"), F.lit(0).alias("shares"), "label", "vec")
-    lined = heads.unionByName(body).repartition("owner", "share").sortWithinPartitions("owner", "share", F.col("label").asc_nulls_first())
-    done = materialize(lined.select("owner", "shares", "label", "vec").mapInArrow(_sum_up(reg, biased), _OUT_DDL), "solved")
-    shared = done.filter("sums is not null").select("owner", "sums").repartition("owner").sortWithinPartitions("owner")
-    solved = done.filter("sums is null").select("owner", "vec").unionByName(shared.mapInArrow(_meet(size, reg, biased), "owner bigint, vec array<double>"))
-    return materialize(solved.join(own.select("owner", "shares"), "owner"), "vectors")
+def _half(side: Side, own: DataFrame, fixed: DataFrame, size: int, reg: float, biased: bool) -> DataFrame:
+    """(block, owner, vec) of one side after a ridge solve against the other."""
+    spark = own.sparkSession
+    ddl = "block int, owner bigint, vec array<double>, sums binary"
+    done = by_block(spark, side_lines(side, own, fixed), _solve(side.want(), reg, biased), ddl, "solved")
+    alone = done.select("block", "owner", "vec")
+    if not side.n_shared:
+        return alone
+    sums = done.filter("block = -1").select("owner", "sums").repartition("owner").sortWithinPartitions("owner")
+    shared = materialize(sums.mapInArrow(_meet(size, reg, biased), "owner bigint, vec array<double>"), "shared-vectors")
+    return alone.filter("block >= 0").unionByName(shared.select(F.lit(-1).alias("block"), "owner", "vec"))
 
 
 def train_logistic(
-    pairs: DataFrame, rank: int = 32, iterations: int = 10, reg: float = 1.0, biased: bool = True, seed: int = 42, per_share: int = ROWS_PER_SHARE
+    pairs: DataFrame, rank: int = 32, iterations: int = 10, reg: float = 1.0, biased: bool = True, seed: int = 42, per_share: int = ROWS_PER_SHARE,
+    blocks: int | None = None,
 ) -> Factors:
     """Factors of (user_id, item_id, target) rows; ``target`` above 0 is a like.
 
@@ -182,23 +113,23 @@ def train_logistic(
     item or target are left out; equal rows count as often as they stand.
     Without rows both sides are empty.
 
-    Each half of an iteration moves one vector per row (as the join by the
-    other side's id), and one small sum per further share of a hot owner. Every
+    Rows move once a side, when its owners are dealt to ``blocks`` (a number
+    that fits the data, if none is given). A half of an iteration shuffles
+    nothing but small sums of owners of more than ``per_share`` rows. Every
     half is a written table, so a lost executor repeats its own tasks only.
     """
     key = lambda c: F.col(c).cast("bigint").alias(c)
     label = (F.col("target") > 0).cast("double").alias("label")
     rows = materialize(pairs.select(key("user_id"), key("item_id"), label).dropna(), "labelled-rows")
-    users, items = _shares(rows, "user_id", per_share), _shares(rows, "item_id", per_share)
-    rows = _dealt(_dealt(rows, "user_id", "item_id", users, "user_share"), "item_id", "user_id", items, "item_share")
-    rows = materialize(rows, "dealt-rows")
     size = rank + 1 if biased else rank
+    users, items = (deal(rows, *keys, rank + 1, per_share, blocks) for keys in (("user_id", "item_id"), ("item_id", "user_id")))
     # Users start at zero, items at small values: the first solve is the users'.
-    own = users.select(F.col("user_id").alias("owner"), "shares", F.array_repeat(F.lit(0.0), rank + 1).alias("vec"))
-    fixed = materialize(_start(items, "item_id", rank, seed), "item-start")
+    own = users.owners.withColumn("vec", F.array_repeat(F.lit(0.0), rank + 1))
+    start = _start(items.owners.withColumnsRenamed({"owner": "item_id", "block": "shares"}), "item_id", rank, seed)
+    fixed = materialize(start.withColumnRenamed("shares", "block"), "item-start", by="block")
     for _ in range(iterations):
-        own = _half(rows, "user_id", "item_id", "user_share", own, fixed, size, reg, biased)
-        fixed = _half(rows, "item_id", "user_id", "item_share", fixed, own, size, reg, biased)
+        own = _half(users, own, fixed, size, reg, biased)
+        fixed = _half(items, fixed, own, size, reg, biased)
     parts = [F.slice("vec", 1, rank).alias("embedding"), F.element_at("vec", -1).alias("bias")]
     return Factors(own.select(F.col("owner").alias("user_id"), *parts), fixed.select(F.col("owner").alias("item_id"), *parts))
 
@@ -216,17 +147,63 @@ def _loss(z: Column, label: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - label * z
 
 
-def fit_report(pairs: DataFrame, model: Factors) -> DataFrame:
-    """One row over labelled pairs: rows, mean log loss, that of the constant share of likes, accuracy at one half."""
+_FIT = "n bigint, labelled bigint, loss double, likes double, right bigint"
+
+
+def _fit(want: dict[int, int]):
+    """The lines of a block: number of rows, sums of loss and likes, rows on the right side of one half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(4)
+
+        def visit(block: Block, ids: np.ndarray, vectors: np.ndarray) -> None:
+            for _, _, z, label in block.rows(ids, vectors):
+                loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - label * z
+                found[:] += len(z), loss.sum(), label.sum(), ((z > 0) == (label > 0)).sum()
+
+        met_block(batches, want, visit=visit)
+        n, loss, likes, right = found.tolist()
+        yield pa.RecordBatch.from_pylist([{"n": int(n), "labelled": int(n), "loss": loss, "likes": likes, "right": int(right)}])
+
+    return run
+
+
+def _fit_by_rows(pairs: DataFrame, model: Factors) -> DataFrame:
+    """The same sums of rows of any kind, by joins."""
     label = (F.col("target") > 0).cast("double")
-    scored = logits(pairs, model)
-    sums = scored.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg(_loss(F.col("logit"), label)).alias("log_loss"),
-        F.avg(label).alias("_share"),
-        F.avg(((F.col("logit") > 0) == (label > 0)).cast("double")).alias("accuracy"),
+    return logits(pairs, model).agg(
+        F.count(F.lit(1)).alias("n"), F.count("target").alias("labelled"), F.sum(_loss(F.col("logit"), label)).alias("loss"), F.sum(label).alias("likes"),
+        F.count_if((F.col("logit") > 0) == (label > 0)).alias("right"),
+    )
+
+
+def fit_report(pairs: DataFrame, model: Factors, per_share: int = ROWS_PER_SHARE, blocks: int | None = None) -> DataFrame:
+    """One row over labelled pairs: rows, mean log loss, that of the constant share of likes, accuracy at one half.
+
+    Rows are dealt to blocks of users as in training, so none moves with a
+    vector; those without user, item or target are met by joins.
+    """
+    whole = F.col("user_id").isNotNull() & F.col("item_id").isNotNull() & F.col("target").isNotNull()
+    key = lambda c: F.col(c).cast("bigint").alias(c)
+    rank = max(side.agg(F.max(F.size("embedding"))).first()[0] or 0 for side in (model.users, model.items))
+    rows = pairs.filter(whole).select(key("user_id"), key("item_id"), (F.col("target") > 0).cast("double").alias("label"))
+    users = deal(rows, "user_id", "item_id", rank + 1, per_share, blocks)
+    known = lambda side, key: side.select(F.col(key).alias("owner"), F.concat("embedding", F.array("bias")).alias("vec"))
+    # An id the model has not seen adds nothing.
+    vec = F.coalesce("vec", F.array_repeat(F.lit(0.0), rank + 1)).alias("vec")
+    own = users.owners.join(known(model.users, "user_id"), "owner", "left").select("block", "owner", vec)
+    own = materialize(own.repartition(users.blocks, "block").sortWithinPartitions("block"), "known-users", by="block")
+    items = users.rows.select(F.col("other").alias("owner")).distinct()
+    fixed = materialize(items.join(known(model.items, "item_id"), "owner", "left").select("owner", vec), "known-items")
+    parts = by_block(pairs.sparkSession, side_lines(users, own, fixed), _fit(users.want()), _FIT, "fit", by=None)
+    odd = pairs.filter(~whole)
+    if not odd.isEmpty():
+        parts = parts.unionByName(_fit_by_rows(odd, model))
+    sums = parts.agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "loss", "likes", "right")])
+    n, p = F.nullif(F.col("labelled"), F.lit(0)), F.col("_share")
+    sums = sums.select(
+        F.col("n").alias("n_rows"), (F.col("loss") / n).alias("log_loss"), (F.col("likes") / n).alias("_share"), (F.col("right") / n).alias("accuracy")
     )
-    p = F.col("_share")
     part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
     return sums.withColumn("constant_loss", -(part(p) + part(1 - p))).drop("_share")
 

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors
 from ..session import materialize
-from .factors import Factors, _weights
+from .factors import Factors
+from .solves import weights as _weights
 
 #: Owners whose sums a task holds before it passes them on.
 OWNERS_HELD = 2_048
