@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -63,3 +64,13 @@ class Permutation:
             else:
                 row = (row + shift(column)) % self.a
         return row * self.b + column
+
+    def values(self, x: np.ndarray, c: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The same for arrays, with a line of factors and of shifts per number."""
+        row, column = x // self.b, x % self.b
+        for i in range(self.STEPS):
+            if i % 2:
+                column = (column + (row * c[:, i] + k[:, i]) % self.PRIME) % self.b
+            else:
+                row = (row + (column * c[:, i] + k[:, i]) % self.PRIME) % self.a
+        return row * self.b + column

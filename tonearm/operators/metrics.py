@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import numeric
 from ..session import materialize
 from .lists import RANKED, cell_ranks, empty
-from .negatives import candidate_ranks, sampled_negatives
+from .negatives import candidate_ranks, sampled_lists
 
 KS = (10, 20)
 
@@ -342,8 +342,10 @@ def sampled_negative_metrics(
     test: DataFrame, truth: DataFrame, item_vectors: DataFrame, user_vectors: DataFrame, n_negatives: int, seed: int, ks: Sequence[int] = KS
 ) -> DataFrame:
     """One positive per user (``test``) ranked among ``n_negatives`` items that are none of the user's."""
+    user_vectors = materialize(user_vectors, "user-vectors")
     scored = test.select("user_id", "item_id").join(item_vectors.select("item_id"), "item_id", "left_semi").join(user_vectors.select("user_id"), "user_id", "left_semi")
-    negatives, slots = sampled_negatives(scored, truth, item_vectors.select("item_id"), n_negatives, seed)
+    scored = materialize(scored, "scored-positives")
+    negatives, slots = sampled_lists(scored, truth, item_vectors.select("item_id"), n_negatives, seed)
     ranks = candidate_ranks(negatives, slots, scored, item_vectors, user_vectors)
     sums = [F.count(F.lit(1)).alias("users_evaluated")]
     for k in ks:
