@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tonearm import session
 from tonearm.functions.hashing import Permutation
-from tonearm.operators import negatives
+from tonearm.operators import blocks, negatives
 from tonearm.session import BROADCAST, materialize, tune
 
 
@@ -48,3 +52,53 @@ def test_draws_are_lists_made_in_the_users_tasks(spark, monkeypatch, at_once):
         c, k = (np.array([[s[name] for s in keys[u]]] * order.size) for name in ("c", "k"))
         drawn = [s for s in order.values(np.arange(order.size), c, k).tolist() if s < n and s not in held.get(u, ())]
         assert sorted(got[u]) == sorted(drawn[:40])
+
+
+def test_products_shuffle_no_vectors(spark, tmp_path):
+    """What is left in the plan is a read of the best ``k``; both sides are written once and deleted; equal rows hide one by one, ids need not be known to the other side."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(90, 5)), rng.normal(size=(400, 5))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(None, [0.0] * 5)], "id bigint, vec array<double>")
+    right = spark.createDataFrame([(i % 399, b[i % 399].tolist(), 0.0) for i in range(400)], "id bigint, vec array<double>, weight double")
+    hidden = {(u, i) for u in range(90) for i in rng.integers(1, 399, 60).tolist()} | {(u, 0) for u in range(45)}
+    skip = spark.createDataFrame(sorted(hidden) + [(u, i) for u, i in sorted(hidden)[:50]] + [(500, 1), (1, 900)], "id bigint, match_id bigint")
+    before = set(session._run_tables)
+    out = blocks.topk_products(left, right, 6, skip=skip, left_rows=20, right_rows=32)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in set(session._run_tables) - before] == ["top-products"]
+    got = {}
+    for r in out.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["match_id"])
+    product = a @ b.T
+    for u in range(90):
+        once = [i for i in range(399) if (u, i) not in hidden] + [0]  # item 0 stands twice
+        assert got[u] == sorted(once, key=lambda i: (-product[u, i], i))[:6]
+
+
+def test_few_left_rows_are_dealt_to_all_cores(spark):
+    """600 left rows of one partition are two tasks, 30 left rows meet the right rows in shares; the lists are those of one task."""
+    rng = np.random.default_rng(9)
+    b = rng.normal(size=(1000, 4))
+    right = spark.createDataFrame([(i, v.tolist(), float(i % 3)) for i, v in enumerate(b)], "id bigint, vec array<double>, weight double")
+    for n in (600, 30):
+        a = rng.normal(size=(n, 4))
+        left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id bigint, vec array<double>").coalesce(1)
+        got = {}
+        for r in blocks.topk_products(left, right, 3, right_rows=4).orderBy("id", "rank").collect():
+            got.setdefault(r["id"], []).append((r["match_id"], r["rank"]))
+        scores = a @ b.T + np.arange(1000) % 3
+        assert got == {u: [(int(i), r + 1) for r, i in enumerate(np.argsort(-scores[u])[:3])] for u in range(n)}
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    tune(spark)
+    files = lambda: sum(f.endswith(".data") for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for _, _, names in os.walk(d) for f in names)
+    before = files()
+    written = materialize(spark.range(100_000).withColumn("k", F.col("id") % 1000).groupBy("k").count())
+    deadline = time.time() + 20
+    while files() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert files() <= before
+    assert written.count() == 1000
+    twice = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(twice.collect()) == len(twice.collect()) == 7
