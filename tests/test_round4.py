@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tonearm import session
 from tonearm.functions.hashing import Permutation
-from tonearm.operators import blocks, negatives
+from tonearm.operators import blocks, hybrid, negatives
 from tonearm.session import BROADCAST, materialize, tune
 
 
@@ -102,3 +102,19 @@ def test_shuffle_files_go_with_their_job(spark):
     assert written.count() == 1000
     twice = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
     assert len(twice.collect()) == len(twice.collect()) == 7
+
+
+def test_hybrid_factors_do_not_depend_on_how_the_work_is_dealt(spark):
+    """Several blocks, and owners that several blocks share; no row meets a vector by a join."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(u), int(i), int(rng.integers(0, 2))) for u, i in zip(rng.integers(0, 25, 300), rng.integers(0, 12, 300))})
+    pairs = spark.createDataFrame(rows, "user_id bigint, item_id bigint, target int")
+    tagged = lambda n, k: spark.createDataFrame([(i, [f"x{i % 3}", "all"]) for i in range(n) if i % 5], f"{k} bigint, tags array<string>")
+    made = []
+    for per_share, number in ((50_000, 1), (4, 3)):
+        model = hybrid.train_hybrid(pairs, tagged(25, "user_id"), tagged(12, "item_id"), rank=2, iterations=2, reg=0.7, per_share=per_share, blocks=number)
+        tables = (model.users, model.items, model.user_tags, model.item_tags)
+        made.append([{r[0]: [*r["embedding"], r["bias"]] for r in t.collect()} for t in tables])
+    assert [len(t) for t in made[0]] == [25, 12, 4, 4]
+    for a, b in zip(*made):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
